@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from episodia.llm import quality_rules
+from episodia.llm import quality_rules, segment_sampling
 
 QUERIES = {
     "op9_quality_rules": quality_rules.query,
+    "op10_segment_sampling": segment_sampling.query,
 }
 ORACLES: dict[str, str] = {}
