@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from episodia.llm import quality_rules, segment_sampling
+from episodia.llm import quality_rules, segment_sampling, url_filter, warc
 
 QUERIES = {
+    "op2_warc_index": warc.query,
+    "op6_url_filter": url_filter.query,
     "op9_quality_rules": quality_rules.query,
     "op10_segment_sampling": segment_sampling.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_index": warc.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+}
