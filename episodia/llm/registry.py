@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from episodia.llm import quality_rules, segment_sampling, url_filter, warc
+from episodia.llm import quality_rules, segment_sampling, source_mix, url_filter, warc
 
 QUERIES = {
     "op2_warc_index": warc.query,
+    "op4_source_mix": source_mix.query,
     "op6_url_filter": url_filter.query,
     "op9_quality_rules": quality_rules.query,
     "op10_segment_sampling": segment_sampling.query,
