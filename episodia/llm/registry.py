@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from episodia.llm import license_scan, quality_rules, segment_sampling, source_mix, url_filter, warc
+from episodia.llm import license_scan, ngram_join, quality_rules, segment_sampling, source_mix, url_filter, warc
 
 QUERIES = {
     "op2_warc_index": warc.query,
     "op4_source_mix": source_mix.query,
     "op5_license_scan": license_scan.query,
     "op6_url_filter": url_filter.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_quality_rules": quality_rules.query,
     "op10_segment_sampling": segment_sampling.query,
 }
