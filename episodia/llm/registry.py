@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from episodia.llm import license_scan, ngram_join, quality_rules, segment_sampling, source_mix, url_filter, warc
+from episodia.llm import license_scan, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op2_warc_index": warc.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_source_mix": source_mix.query,
     "op5_license_scan": license_scan.query,
     "op6_url_filter": url_filter.query,
