@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from episodia.llm import license_scan, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, url_filter, warc
+from episodia.llm import html_extract, license_scan, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, topk_search, url_filter, warc
 
 QUERIES = {
+    "op1_topk_search": topk_search.query,
     "op2_warc_index": warc.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_source_mix": source_mix.query,
     "op5_license_scan": license_scan.query,
     "op6_url_filter": url_filter.query,
+    "op7_html_extract": html_extract.query,
     "op8_ngram_join": ngram_join.query,
     "op9_quality_rules": quality_rules.query,
     "op10_segment_sampling": segment_sampling.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_topk_search": topk_search.ORACLE,
     "op2_warc_index": warc.ORACLE,
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
