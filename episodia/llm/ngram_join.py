@@ -370,5 +370,23 @@ def _join_blocks(comps: DataFrame, sets: DataFrame, block: int, reps: int = 8) -
     return stored(rest.unionByName(many))
 
 
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: that of the smallest id.
+
+    A row with a null id stays if nothing else of its component has an id; of
+    repeated rows one stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text), 3))
+    keyed = docs.withColumn("_key", key)
+    found = link_components(keyed.select(F.when(F.col("_key") < 0, F.lit((1 << 62)) - F.col("_key")).otherwise(F.col("_key")).alias("doc_id"), text), text)
+    heads = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
+    back = heads.select(F.when(F.col("doc_id") > (1 << 62), F.lit(1 << 62) - F.col("doc_id")).otherwise(F.col("doc_id")).alias("_key"), "_n")
+    kept = keyed.join(back, "_key")
+    if heads.where("_n > 1").limit(1).count():
+        once = kept.where("_n > 1").dropDuplicates(["_key"])
+        kept = kept.where("_n = 1").unionByName(once)
+    return kept.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -85,9 +85,9 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without their text, with the statistics in ``COUNTS`` (long)."""
-    rest = [f for f in docs.schema.fields if f.name != text and f.name not in COUNTS]
+def text_stats(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The rows of ``docs``, without their text unless ``keep_text``, with the statistics in ``COUNTS`` (long)."""
+    rest = [f for f in docs.schema.fields if (f.name != text or keep_text) and f.name not in COUNTS]
     schema = T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             m = measure(b.column(text))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), *(pa.array(m[c], pa.int64()) for c in COUNTS)], [*(f.name for f in rest), *COUNTS])
 
-    return docs.select(text, *(f.name for f in rest)).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([text, *(f.name for f in rest)])).mapInArrow(run, schema)
 
 
 def features() -> dict[str, Column]:
@@ -233,6 +233,19 @@ def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps; only labelled texts are measured for the rules.
+
+    Columns of ``docs`` that share a name with a statistic are carried aside.
+    """
+    own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    rules = learn(text_stats(docs.select("doc_id", text).join(own, "doc_id"), text), label="_quality")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    stats = text_stats(docs.select(F.col(f"`{text}`").alias("_text"), row.alias("_row")), "_text", keep_text=True)
+    kept = stats.where(~base_failed() & verdict(rules).isNull())
+    return kept.select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stats = stored(text_stats(docs))

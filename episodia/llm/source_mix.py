@@ -142,6 +142,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rate: float = RAT
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def materialise(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (equal keys share their copies evenly)."""
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    taken = stored(taken).withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
+    rows = docs.withColumn("_size", word_count(F.col("text")))
+    if taken.where("_rows > 1").limit(1).count():
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
+    else:
+        rows = rows.withColumn("_k", F.lit(1))
+    same = rows["doc_id"].eqNullSafe(taken["_d"]) & rows["source"].eqNullSafe(taken["_s"]) & (rows["_size"] == taken["_z"])
+    copies = F.floor(F.col("_sum") / F.col("_rows")) + (F.col("_k") <= F.pmod("_sum", "_rows")).cast("long")
+    joined = rows.join(taken, same).withColumn("_copies", copies).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[rows[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
