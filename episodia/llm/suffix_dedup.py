@@ -41,7 +41,7 @@ from episodia.llm.components import bit_set, has_bit
 from episodia.llm.shared import drop, stored
 
 U64 = np.uint64
-LENGTH = 400
+LENGTH = 400  # at most 2000: distances between windows and anchors have ten bits
 BLOCK = 2048  # contexts of one anchor in one suffix array
 RUN_BYTES = 1 << 20
 FILTER_BITS = 26
@@ -85,7 +85,7 @@ def contexts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     lo, hi, p = s[cut], s[np.append(cut[1:], len(s)) - 1], p[cut]
     digest = tk.mix(prefix.of(lo, hi + length) + tk.mix(((p - lo) * (length + 1) + (p - hi)).astype(np.uint64)))
-    return p, lo, hi, h[p], digest, tk.owner(p, starts)
+    return p, lo, hi, tk.mix(h[p] + U64(1)), digest, tk.owner(p, starts)  # mixed again: least hashes have equal leading bits
 
 
 class RepeatTree:
@@ -235,7 +235,7 @@ def _counts(docs: DataFrame, text: str, length: int) -> DataFrame:
 
 
 def _places(docs: DataFrame, text: str, length: int, known: np.ndarray, unclear: np.ndarray, bits: int) -> DataFrame:
-    """Places of repeated anchors in each distinct text, with the bytes of contexts that are ambiguous (once a task)."""
+    """Places of repeated anchors in each distinct text (``spot``: place, first and last window's distance from it), with the bytes of contexts that are ambiguous (once a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -257,9 +257,9 @@ def _places(docs: DataFrame, text: str, length: int, known: np.ndarray, unclear:
                     sent.add(pair)
                     own[i] = whole[lo[i] : hi[i] + length]
             d1, d2 = np.array(keys, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(digest), pa.array(p - starts[doc]), pa.array((p - lo).astype(np.int32)), pa.array((p - hi).astype(np.int32)), pa.array(d1[doc]), pa.array(d2[doc]), pa.array(own, pa.binary())], ["anchor", "digest", "place", "most", "least", "d1", "d2", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(digest), pa.array(((p - starts[doc]) << 20) | ((p - lo) << 10) | (p - hi)), pa.array(d1[doc]), pa.array(d2[doc]), pa.array(own, pa.binary())], ["anchor", "digest", "spot", "d1", "d2", "bytes"])
 
-    return docs.select(text).mapInArrow(run, "anchor long, digest long, place long, most int, least int, d1 long, d2 long, bytes binary")
+    return docs.select(text).mapInArrow(run, "anchor long, digest long, spot long, d1 long, d2 long, bytes binary")
 
 
 def _trees(rows: DataFrame, length: int, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -320,16 +320,18 @@ def cover(docs: DataFrame, text: str = "text", length: int = LENGTH, block: int
     unclear = per.where("kinds > 1")
     rows = stored(_places(docs, text, length, bit_set(per.select("anchor"), bits), bit_set(unclear.select("anchor"), bits), bits))
     blocks = F.ceil(F.col("kinds") / F.lit(block)).cast("long")
-    sent = rows.where("bytes is not null").select("anchor", "digest", "most", "least", "bytes").join(unclear.select("anchor", (blocks > 1).alias("many"), blocks.alias("_blocks")), "anchor")
+    sent = rows.where("bytes is not null").select("anchor", "digest", F.shiftright("spot", 10).bitwiseAND(1023).alias("most"), F.col("spot").bitwiseAND(1023).alias("least"), "bytes").join(unclear.select("anchor", (blocks > 1).alias("many"), blocks.alias("_blocks")), "anchor")
     found = stored(_trees(sent.withColumn("block", F.pmod(F.xxhash64("digest"), "_blocks")).drop("_blocks"), length))
     ranges = found.where("window is null").select("anchor", "digest", "begin", "end")
     if found.where("window is not null").limit(1).count():
         twice = found.where("window is not null").groupBy("anchor", "window").agg(F.count("*").alias("_k")).where("_k > 1").select("anchor", "window")
         ranges = ranges.unionByName(found.where("alone").join(twice, ["anchor", "window"], "left_semi").select("anchor", "digest", "begin", "end"))
-    slim = rows.select("anchor", "digest", "place", "most", "least", "d1", "d2")
-    whole = slim.join(full, ["anchor", "digest"], "left_semi").select("d1", "d2", (F.col("place") - F.col("most")).alias("begin"), (F.col("place") - F.col("least") + length).alias("end"))
-    part = slim.join(ranges, ["anchor", "digest"]).select("d1", "d2", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))
-    return whole.unionByName(part)
+    # one join for both: a context that occurs twice is covered from its first window to its last
+    every = ranges.unionByName(full.select("anchor", "digest", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end")))
+    place, most, least = F.shiftright("spot", 20), F.shiftright("spot", 10).bitwiseAND(1023), F.col("spot").bitwiseAND(1023)
+    return rows.select("anchor", "digest", "spot", "d1", "d2").join(every, ["anchor", "digest"]).select(
+        "d1", "d2", (place + F.coalesce("begin", -most)).alias("begin"), (place + F.coalesce("end", length - least)).alias("end")
+    )
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
