@@ -7,11 +7,14 @@ shingles, whatever the other's size.
 
 1. One text pass measures the sets and counts shingles in a table of fixed
    size; shingles in crowded buckets are taken as long lists.
-2. A second pass sends the first n - ceil(0.75 n) + 1 shingles of each class in
-   the order (short lists first, hash): linked classes share one of these, and
-   passages that very many documents hold come last and so hardly count.
-   Classes that share such a shingle, without a gap in size that no link can
-   cross, form a candidate cluster (a star for each list, then components).
+2. A second pass sends the first n - ceil(0.75 n) + k shingles of each class in
+   the order (short lists first, hash), k = n / 16: linked classes share at
+   least k of these (that of the smaller one), and passages that very many
+   documents hold come last and so hardly count.  A class with fewer than k
+   shingles in lists of several classes is dropped, again and again for a few
+   rounds: a passage in common doesn't make a candidate.  What is left of a
+   list, without a gap in size that no link can cross, forms a candidate
+   cluster (a star for each list, then components).
 3. A third pass sends the whole sets of clustered classes to their cluster.
    A set goes once for each task, not once for each copy.
 4. Within a block of a cluster, breadth-first T-occurrence search finds the
@@ -48,7 +51,8 @@ NUM, DEN = 75, 100  # similarity of at least NUM / DEN
 BUCKET_BITS = 18
 COUNT_SLICE = 1 << 14
 FILTER_BITS = 24
-BLOCK = 1 << 19
+BLOCK = 1 << 21
+ROUNDS = 3
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -56,6 +60,11 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-n * NUM // DEN)
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Shingles that the prefixes of linked sets share, by the size of the smaller one."""
+    return np.maximum(1, n // 16)
+
+
 def _class_hashes(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two order-free 64-bit digests of each set."""
     out = []
@@ -122,34 +131,58 @@ def _postings(docs: DataFrame, text: str, crowded: np.ndarray) -> DataFrame:
             first = np.searchsorted(doc, np.arange(len(n)))
             before = np.concatenate([[0], running])[first]
             rank = np.where(late, early_n[doc] + (np.arange(len(v)) - first[doc]) - (running - before[doc]), running - before[doc] - 1)
-            chosen = rank < (n - least_overlap(n) + 1)[doc]
+            chosen = rank < (n - least_overlap(n) + least_shared(n))[doc]
             v, doc = v[chosen], doc[chosen]
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(d1[doc]), pa.array(n[doc].astype(np.int32))], ["shingle", "d1", "n"])
 
     return docs.select(text).mapInArrow(run, "shingle long, d1 long, n int")
 
 
-def _stars(postings: DataFrame) -> DataFrame:
-    """Edges ``a, b`` from the first class of each list (or of each part of it between gaps in size) to the others."""
+def _runs(postings: DataFrame) -> DataFrame:
+    """``shingle, d1, n, head``: postings in lists of several classes, once each; head: the first class of the list.
+
+    A list is cut where a gap in size is too wide for any link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, 0, 0)  # shingle, size of the row before, head of its run
+        last: tuple | None = None  # the row before, the head of its run, whether it has been sent
         for b in batches:
             if not b.num_rows:
                 continue
             s, d, n = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
+            if last is not None:  # the row before goes in front again
+                s, d, n = np.append(last[0], s), np.append(last[1], d), np.append(last[2], n)
+            fresh = np.ones(len(s), bool)
+            fresh[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+            s, d, n = s[fresh], d[fresh], n[fresh]
             cut = np.ones(len(s), bool)
             cut[1:] = (s[1:] != s[:-1]) | (n[:-1] * DEN < n[1:] * NUM)
-            cut[0] = last[0] is None or s[0] != last[0] or last[1] * DEN < n[0] * NUM
-            head = d[np.maximum.accumulate(np.where(cut, np.arange(len(s)), 0))]
-            if not cut[0]:
-                head[: int(np.argmax(cut)) if cut.any() else len(s)] = last[2]
-            last = (s[-1], n[-1], head[-1])
-            pairs = np.unique(np.stack([head, d])[:, head != d], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return postings.repartition("shingle").sortWithinPartitions("shingle", "n", "d1").mapInArrow(run, "a long, b long").distinct()
+            first = np.maximum.accumulate(np.where(cut, np.arange(len(s)), 0))
+            head = d[first]
+            if last is not None:
+                head[first == 0] = last[3]
+            alone = cut & np.append(cut[1:], True)
+            send = ~alone
+            send[-1] = not cut[-1]
+            if last is not None:
+                send[0] = not last[4] and len(s) > 1 and not cut[1]
+            # the last row is sent later if it begins a run
+            sent = bool(send[-1]) or (last is not None and len(s) == 1 and last[4])
+            last = (s[-1:], d[-1:], n[-1:], head[-1], sent)
+            if send.any():
+                yield pa.RecordBatch.from_arrays([pa.array(s[send]), pa.array(d[send]), pa.array(n[send].astype(np.int32)), pa.array(head[send])], ["shingle", "d1", "n", "head"])
+
+    return postings.select("shingle", "d1", "n").repartition("shingle").sortWithinPartitions("shingle", "n", "d1").mapInArrow(run, "shingle long, d1 long, n int, head long")
+
+
+def _stars(postings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Edges ``a, b`` from the first class of each list to the others, classes that share too little left out."""
+    lists = stored(_runs(postings))
+    smaller = F.ceil(F.col("n") * NUM / DEN).cast("int")
+    for _ in range(rounds):
+        enough = lists.groupBy("d1").agg(F.count("*").alias("_k"), F.max("n").alias("n")).where(F.col("_k") >= F.greatest(F.lit(1), F.floor(smaller / 16))).select("d1")
+        lists = stored(_runs(lists.join(enough, "d1", "left_semi")))
+    return lists.where("head <> d1").select(F.col("head").alias("a"), F.col("d1").alias("b")).distinct()
 
 
 class Index:
