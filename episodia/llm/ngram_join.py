@@ -12,9 +12,11 @@ shingles, whatever the other's size.
    least k of these (that of the smaller one), and passages that very many
    documents hold come last and so hardly count.  A class with fewer than k
    shingles in lists of several classes is dropped, again and again for a few
-   rounds: a passage in common doesn't make a candidate.  What is left of a
-   list, without a gap in size that no link can cross, forms a candidate
-   cluster (a star for each list, then components).
+   rounds: a passage in common doesn't make a candidate.  Of lists with the
+   same members one is kept.  Within what is left of a list, without a gap in
+   size that no link can cross, classes whose bitmaps leave a link possible (a
+   bit that only one has stands for an element that only one has) are joined;
+   the components of these edges are the candidate clusters.
 3. A third pass sends the whole sets of clustered classes to their cluster.
    A set goes once for each task, not once for each copy.
 4. Within a block of a cluster, breadth-first T-occurrence search finds the
@@ -53,6 +55,8 @@ COUNT_SLICE = 1 << 14
 FILTER_BITS = 24
 BLOCK = 1 << 21
 ROUNDS = 3
+SKETCH_BITS = 1 << 13
+LIST = 1 << 12
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -175,14 +179,125 @@ def _runs(postings: DataFrame) -> DataFrame:
     return postings.select("shingle", "d1", "n").repartition("shingle").sortWithinPartitions("shingle", "n", "d1").mapInArrow(run, "shingle long, d1 long, n int, head long")
 
 
-def _stars(postings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Edges ``a, b`` from the first class of each list to the others, classes that share too little left out."""
+def _shared_lists(postings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The lists' rows, classes that share too little left out."""
     lists = stored(_runs(postings))
     smaller = F.ceil(F.col("n") * NUM / DEN).cast("int")
     for _ in range(rounds):
         enough = lists.groupBy("d1").agg(F.count("*").alias("_k"), F.max("n").alias("n")).where(F.col("_k") >= F.greatest(F.lit(1), F.floor(smaller / 16))).select("d1")
         lists = stored(_runs(lists.join(enough, "d1", "left_semi")))
-    return lists.where("head <> d1").select(F.col("head").alias("a"), F.col("d1").alias("b")).distinct()
+    return lists
+
+
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """One of all lists with the same members: the shingles of a passage say the same about its documents."""
+    members = lists.groupBy("shingle", "head").agg(F.sum(F.xxhash64("d1").cast("decimal(20,0)")).alias("_s"), F.sum(F.xxhash64(F.lit(1), "d1").cast("decimal(20,0)")).alias("_t"), F.count("*").alias("_n"))
+    one = members.groupBy("head", "_s", "_t", "_n").agg(F.min("shingle").alias("shingle")).select("shingle", "head")
+    return lists.join(one, ["shingle", "head"], "left_semi")
+
+
+def sketch(v: np.ndarray) -> bytes:
+    """A bitmap of a set, of a power of two of bits: about one to two for each element, at most ``SKETCH_BITS``."""
+    bits = min(max(64, 1 << int(len(v)).bit_length()), SKETCH_BITS)
+    own = np.zeros(bits, bool)
+    own[(tk.mix(v ^ U64(0x2545F491)) & U64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(own, bitorder="little").tobytes()
+
+
+def may_link(one: np.ndarray, n: int, many: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sketches (rows of 64-bit words, equally wide) leave a link possible.
+
+    Each bit of one sketch that the other lacks stands for an element that the other set lacks.
+    """
+    lacks = np.bitwise_count(one & ~many).sum(axis=1, dtype=np.int64)
+    extra = np.bitwise_count(many & ~one).sum(axis=1, dtype=np.int64)
+    shared = np.minimum(n - lacks, sizes - extra)
+    return (shared > 0) & (shared * DEN >= NUM * (n + sizes - shared))
+
+
+def _fold(own: list[bytes], n_bytes: int) -> np.ndarray:
+    """Sketches brought to one width: a wider one is folded, a narrower one (of a smaller set) repeated."""
+    out = np.zeros((len(own), n_bytes // 8), np.uint64)
+    for k, x in enumerate(own):
+        a = np.frombuffer(x, np.uint64)
+        w = n_bytes // 8
+        out[k] = np.bitwise_or.reduce(a.reshape(-1, w), axis=0) if len(a) >= w else np.tile(a, w // len(a))
+    return out
+
+
+def list_groups(n: np.ndarray, own: list[bytes]) -> np.ndarray:
+    """Group number of each member of a list: groups are joined by pairs that may link (breadth first)."""
+    label = np.full(len(n), -1)
+    words = _fold(own, min(len(x) for x in own))
+    left = np.arange(len(n))
+    number = 0
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        label[queue[0]] = number
+        while queue and len(left):
+            q = queue.pop()
+            hit = may_link(words[q], int(n[q]), words[left], n[left])
+            found, left = left[hit], left[~hit]
+            label[found] = number
+            queue += found.tolist()
+        number += 1
+    return label
+
+
+def _edges(lists: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between members of a list whose sketches leave a link possible, from the first of each group.
+
+    A list of more than ``LIST`` members is taken in parts whose groups are then
+    joined, which may only make a cluster larger.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(key: tuple, rows: list[tuple], more: bool) -> None:
+            d = np.array([r[0] for r in rows], np.int64)
+            label = list_groups(np.array([r[1] for r in rows], np.int64), [r[2] for r in rows])
+            _, first = np.unique(label, return_index=True)
+            head = d[first][label] if not more else np.full(len(d), key[1])
+            pairs.update(zip(head[head != d].tolist(), d[head != d].tolist()))
+
+        pairs: set = set()
+        key, held, parts = None, [], 0
+        for b in batches:
+            for s, h, d, n, x in zip(*(b.column(c).to_pylist() for c in ("shingle", "head", "d1", "n", "sketch"))):
+                if (s, h) != key:
+                    if held:
+                        solve(key, held, parts > 0)
+                    key, held, parts = (s, h), [], 0
+                elif len(held) >= LIST:
+                    solve(key, held, True)
+                    held, parts = [], parts + 1
+                held.append((d, n, x))
+            if len(pairs) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+                pairs.clear()
+        if held:
+            solve(key, held, parts > 0)
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return lists.select("shingle", "head", "d1", "n", "sketch").repartition("shingle", "head").sortWithinPartitions("shingle", "head", "n", "d1").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sketches(docs: DataFrame, text: str, known: np.ndarray) -> DataFrame:
+    """``d1, sketch`` of each class in the filter, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for b in tk.slices(batches, text):
+            v, at, n, d1, _ = _sets(b, text)
+            rows = []
+            for i in np.flatnonzero(has_bit(known, FILTER_BITS, d1) & (n > 0)).tolist():
+                if int(d1[i]) not in done:
+                    done.add(int(d1[i]))
+                    rows.append((int(d1[i]), sketch(v[at[i] : at[i + 1]])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["d1", "sketch"])
+
+    return docs.select(text).mapInArrow(run, "d1 long, sketch binary").groupBy("d1").agg(F.min("sketch").alias("sketch"))
 
 
 class Index:
@@ -345,8 +460,10 @@ def _relabel(comps: DataFrame, edges: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     measured, crowded = _measure(docs, text)
-    stars = stored(_stars(_postings(docs, text, crowded)))
-    clusters = components(stars).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
+    lists = stored(_distinct_lists(_shared_lists(_postings(docs, text, crowded))))
+    sketches = _sketches(docs, text, bit_set(lists.select("d1"), FILTER_BITS))
+    edges = stored(_edges(lists.join(sketches, "d1")))
+    clusters = components(edges).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
     known = bit_set(clusters.select("d1"), FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
