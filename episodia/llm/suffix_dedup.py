@@ -307,6 +307,7 @@ def _trees(rows: DataFrame, length: int, run_bytes: int = RUN_BYTES) -> DataFram
                 size += len(r[4])
         if held:
             yield solve(held)
+        tk.release()
 
     return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "digest").mapInArrow(run, "anchor long, digest long, begin long, end long, window long, alone boolean")
 

@@ -7,6 +7,8 @@ document is a few array passes and no Python loop over words.  A word is
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,6 +59,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, at[:-1], at[1:]
 
 
+def release() -> None:
+    """Give freed memory back: workers are used again by later stages and would keep what the largest one took."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``limit`` bytes of text (one text is never cut)."""
     for batch in batches:
@@ -69,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
 
 
 class Prefix:
