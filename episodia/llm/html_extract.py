@@ -13,7 +13,9 @@ class and id), and text blocks named by path and content.  For each host
 3. the places between template tokens are slots.  A constant text block is part
    of the template where the article has no container of its own; the main slots lie in the deepest template element that
    holds most of the host's slot text, boilerplate elements (menus, adverts and
-   the like, by tag, role or class name) left aside.
+   the like, by tag, role or class name) left aside.  A class name or a form is
+   a weak sign: it does not count for an element that holds the page's article
+   or the bulk of the host's text.
 
 The page pass then locates the main element in each page and writes out its
 remaining slots.  Hosts with too few pages, and pages that do not fit their
@@ -47,6 +49,7 @@ from episodia.llm.textkernel import slices
 MIN_PAGES = 4  # of a host that gets a template of its own
 SUPPORT = 0.6  # share of a host's pages that a valid class occurs in
 MASS = 0.6  # share of the slot text that the main element holds
+BULK = 0.5  # share of a host's text in an element that makes it a wrapper, whatever its name
 BROADCAST_BYTES = 16 << 20
 
 SCANNER = re.compile(
@@ -72,27 +75,33 @@ WORD_IN_NAME = re.compile(r"[a-z]+|\d+")
 
 
 @lru_cache(maxsize=1 << 16)
-def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of an element (name, class, id), whether it is boilerplate, whether it is marked as the article."""
+def _element(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label of an element (name, class, id), whether it is boilerplate, whether a name or form says so, whether it is marked as the article."""
     if not attributes.strip():
-        return name, name in BOILER_TAGS, name in ("article", "main")
+        return name, name in BOILER_TAGS and name != "form", name == "form", name in ("article", "main")
     got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     role = got.get("role", "").lower()
     names = set(WORD_IN_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", got.get("class", "") + " " + got.get("id", "")).lower()))
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", "")))
     main = name in ("article", "main") or role in ("main", "article") or got.get("itemprop") == "articleBody"
-    boiler = name in BOILER_TAGS or role in BOILER_ROLES or hidden or (bool(names & BOILER_NAMES) and not main and name not in ("html", "body"))
+    boiler = (name in BOILER_TAGS and name != "form") or (role in BOILER_ROLES and role != "form") or hidden
+    weak = name == "form" or role == "form" or (bool(names & BOILER_NAMES) and name not in ("html", "body"))
     label = name + "".join(f".{x}" for x in sorted(got.get("class", "").split())) + (f"#{got['id']}" if got.get("id") else "")
-    return label, boiler, main
+    return label, boiler, weak, main
 
 
 class Page:
-    """Elements and text blocks of a page, in page order."""
+    """Elements and text blocks of a page, in page order.
 
-    def __init__(self, html: str):
+    ``wrappers`` are paths of elements whose name or form does not make them boilerplate.
+    """
+
+    def __init__(self, html: str, wrappers: frozenset | set = frozenset()):
         self.path: list[str] = [""]  # of each element
         self.parent: list[int] = [-1]
         self.boiler: list[bool] = [False]
+        self.own: list[bool] = [False]  # boilerplate by tag, role or hidden
+        self.weak: list[bool] = [False]  # boilerplate by name or form
         self.main: list[bool] = [False]
         self.tag: list[str] = [""]
         self.blocks: list[tuple[int, str]] = []  # element, text
@@ -117,8 +126,8 @@ class Page:
             name = name.lower()
             if name in INLINE:
                 if not m[2] and m[4]:
-                    _, boiler, _ = _element(name, m[4])
-                    if not boiler:
+                    _, boiler, weak, _ = _element(name, m[4])
+                    if not boiler and not weak:
                         continue
                 elif not m[2] or name not in [self.tag[i] for i in stack[-1:]]:
                     continue
@@ -136,14 +145,12 @@ class Page:
                 continue
             while len(stack) > 1 and name in ENDS.get(self.tag[stack[-1]], ()):
                 stack.pop()
-            label, boiler, main = _element(name, m[4])
+            label, boiler, weak, main = _element(name, m[4])
             up = stack[-1]
-            inside = self.boiler[up]
-            if name in HEADINGS and self.tag[up] == "header" and self._in_main(up):
-                inside = False  # an article's own title
             self.path.append(f"{self.path[up]}/{label}")
             self.parent.append(up)
-            self.boiler.append(boiler or inside)
+            self.own.append(boiler)
+            self.weak.append(weak)
             self.main.append(main)
             self.tag.append(name)
             stack.append(len(self.path) - 1)
@@ -151,38 +158,69 @@ class Page:
             parts.append(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html[at:]))
         flush()
 
-    def _in_main(self, e: int) -> bool:
-        while e >= 0:
-            if self.main[e]:
-                return True
+        self.weak_text = [0] * len(self.path)  # characters in each element, weak boilerplate included
+        self.article = -1
+        self._judge(wrappers)
+
+    def _judge(self, wrappers: frozenset | set) -> None:
+        """Settle what is boilerplate: inherited, but a name or form does not count around the article or in ``wrappers``."""
+        n = len(self.path)
+        outer, named, in_main = [False] * n, [False] * n, [-1] * n
+        for e in range(1, n):
+            up = self.parent[e]
+            in_main[e] = e if self.main[e] else in_main[up]
+            title = self.tag[e] in HEADINGS and self.tag[up] == "header" and in_main[up] >= 0  # an article's own title
+            from_ = in_main[up] if title else up
+            outer[e] = self.own[e] or outer[from_]
+            named[e] = named[from_] or (self.weak[e] and not self.main[e] and self.path[e] not in wrappers)
+        self.weak_text = self._sums([not x for x in outer])
+        free = self._sums([not x and not y for x, y in zip(outer, named)])[0]
+        size = self.weak_text
+        marked = [e for e in range(1, n) if self.main[e] and size[e] and not outer[e]]
+        plain = [e for e in marked if not self.weak[e]] or marked
+        tops = [e for e in plain if in_main[self.parent[e]] not in plain]
+        # teasers and comments may be articles in a named box: one that is not alone must outweigh what is free
+        fit = [e for e in tops if not named[e] or self.tag[e] == "main" or len(tops) == 1 or size[e] >= free]
+        if fit:
+            self.article = max(fit, key=lambda e: (size[e], -e))
+        clear, e = set(), self.article
+        while e > 0:
+            clear.add(e)
             e = self.parent[e]
-        return False
-
-    def mass(self, constant: frozenset | set = frozenset()) -> list[int]:
-        """Characters of slot text in each element, its inner elements included."""
+        self.boiler = [False] * n
+        for e in range(1, n):
+            up = self.parent[e]
+            title = self.tag[e] in HEADINGS and self.tag[up] == "header" and in_main[up] >= 0
+            weak = self.weak[e] and not self.main[e] and e not in clear and self.path[e] not in wrappers
+            self.boiler[e] = self.own[e] or weak or self.boiler[in_main[up] if title else up]
+
+    def _sums(self, counts: list[bool], constant: frozenset | set = frozenset()) -> list[int]:
         out = [0] * len(self.path)
         for e, text in self.blocks:
-            if not self.boiler[e] and (not constant or _hash(f"{self.path[e]}\t{text}") not in constant):
+            if counts[e] and (not constant or _hash(f"{self.path[e]}\t{text}") not in constant):
                 out[e] += len(text)
         for e in range(len(out) - 1, 0, -1):
-            if not self.boiler[e]:
-                out[self.parent[e]] += out[e]
+            out[self.parent[e]] += out[e]
         return out
 
+    def mass(self, constant: frozenset | set = frozenset()) -> list[int]:
+        """Characters of slot text in each element, its inner elements included."""
+        return self._sums([not x for x in self.boiler], constant)
+
     def text(self, root: int, constant: frozenset | set = frozenset()) -> str:
         """The slots below ``root``; ``constant`` blocks belong to the template."""
         inside = [False] * len(self.path)
         inside[root] = True
         for e in range(root + 1, len(inside)):
-            inside[e] = inside[self.parent[e]] and not self.boiler[e]
-        return " ".join(t for e, t in self.blocks if inside[e] and not (constant and _hash(f"{self.path[e]}\t{t}") in constant))
+            inside[e] = inside[self.parent[e]]
+        return " ".join(t for e, t in self.blocks if inside[e] and not self.boiler[e] and not (constant and _hash(f"{self.path[e]}\t{t}") in constant))
 
     def largest(self, share: float = MASS) -> int:
         """The deepest element that holds most of the page's text; a marked article before others."""
         mass = self.mass()
         total = mass[0]
-        marked = [e for e in range(len(mass)) if self.main[e] and not self.boiler[e]]
-        if marked:
+        if self.article >= 0:
+            marked = [e for e in range(len(mass)) if self.main[e] and not self.boiler[e]]
             return max(marked, key=lambda e: (mass[e], e))
         best = 0
         for e in range(1, len(mass)):
@@ -201,17 +239,47 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.lower(F.regexp_extract(F.substr(url, at + 3), "^[^/?#]*", 0))), F.lit(""))
 
 
+def wrappers(pages: DataFrame, bulk: float = BULK) -> DataFrame:
+    """``host, wrappers``: paths that look like boilerplate by name or form and hold the bulk of the host's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html", 4 << 20):
+            sums: dict[tuple, int] = {}
+            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                p = Page(source or "")
+                sums[host, ""] = sums.get((host, ""), 0) + p.weak_text[0]
+                inside = [p.article < 0] * len(p.path)  # beside a marked article there is nothing to free
+                for e in range(1, len(p.path)):
+                    inside[e] = inside[p.parent[e]] or e == p.article
+                    if p.weak[e] and not p.main[e] and inside[e]:
+                        sums[host, p.path[e]] = sums.get((host, p.path[e]), 0) + p.weak_text[e]
+            if sums:
+                host, path = zip(*sums)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(list(sums.values()), pa.int64())], ["host", "path", "size"])
+
+    sums = stored(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, size long").groupBy("host", "path").agg(F.sum("size").alias("size")))
+    whole = sums.where("path = ''").select("host", F.col("size").alias("whole"))
+    return stored(sums.where("path <> ''").join(whole, "host").where((F.col("size") > F.col("whole") * bulk)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("wrappers")))
+
+
+def with_wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``pages`` with ``host`` and its ``wrappers`` (null for most)."""
+    keyed = pages.withColumn("host", host_of(F.col("url")))
+    weight = found.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("wrappers", " ")) + 64)).first()[0] or 0
+    return keyed.join(F.broadcast(found) if weight <= BROADCAST_BYTES else found, "host", "left")
+
+
 TOKENS = "host string, token long, path string, is_text boolean, is_main boolean, boiler boolean, times int, place int, mass long, page long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Distinct tokens of each page: how often, where first, and the slot text below them."""
+    """Distinct tokens of each page (with ``host`` and ``wrappers``): how often, where first, and the slot text below them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html", 4 << 20):
             out: list[tuple] = []
-            for host, source, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("page").to_pylist()):
-                p = Page(source or "")
+            for host, source, page, wrap in zip(*(b.column(c).to_pylist() for c in ("host", "html", "page", "wrappers"))):
+                p = Page(source or "", frozenset(wrap or ()))
                 mass = p.mass()
                 own: dict[int, list] = {}
                 for e in range(1, len(p.path)):
@@ -226,11 +294,11 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["host", "token", "path", "is_text", "is_main", "boiler", "times", "place", "mass", "page"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "url", F.octet_length("html"), F.monotonically_increasing_id()).alias("page")).mapInArrow(run, TOKENS)
+    return pages.select("host", "html", "wrappers", F.xxhash64("page_id", "url", F.octet_length("html"), F.monotonically_increasing_id()).alias("page")).mapInArrow(run, TOKENS)
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, mass: float = MASS) -> DataFrame:
-    """``host, main_path, constants``: the path of the main element and the constant text blocks around it.
+    """``host, main_path, constants`` of pages with ``host`` and ``wrappers``: the path of the main element and the constant text blocks around it.
 
     The host null stands for all hosts together.
     """
@@ -270,20 +338,21 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, mass: float = MASS) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    known = stored(templates(pages, min_pages, support, mass))
+    wrapped = with_wrappers(pages, wrappers(pages))
+    known = stored(templates(wrapped, min_pages, support, mass))
     common = known.where("host is null").limit(1).collect()
     shared_path = common[0]["main_path"] if common else None
     own = known.where("host is not null").withColumnRenamed("host", "_host")
     weight = own.agg(F.sum(F.octet_length("main_path") + F.octet_length("_host") + 8 * F.size("constants") + 64)).first()[0] or 0
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
+    keyed = wrapped.select("page_id", "url", "html", "wrappers", F.col("host").alias("_host"))
     joined = keyed.join(F.broadcast(own) if weight <= BROADCAST_BYTES else own, "_host", "left")
     shape = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html", 4 << 20):
             texts = []
-            for source, path, constants in zip(b.column("html").to_pylist(), b.column("main_path").to_pylist(), b.column("constants").to_pylist()):
-                p = Page(source or "")
+            for source, path, constants, wrap in zip(*(b.column(c).to_pylist() for c in ("html", "main_path", "constants", "wrappers"))):
+                p = Page(source or "", frozenset(wrap or ()))
                 root = -1
                 for wanted in (path, shared_path):
                     fit = [e for e in range(len(p.path)) if p.path[e] == wanted] if wanted else []
@@ -297,7 +366,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPO
                 texts.append((p.text(root, frozenset(constants)) if bare else "") or p.text(root))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "main_path", "constants").mapInArrow(run, shape)
+    return joined.select("page_id", "url", "html", "main_path", "constants", "wrappers").mapInArrow(run, shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,22 @@ def test_html_extract_articles(spark, sf):
         assert got[r["page_id"]] == " ".join(want.split())
 
 
+@pytest.mark.parametrize("before,after", [("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div class='post comments-open'>", "</div>"), ("<form id=aspnetForm>", "</form>")])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_html_extract_named_wrappers(spark, before, after, element):
+    page = f"<html><body><nav>Menu</nav>{before}<{element}><h1>Title {{0}}</h1><p>First {{0}} and its words</p><div class=share>Share it</div></{element}>{after}<div class=related><article>Teaser {{0}}</article></div><div class=sidebar><p>Aside {{0}}</p></div></body></html>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(8)] + [(i, f"http://small{i}.org/", page.format(i)) for i in (8, 9)]
+    got = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} First {i} and its words" for i in range(10)}
+
+
+def test_html_extract_comments_stay_out(spark):
+    page = "<html><body><article><header><h1>Title {0}</h1></header><p>Short {0}</p></article><div id=comments><article class=comment>A long comment {0} that outweighs the article by far</article><article class=comment>Another long comment {0} of that kind</article></div></body></html>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} Short {i}" for i in range(8)}
+
+
 def brute_stats(t):
     t = t or ""
     w = WORD.findall(t)
