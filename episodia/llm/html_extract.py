@@ -11,14 +11,15 @@ class and id), and text blocks named by path and content.  For each host
    in the same order, each time nested in the class before it; valid classes
    that occur once a page nest into the host's template;
 3. the places between template tokens are slots.  A constant text block is part
-   of the template where the article has no container of its own; the main slots lie in the deepest template element that
-   holds most of the host's slot text, boilerplate elements (menus, adverts and
+   of the template where the article has no container of its own; the search for the main slots starts at the outermost
+   marked article, or at the deepest template element, that holds most of the host's slot text, boilerplate elements (menus, adverts and
    the like, by tag, role or class name) left aside.  A class name or a form is
    a weak sign: it does not count for an element that holds the page's article
    or the bulk of the host's text.
 
-The page pass then locates the main element in each page and writes out its
-remaining slots.  Hosts with too few pages, and pages that do not fit their
+The page pass then locates the main element in each page, climbs from an
+unmarked one to the smallest element that holds all of the page's slot text, and
+writes out its remaining slots.  Hosts with too few pages, and pages that do not fit their
 host's template, use the template deduced over all hosts together, and at last
 the page's own largest element.
 
@@ -75,17 +76,18 @@ WORD_IN_NAME = re.compile(r"[a-z]+|\d+")
 
 
 @lru_cache(maxsize=1 << 16)
-def _element(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Label of an element (name, class, id), whether it is boilerplate, whether a name or form says so, whether it is marked as the article."""
+def _element(name: str, attributes: str) -> tuple[str, bool, int, bool]:
+    """Label of an element (name, class, id), whether it is boilerplate, whether a form or part of a name (1) or a whole name (2) says so, whether it is marked as the article."""
     if not attributes.strip():
-        return name, name in BOILER_TAGS and name != "form", name == "form", name in ("article", "main")
+        return name, name in BOILER_TAGS and name != "form", int(name == "form"), name in ("article", "main")
     got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     role = got.get("role", "").lower()
     names = set(WORD_IN_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", got.get("class", "") + " " + got.get("id", "")).lower()))
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", "")))
     main = name in ("article", "main") or role in ("main", "article") or got.get("itemprop") == "articleBody"
     boiler = (name in BOILER_TAGS and name != "form") or (role in BOILER_ROLES and role != "form") or hidden
-    weak = name == "form" or role == "form" or (bool(names & BOILER_NAMES) and name not in ("html", "body"))
+    whole = set((got.get("class", "") + " " + got.get("id", "")).lower().split()) & BOILER_NAMES
+    weak = 0 if name in ("html", "body") else 2 if whole else int(name == "form" or role == "form" or bool(names & BOILER_NAMES))
     label = name + "".join(f".{x}" for x in sorted(got.get("class", "").split())) + (f"#{got['id']}" if got.get("id") else "")
     return label, boiler, weak, main
 
@@ -101,7 +103,7 @@ class Page:
         self.parent: list[int] = [-1]
         self.boiler: list[bool] = [False]
         self.own: list[bool] = [False]  # boilerplate by tag, role or hidden
-        self.weak: list[bool] = [False]  # boilerplate by name or form
+        self.weak: list[int] = [0]  # boilerplate by name or form
         self.main: list[bool] = [False]
         self.tag: list[str] = [""]
         self.blocks: list[tuple[int, str]] = []  # element, text
@@ -172,15 +174,13 @@ class Page:
             title = self.tag[e] in HEADINGS and self.tag[up] == "header" and in_main[up] >= 0  # an article's own title
             from_ = in_main[up] if title else up
             outer[e] = self.own[e] or outer[from_]
-            named[e] = named[from_] or (self.weak[e] and not self.main[e] and self.path[e] not in wrappers)
+            named[e] = named[from_] or (bool(self.weak[e]) and not self.main[e] and self.path[e] not in wrappers)
         self.weak_text = self._sums([not x for x in outer])
-        free = self._sums([not x and not y for x, y in zip(outer, named)])[0]
         size = self.weak_text
         marked = [e for e in range(1, n) if self.main[e] and size[e] and not outer[e]]
         plain = [e for e in marked if not self.weak[e]] or marked
         tops = [e for e in plain if in_main[self.parent[e]] not in plain]
-        # teasers and comments may be articles in a named box: one that is not alone must outweigh what is free
-        fit = [e for e in tops if not named[e] or self.tag[e] == "main" or len(tops) == 1 or size[e] >= free]
+        fit = [e for e in tops if not named[e] or self.tag[e] == "main" or self._outweighs(e, size, wrappers)]
         if fit:
             self.article = max(fit, key=lambda e: (size[e], -e))
         clear, e = set(), self.article
@@ -191,9 +191,23 @@ class Page:
         for e in range(1, n):
             up = self.parent[e]
             title = self.tag[e] in HEADINGS and self.tag[up] == "header" and in_main[up] >= 0
-            weak = self.weak[e] and not self.main[e] and e not in clear and self.path[e] not in wrappers
+            weak = bool(self.weak[e]) and not self.main[e] and e not in clear and self.path[e] not in wrappers
             self.boiler[e] = self.own[e] or weak or self.boiler[in_main[up] if title else up]
 
+    def _outweighs(self, e: int, size: list[int], wrappers: frozenset | set) -> bool:
+        """Teasers and comments may be articles in a named box: whether no element beside ``e``'s box, whole names aside, holds more text."""
+        box, up = e, self.parent[e]
+        while up > 0:
+            if self.weak[up] and self.path[up] not in wrappers:
+                box = up
+            up = self.parent[up]
+        around, up = set(), box
+        while up >= 0:
+            around.add(up)
+            up = self.parent[up]
+        beside = (size[x] for x in range(1, len(size)) if self.parent[x] in around and self.parent[x] != box and x not in around and self.weak[x] < 2)
+        return size[box] >= max(beside, default=0)
+
     def _sums(self, counts: list[bool], constant: frozenset | set = frozenset()) -> list[int]:
         out = [0] * len(self.path)
         for e, text in self.blocks:
@@ -207,27 +221,57 @@ class Page:
         """Characters of slot text in each element, its inner elements included."""
         return self._sums([not x for x in self.boiler], constant)
 
-    def text(self, root: int, constant: frozenset | set = frozenset()) -> str:
-        """The slots below ``root``; ``constant`` blocks belong to the template."""
-        inside = [False] * len(self.path)
+    def text(self, root: int, constant: frozenset | set = frozenset(), core: int = 0) -> str:
+        """The slots below ``root``; ``constant`` blocks belong to the template, except inside ``core`` (if not 0)."""
+        inside, kept = [False] * len(self.path), [False] * len(self.path)
         inside[root] = True
-        for e in range(root + 1, len(inside)):
-            inside[e] = inside[self.parent[e]]
-        return " ".join(t for e, t in self.blocks if inside[e] and not self.boiler[e] and not (constant and _hash(f"{self.path[e]}\t{t}") in constant))
+        for e in range(1, len(inside)):
+            inside[e] = inside[e] or inside[self.parent[e]]
+            kept[e] = e == core or kept[self.parent[e]]
+        return " ".join(t for e, t in self.blocks if inside[e] and not self.boiler[e] and (kept[e] or not constant or _hash(f"{self.path[e]}\t{t}") not in constant))
 
     def largest(self, share: float = MASS) -> int:
-        """The deepest element that holds most of the page's text; a marked article before others."""
-        mass = self.mass()
-        total = mass[0]
+        """The page's marked article, or the deepest element that holds most of its text."""
         if self.article >= 0:
-            marked = [e for e in range(len(mass)) if self.main[e] and not self.boiler[e]]
-            return max(marked, key=lambda e: (mass[e], e))
-        best = 0
+            return self._all_marked()
+        mass = self.mass()
+        total, best = mass[0], 0
         for e in range(1, len(mass)):
             if self.tag[e] not in ENDS and self.tag[e] not in HEADINGS and self.parent[e] == best and total and mass[e] >= share * total:
                 best = e
         return best
 
+    def _all_marked(self, share: float = MASS) -> int:
+        """The outermost marked article; what holds all of them where the largest has not most of their text."""
+        mass = self.mass()
+        tops = [e for e in range(1, len(mass)) if self.main[e] and mass[e] and not self.boiler[e] and not self._in_main(self.parent[e])]
+        if self.article in tops and mass[self.article] >= share * sum(mass[e] for e in tops):
+            return self.article
+        return self._common(tops) if tops else self.article
+
+    def _in_main(self, e: int) -> bool:
+        while e >= 0:
+            if self.main[e]:
+                return True
+            e = self.parent[e]
+        return False
+
+    def _common(self, elements: list[int]) -> int:
+        """The smallest element around all of ``elements``."""
+        out = elements[0]
+        for e in elements[1:]:
+            while e != out:  # an element comes after those around it
+                if e > out:
+                    e = self.parent[e]
+                else:
+                    out = self.parent[out]
+        return out
+
+    def climb(self, core: int, constant: frozenset | set = frozenset()) -> int:
+        """The smallest element that holds ``core`` and all slot text."""
+        slots = {e for e, t in self.blocks if not self.boiler[e] and not (constant and _hash(f"{self.path[e]}\t{t}") in constant)}
+        return self._common([core, *sorted(slots)])
+
 
 def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
@@ -330,8 +374,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
     held = F.filter("_elements", lambda m: m["mass"] >= total * mass)
     marked = F.filter(held, lambda m: m["is_main"])
     deepest = lambda a: F.element_at(F.array_sort(F.transform(a, lambda m: F.struct(F.size(F.split(m["path"], "/")).alias("n"), m["path"].alias("path")))), -1)["path"]
+    outermost = lambda a: F.element_at(F.array_sort(F.transform(a, lambda m: F.struct(F.size(F.split(m["path"], "/")).alias("n"), m["path"].alias("path")))), 1)["path"]
     body = F.filter(held, lambda m: ~F.regexp_like(m["path"], F.lit(r"/(p|li|h[1-6]|td|tr|dd|dt)([.#][^/]*)?$")))
-    main = F.when(F.size(marked) > 0, deepest(marked)).when(F.size(body) > 0, deepest(body))
+    main = F.when(F.size(marked) > 0, outermost(marked)).when(F.size(body) > 0, deepest(body))
     constants = F.transform(F.filter("members", lambda m: m["is_text"]), lambda m: m["token"])
     return slots.select("host", main.alias("main_path"), constants.alias("constants")).where("main_path is not null")
 
@@ -353,17 +398,23 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPO
             texts = []
             for source, path, constants, wrap in zip(*(b.column(c).to_pylist() for c in ("html", "main_path", "constants", "wrappers"))):
                 p = Page(source or "", frozenset(wrap or ()))
-                root = -1
+                core = -1
                 for wanted in (path, shared_path):
                     fit = [e for e in range(len(p.path)) if p.path[e] == wanted] if wanted else []
-                    if len(fit) == 1:
-                        root = fit[0]
+                    if len(fit) == 1 and (wanted == path or p.main[fit[0]] or p.article < 0):
+                        core = fit[0]
                         break
-                if root < 0:
-                    root = p.largest()
+                own = core < 0 and p.article >= 0  # the page's own marked article
+                if core < 0:
+                    core = p.largest()
+                constant = frozenset(constants or ())
+                root = core if own or p.main[core] else p.climb(core, constant)
                 # inside a container of its own every block is content; in a bare body constant blocks are the template's
-                bare = p.tag[root] in ("", "html", "body") and constants
-                texts.append((p.text(root, frozenset(constants)) if bare else "") or p.text(root))
+                if p.tag[root] in ("", "html", "body") and constant:
+                    bare = p.tag[core] in ("", "html", "body")
+                    texts.append(p.text(root, constant, 0 if bare else core) or p.text(root))
+                else:
+                    texts.append(p.text(root))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "main_path", "constants", "wrappers").mapInArrow(run, shape)

@@ -228,6 +228,26 @@ def test_html_extract_comments_stay_out(spark):
     assert got == {i: f"Title {i} Short {i}" for i in range(8)}
 
 
+def shapes(i):
+    intro, body = f"Intro {i} in a few words", f"Body {i} " + "with many more words " * 6
+    want = f"{intro} {body.strip()}"
+    yield f"<div class=content><section id=intro><p>{intro}</p></section><section id=body><p>{body}</p></section></div>", want
+    yield f"<div class=content><div>{intro}</div><div><div>{body}</div></div></div>", want
+    yield f"<div class=content><p>{intro}</p><blockquote><p>{body}</p></blockquote></div>", want
+    yield f"<p>{intro}</p><ul><li>{body}</ul>", want
+    yield f"<article><p>{intro}</p><div itemprop=articleBody><p>{body}</p></div></article>", want
+    yield f"<main><p>{intro}</p><article><p>{body}</p></article></main>", want
+    yield f"<div class=content><article><p>{intro}</p></article><article><p>{intro}</p></article></div>", f"{intro} {intro}"
+
+
+@pytest.mark.parametrize("n", [8, 2])
+def test_html_extract_split_containers(spark, n):
+    page = "<html><body><nav>Menu</nav><div class=logo>Site</div>{}<footer>Imprint</footer></body></html>"
+    all_ = [(100 * k + i, f"http://h{k}.org/{i}", page.replace("<div class=logo>Site</div>", "").format(x) if n < 4 else page.format(x), want) for i in range(n) for k, (x, want) in enumerate(shapes(i))]
+    got = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame([r[:3] for r in all_], "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[3] for r in all_}
+
+
 def brute_stats(t):
     t = t or ""
     w = WORD.findall(t)
