@@ -163,9 +163,9 @@ def dual_search(queries: np.ndarray, q_tree: CoverTree, data: np.ndarray, d_tree
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """``vector, ids``: each distinct vector with its ``keep`` smallest ids (limited before the shuffle)."""
+    """``vector, ids``: each distinct vector with its ``keep`` smallest ids (limited before the shuffle); repeated rows count once."""
     order = Window.partitionBy("vector").orderBy("id")
-    few = rows.where(F.col("id").isNotNull()).withColumn("_r", F.rank().over(order)).where(F.col("_r") <= keep)
+    few = rows.where(F.col("id").isNotNull()).withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= keep)
     return few.groupBy("vector").agg(F.slice(F.sort_array(F.collect_set("id")), 1, keep).alias("ids"))
 
 

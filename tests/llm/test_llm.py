@@ -171,6 +171,13 @@ def test_topk_many_copies_and_blocks(spark):
         assert [got[i, k + 1] for k in range(5)] == [(j, int(s[j])) for j in best]
 
 
+def test_topk_repeated_rows_in_a_group_of_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(1, 10) for _ in range(3)] + [(0, [1.0, 2.0])] * 6 + [(20 + i, [0.5, 0.25 * i]) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", tk.quantised(F.col("v")).alias("vector"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in tk.search(df, F.col("id").isin(0, 3)).collect())
+    assert got == [(0, k + 1, i, 327680) for k, i in enumerate((1, 2, 3, 4, 5))] + [(3, k + 1, i, 327680) for k, i in enumerate((0, 1, 2, 4, 5))]
+
+
 def test_warc_round_trip_edges(spark, tmp_path):
     big = "p" * 200
     rows = [(1, "http://A.example.com/x?y", big), (2, None, big), (3, "no scheme\tx", None), (4, "http://b.org/", ""), (None, "http://c.org/", big), (5, "http://b.org/", "short"), (6, "http://b.org/", "short")]
