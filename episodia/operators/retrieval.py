@@ -1,13 +1,24 @@
 """Exact vector retrieval with leave-one-episode-out filters, and vector diagnostics.
 
 Candidates meet queries in an equi-join on the task, so a task's pairs are all
-that is compared; the top-k window is limited before its shuffle.
+that is compared; the top-k window is limited before its shuffle.  Statistics
+over the pairs of all tasks meet in blocks: a pair of blocks is a matrix product,
+and only each query's best rows or sums leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from episodia.llm.shared import stored
+
+BLOCK = 4096
+STRIP = 512
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -68,3 +79,97 @@ def progression(points: DataFrame) -> DataFrame:
     move = dot(sub(F.col("_n"), F.col("unit")), l2_normalise(sub(F.col("_b"), F.col("_a"))))
     moved = steps.withColumn("_m", F.round(move, 9))
     return moved.groupBy("episode").agg(F.max("n").alias("n"), F.avg(F.abs("_m")).alias("mean_abs"), F.avg((F.col("_m") > 0).cast("double")).alias("positive"), F.avg((F.col("_m") >= 0.01).cast("double")).alias("clear"))
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with a unit vector in one row a block, in as many partitions as there are blocks."""
+    rows = stored(rows.select(F.col("id").cast("long").alias("id"), F.col("task").cast("long").alias("task"), F.col("episode").cast("long").alias("episode"), "unit"))
+    n = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id", "task", "episode", F.monotonically_increasing_id()), F.lit(n))
+    return stored(rows.groupBy(own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows"))).select("rows").repartition(n)
+
+
+def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    r = rows.values
+    unit = r.field("unit")
+    return *(r.field(c).to_numpy(zero_copy_only=False) for c in ("id", "task", "episode")), unit.flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
+
+
+def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, block: int = BLOCK, digits: int = 6) -> DataFrame:
+    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks; pairs of one episode score -inf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q_rows, rows in zip(b.column("q_rows"), b.column("rows")):
+                (q_id, q_task, q_episode, q), (id_, task, episode, m) = _matrix(q_rows), _matrix(rows)
+                for lo in range(0, len(q_id), STRIP):
+                    at = slice(lo, lo + STRIP)
+                    scores = np.round(q[at] @ m.T, digits)
+                    scores[q_episode[at][:, None] == episode] = -np.inf
+                    yield pa.RecordBatch.from_pydict(per_strip(q_id[at], q_task[at], id_, task, scores))
+
+    met = _blocks(queries, block).withColumnRenamed("rows", "q_rows").crossJoin(_blocks(bank, block))
+    return met.mapInArrow(run, schema)
+
+
+def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The ``k`` best of each query over all tasks as ``top_k`` ranks them."""
+
+    def best(q_id, q_task, id_, task, scores):
+        order = np.argsort(id_, kind="stable")
+        scores, id_, task = scores[:, order], id_[order], task[order]
+        # everything that ties with the kth score takes part before ties go to the smaller id
+        if k < scores.shape[1]:
+            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        else:
+            kth = np.full(len(scores), -np.inf)
+        row, col = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+        s = scores[row, col]
+        by = np.lexsort((col, -s, row))
+        row, col, s = row[by], col[by], s[by]
+        first = np.searchsorted(row, np.arange(len(scores)))
+        keep = np.arange(len(row)) - first[row] < k
+        row, col, s = row[keep], col[keep], s[keep]
+        return {"q_id": q_id[row], "q_task": q_task[row], "id": id_[col], "task": task[col], "score": s}
+
+    found = block_scores(queries, bank, best, "q_id long, q_task long, id long, task long, score double", block)
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def contrastive(queries: DataFrame, bank: DataFrame, temperature: float = 0.1, block: int = BLOCK) -> DataFrame:
+    """``q_id, log_prob``: mean log softmax of the rows of the query's own task among all rows of other episodes."""
+
+    def sums(q_id, q_task, id_, task, scores):
+        s = scores / temperature
+        m = s.max(axis=1)
+        low = np.where(np.isfinite(m), m, 0.0)
+        same = (q_task[:, None] == task) & (scores > -np.inf)
+        return {"q_id": q_id, "m": low, "e": np.exp(s - low[:, None]).sum(axis=1), "own": np.where(same, s, 0.0).sum(axis=1), "n": same.sum(axis=1), "any": np.isfinite(m)}
+
+    part = stored(block_scores(queries, bank, sums, "q_id long, m double, e double, own double, n long, any boolean", block).where("any"))
+    top = part.groupBy("q_id").agg(F.max("m").alias("top"))
+    g = part.join(top, "q_id").groupBy("q_id").agg(F.max("top").alias("top"), F.sum(F.col("e") * F.exp(F.col("m") - F.col("top"))).alias("e"), F.sum("own").alias("own"), F.sum("n").alias("n"))
+    return g.where("n > 0").select("q_id", (F.col("own") / F.col("n") - F.col("top") - F.log("e")).alias("log_prob"))
+
+
+def pair_means(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """``same_task, mean, pairs`` of the scores of all pairs of different episodes, from sums of unit vectors: no pairs are made."""
+    keys = {"te": ["task", "episode"], "t": ["task"], "e": ["episode"], "a": []}
+
+    def sums(rows: DataFrame, by: list[str], s: str) -> tuple[DataFrame, DataFrame]:
+        x = rows.select(*by, F.posexplode("unit").alias("dim", "x")).groupBy(*by, "dim").agg(F.sum("x").alias(f"{s}x"))
+        return x, rows.groupBy(*by).agg(F.count("*").alias(f"{s}n"))
+
+    def both(by: list[str], name: str) -> DataFrame:
+        (qx, qn), (bx, bn) = sums(queries, by, "q"), sums(bank, by, "b")
+        dot_ = qx.join(bx, [*by, "dim"]).agg(F.coalesce(F.sum(F.col("qx") * F.col("bx")), F.lit(0.0)).alias(f"{name}_dot"))
+        n = (qn.join(bn, by) if by else qn.crossJoin(bn)).agg(F.coalesce(F.sum(F.col("qn") * F.col("bn")), F.lit(0)).alias(f"{name}_n"))
+        return dot_.crossJoin(n)
+
+    one = None
+    for name, by in keys.items():
+        one = both(by, name) if one is None else one.crossJoin(both(by, name))
+    diff = lambda c, s: F.col(f"t_{c}") - F.col(f"te_{c}") if s else F.col(f"a_{c}") - F.col(f"t_{c}") - F.col(f"e_{c}") + F.col(f"te_{c}")
+    rows = F.array(*[F.struct(F.lit(s).alias("same_task"), diff("dot", s).alias("dot"), diff("n", s).alias("pairs")) for s in (True, False)])
+    return one.select(F.inline(rows)).select("same_task", F.when(F.col("pairs") > 0, F.col("dot") / F.col("pairs")).alias("mean"), "pairs")

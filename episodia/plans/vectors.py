@@ -13,10 +13,16 @@ PAIRS = f"WITH {BANK}, p AS (SELECT q.id AS q_id, q.task AS q_task, b.id, b.task
 
 
 def asked(spark, sf):
+    """The stated query set (every tenth id) and the bank."""
     b = bank(spark, sf)
     return b.where(F.col("id") % 10 == 0), b
 
 
+def everyone(spark, sf):
+    b = bank(spark, sf)
+    return b, b
+
+
 @add("f01_same_task_topk", PAIRS.format("q.task = b.task") + " SELECT q_id, rank, id, score FROM k WHERE rank <= 4")
 def f01(spark, sf):
     return rt.top_k(rt.candidates(*asked(spark, sf)), 4).select("q_id", F.col("rank").cast("long").alias("rank"), "id", "score")
@@ -38,24 +44,40 @@ def f04(spark, sf):
 
 @add("f06_neighbour_accuracy", PAIRS.format("true") + " SELECT q_task AS task, round(avg(CASE WHEN task = q_task THEN 1.0 ELSE 0.0 END), 6) AS top1, count(*) AS queries FROM k WHERE rank = 1 GROUP BY 1")
 def f06(spark, sf):
-    q, b = asked(spark, sf)
-    both = rt.candidates(q, b).unionByName(rt.candidates(q, b, same_task=False))
-    return rt.top_k(both, 1).groupBy(F.col("q_task").alias("task")).agg(F.round(F.avg((F.col("task") == F.col("q_task")).cast("double")), 6).alias("top1"), F.count("*").alias("queries"))
+    return _accuracy(*asked(spark, sf))
+
+
+@add("f06_neighbour_accuracy_all")
+def f06_all(spark, sf):
+    return _accuracy(*everyone(spark, sf))
+
+
+def _accuracy(q, b):
+    return rt.block_top_k(q, b, 1).groupBy(F.col("q_task").cast("int").alias("task")).agg(F.round(F.avg((F.col("task") == F.col("q_task")).cast("double")), 6).alias("top1"), F.count("*").alias("queries"))
 
 
 @add("d27_top5_hits", PAIRS.format("true") + " SELECT q_id, max(CASE WHEN task = q_task THEN 1 ELSE 0 END) = 1 AS hit FROM k WHERE rank <= 5 GROUP BY 1")
 def d27(spark, sf):
-    q, b = asked(spark, sf)
-    both = rt.candidates(q, b).unionByName(rt.candidates(q, b, same_task=False))
-    return rt.top_k(both, 5).groupBy("q_id").agg(F.bool_or(F.col("task") == F.col("q_task")).alias("hit"))
+    return _hits(*asked(spark, sf))
+
+
+@add("d27_top5_hits_all")
+def d27_all(spark, sf):
+    return _hits(*everyone(spark, sf))
+
+
+def _hits(q, b):
+    return rt.block_top_k(q, b, 5).groupBy("q_id").agg(F.bool_or(F.col("task") == F.col("q_task")).alias("hit"))
 
 
 @add("f07_pair_cosine_means", PAIRS.format("true") + " SELECT q_task = task AS same_task, round(avg(score), 5) AS mean, count(*) AS pairs FROM p GROUP BY 1")
 def f07(spark, sf):
-    q, b = asked(spark, sf)
-    score = F.round(rt.dot(F.col("q_unit"), F.col("unit")), 6)
-    part = lambda same: rt.candidates(q, b, same).agg(F.round(F.avg(score), 5).alias("mean"), F.count("*").alias("pairs")).select(F.lit(same).alias("same_task"), "mean", "pairs")
-    return part(True).unionByName(part(False))
+    return rt.pair_means(*asked(spark, sf)).withColumn("mean", F.round("mean", 5))
+
+
+@add("f07_pair_cosine_means_all")
+def f07_all(spark, sf):
+    return rt.pair_means(*everyone(spark, sf)).withColumn("mean", F.round("mean", 5))
 
 
 @add("d14_prototypes", f"WITH {BANK}, d AS (SELECT task, unnest(range(64)) AS dim, unnest(vector) AS x FROM bank) SELECT task, dim, round(avg(x), 6) AS value, count(*) AS n FROM d GROUP BY 1, 2")
@@ -66,12 +88,12 @@ def d14(spark, sf):
 @add("d22_contrastive_metric", PAIRS.format("true") + """, l AS (SELECT q_id, q_task, task, score / 0.1 AS s, max(score / 0.1) OVER (PARTITION BY q_id) AS m FROM p)
 SELECT q_id, round(avg(CASE WHEN task = q_task THEN s END) - max(m) - ln(sum(exp(s - m))), 5) AS log_prob FROM l GROUP BY 1 HAVING count(CASE WHEN task = q_task THEN 1 END) > 0""")
 def d22(spark, sf):
-    q, b = asked(spark, sf)
-    both = rt.candidates(q, b).unionByName(rt.candidates(q, b, same_task=False))
-    s = both.select("q_id", (F.col("q_task") == F.col("task")).alias("same"), (F.round(rt.dot(F.col("q_unit"), F.col("unit")), 6) / 0.1).alias("s"))
-    top = F.max("s").over(Window.partitionBy("q_id"))
-    g = s.withColumn("m", top).groupBy("q_id").agg((F.avg(F.when(F.col("same"), F.col("s"))) - F.max("m") - F.log(F.sum(F.exp(F.col("s") - F.col("m"))))).alias("l"), F.count(F.when(F.col("same"), 1)).alias("n"))
-    return g.where("n > 0").select("q_id", F.round("l", 5).alias("log_prob"))
+    return rt.contrastive(*asked(spark, sf)).select("q_id", F.round("log_prob", 5).alias("log_prob"))
+
+
+@add("d22_contrastive_metric_all")
+def d22_all(spark, sf):
+    return rt.contrastive(*everyone(spark, sf)).select("q_id", F.round("log_prob", 5).alias("log_prob"))
 
 
 @add("e16_phase_progression", f"""WITH {BANK}, s AS (SELECT episode, id, unit, first_value(unit) OVER w AS a, last_value(unit) OVER w AS b, lead(unit) OVER (PARTITION BY episode ORDER BY id) AS n, count(*) OVER (PARTITION BY episode) AS c FROM units WINDOW w AS (PARTITION BY episode ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),

@@ -147,3 +147,32 @@ def test_session_stream_equals_replay(spark, tmp_path):
     q = lc.serve(stream).writeStream.format("memory").queryName("replies").option("checkpointLocation", str(tmp_path / "_c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["status"] for r in spark.table("replies").orderBy("seq").collect()] == STATUS
+
+
+def test_whole_table_vector_statistics(spark, sf):
+    from episodia.plans.common import bank
+    from episodia.plans.vectors import QUERIES
+
+    rows = bank(spark, sf).orderBy("id").collect()
+    ids, task, episode = (np.array([r[c] for r in rows]) for c in ("id", "task", "episode"))
+    unit = np.array([r["unit"] for r in rows])
+    s = np.round(unit @ unit.T, 6)
+    s[episode[:, None] == episode] = -np.inf
+    top = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    same, pair = task[:, None] == task, s > -np.inf
+    got = {r["q_id"]: r["hit"] for r in QUERIES["d27_top5_hits_all"](spark, sf).collect()}
+    assert got == {int(i): bool((task[top[k]] == task[k]).any()) for k, i in enumerate(ids)}
+    got = {r["task"]: (r["queries"], r["top1"]) for r in QUERIES["f06_neighbour_accuracy_all"](spark, sf).collect()}
+    assert got == {int(t): (int((task == t).sum()), round(float((task[top[task == t, 0]] == t).mean()), 6)) for t in set(task)}
+    for r in QUERIES["f07_pair_cosine_means_all"](spark, sf).collect():
+        own = pair & (same == r["same_task"])
+        assert r["pairs"] == own.sum() and abs(r["mean"] - s[own].mean()) < 2e-5
+    got = {r["q_id"]: r["log_prob"] for r in QUERIES["d22_contrastive_metric_all"](spark, sf).collect()}
+    assert len(got) == ((same & pair).any(axis=1)).sum() == len(ids)
+    for k in range(0, len(ids), 7):
+        z = s[k] / 0.1
+        want = z[same[k] & pair[k]].mean() - z.max() - np.log(np.exp(z - z.max()).sum())
+        assert abs(got[int(ids[k])] - want) < 2e-5
+    b = bank(spark, sf)
+    whole, parts = (sorted((r["q_id"], r["rank"], r["id"]) for r in rt.block_top_k(b, b, 5, block).collect()) for block in (4096, 100))
+    assert whole == parts
