@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from episodia.llm.license_texts import KNOWN
+from episodia.llm.license_texts import KNOWN, further
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
@@ -40,9 +40,9 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     lines = canonical_lines(F.col("known"))
-    texts = spark.createDataFrame(known, "license string, known string").select("license", F.array_join(lines, " ").alias("known"))
+    texts = spark.createDataFrame(KNOWN + further() if known is None else known, "license string, known string").select("license", F.array_join(lines, " ").alias("known"))
     return texts.groupBy(F.sha2("known", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("known")).alias("n"))
 
 

@@ -1,4 +1,9 @@
-"""Known licence texts and one-line notices (fixed values: the public texts of the licences)."""
+"""Known licence texts and one-line notices (fixed values: the public texts of the licences).
+
+``licenses`` beside this file has further whole texts, one file a licence.
+"""
+
+from pathlib import Path
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -35,3 +40,45 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
+
+#: Licence name, other names in notices, SPDX identifiers.
+NAMES = [
+    ("MIT", ["MIT License", "MIT"], ["MIT"]),
+    ("ISC", ["ISC License"], ["ISC"]),
+    ("0BSD", ["Zero-Clause BSD License", "BSD Zero Clause License"], ["0BSD"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "Simplified BSD License"], ["BSD-2-Clause"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "New BSD License", "Modified BSD License"], ["BSD-3-Clause"]),
+    ("Zlib", ["zlib License"], ["Zlib"]),
+    ("Unlicense", ["Unlicense"], ["Unlicense"]),
+    ("BSL-1.0", ["Boost Software License, Version 1.0", "Boost Software License 1.0"], ["BSL-1.0"]),
+    ("Apache-2.0", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"], ["Apache-2.0"]),
+    ("Artistic-1.0", ["Artistic License 1.0"], ["Artistic-1.0", "Artistic-1.0-Perl"]),
+    ("Artistic-2.0", ["Artistic License 2.0"], ["Artistic-2.0"]),
+    ("EPL-2.0", ["Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"], ["EPL-2.0"]),
+    ("CC0-1.0", ["CC0 1.0 Universal", "CC0 1.0", "Creative Commons Zero v1.0 Universal"], ["CC0-1.0"]),
+]
+for _n, _title in (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License"), ("GFDL", "GNU Free Documentation License"), ("MPL", "Mozilla Public License")):
+    for _v in {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",), "GFDL": ("1.1", "1.2", "1.3"), "MPL": ("1.1", "2.0")}[_n]:
+        _own = [_v, _v.removesuffix(".0")]
+        NAMES.append((f"{_n}-{_v}", [x for v in _own for x in (f"{_title}, version {v}", f"{_title} v{v}", f"{_title} {v}", f"{_n} {v}", f"{_n}v{v}")], [f"{_n}-{_v}", f"{_n}-{_v}-only", f"{_n}-{_v}-or-later"]))
+for _kind, _title in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _v, _where in (("3.0", "Unported"), ("4.0", "International")):
+        NAMES.append((f"CC-{_kind}-{_v}", [f"CC {_kind} {_v}", f"Creative Commons {_title} {_v}", f"Creative Commons {_title} {_v} {_where} License", f"Creative Commons {_title} {_v} License"], [f"CC-{_kind}-{_v}"]))
+
+NOTICES = ["Licensed under {}", "Licensed under the {}", "Released under the {}", "Released under {}", "Distributed under the {}", "This work is licensed under the {}", "This work is licensed under a {}", "This work is licensed under {}", "This project is licensed under the {}", "This software is licensed under the {}", "This project is licensed under the terms of the {}", "This software is released under the {}", "License: {}"]
+
+
+def further() -> list[tuple[str, str]]:
+    """Whole texts of the data files (also without what follows the terms), short notices and SPDX lines."""
+    out = []
+    for file in sorted((Path(__file__).resolve().parent / "licenses").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms = text.partition("END OF TERMS AND CONDITIONS")
+        out.append((file.stem, text))
+        if terms[1]:
+            out += [(file.stem, terms[0]), (file.stem, terms[0] + terms[1])]
+    for name, titles, ids in NAMES:
+        out += [(name, notice.format(title)) for title in titles for notice in NOTICES]
+        out += [(name, f"SPDX-License-Identifier: {x}") for x in ids]
+    out.append(("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'))
+    return out

@@ -329,3 +329,15 @@ def test_license_scan_spellings(spark):
     texts = [MIT.upper().replace(",", " ,"), "Copyright (c) 2020 Someone\n" + MIT, "x\nreleased under the MIT Licence\ny", None, "", MIT[:-20]]
     got = {r["doc_id"]: (r["license"], r["notices"]) for r in ls.scan(table_of(spark, texts), ls.known_digests(spark)).collect()}
     assert [got[i] for i in range(6)] == [("MIT", ["MIT"]), ("MIT", ["MIT"]), (None, ["MIT"]), (None, []), (None, []), (None, [])]
+
+
+def test_license_scan_whole_texts_and_spdx(spark):
+    from pathlib import Path
+
+    whole = {f.stem: f.read_text() for f in (Path(ls.__file__).parent / "licenses").glob("*.txt")}
+    assert len(whole) == 14
+    lines = {"# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "Released under the BSD 3-Clause License.": "BSD-3-Clause"}
+    texts = [*whole.values(), *(f"x\n{x}\ny" for x in lines)]
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in ls.scan(table_of(spark, texts), ls.known_digests(spark)).collect()}
+    assert [got[i][0] for i in range(len(whole))] == list(whole)
+    assert [got[len(whole) + i] for i in range(len(lines))] == [(None, [x]) for x in lines.values()]
