@@ -45,9 +45,8 @@ DIGIT = _classes("0123456789")
 
 
 def _per_text(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=total[1:])
-    return total[ends] - total[starts]
+    at = np.flatnonzero(mask)
+    return np.searchsorted(at, ends) - np.searchsorted(at, starts)
 
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -68,12 +67,9 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     begin, holder = begin[order], holder[order]
     end = end[np.lexsort((end, np.concatenate([np.arange(n), tk.owner(newline, starts)])))]
     out["n_lines"] = np.bincount(holder, minlength=n)
-    worded = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(solid, out=worded[1:])
-    has = worded[end] > worded[begin]
+    has = np.searchsorted(w.begin, end) > np.searchsorted(w.end, begin, "right")
     begin, end, holder = begin[has], end[has], holder[has]
-    key = tk.mix(w.prefix.of(begin, end) + (end - begin).astype(np.uint64))
-    _, at = tk.sorted_unique(key, holder, n)
+    _, at = tk.sorted_unique(tk.range_hash(raw, begin, end), holder, n)
     out["n_dup_lines"] = np.bincount(holder, minlength=n) - np.diff(at)
 
     first, h = w.windows(3)

@@ -101,13 +101,13 @@ class Model:
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 assert chr(META) not in piece.lstrip(chr(META)), "a piece crosses a word start"
                 self.text[i] = piece.replace(chr(META), " ").encode()
-                cp = np.array([ord(c) for c in piece], np.int64)
-                h = code_prefix(cp)
-                for k in range(1, len(cp) + 1):
-                    while len(keys) < k:
+                h = np.zeros(1, np.uint64)
+                for k, c in enumerate(piece):
+                    if len(keys) == k:
                         keys.append({})
-                    key = int(h.of(np.array([0]), np.array([k]))[0])
-                    keys[k - 1][key] = i if k == len(cp) else keys[k - 1].get(key, -1)
+                    h = one_more(h, np.array([ord(c)]))
+                    key = int(h[0])
+                    keys[k][key] = i if k + 1 == len(piece) else keys[k].get(key, -1)
         self.tables = []
         for found in keys:
             self.tables.append(HashTable(found))
@@ -122,12 +122,9 @@ class Model:
         return self.bytes[first + np.arange(len(first))].tobytes()
 
 
-def code_prefix(cp: np.ndarray) -> tk.Prefix:
-    out = tk.Prefix.__new__(tk.Prefix)
-    p, out.inverse = tk.powers(len(cp) + 1)
-    out.sums = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(tk.mix(cp.astype(np.uint64) + U64(77)) * p[: len(cp)], dtype=np.uint64, out=out.sums[1:])
-    return out
+def one_more(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings with one more code point each."""
+    return tk.mix((h ^ cp.astype(np.uint64)) * U64(0xD6E8FEB86659FD93) + U64(0x3C6EF372FE94F82B))
 
 
 @lru_cache(maxsize=2)
@@ -157,16 +154,18 @@ class Lattices:
         n = len(chars)
         self.first = ends - lengths + np.arange(len(lengths))  # a node more than characters in each word
         left = ends[word] - np.arange(n)
-        prefix = code_prefix(chars)
         alive = np.flatnonzero((chars < LITERAL_META) & ((chars < 0xDC80) | (chars > 0xDCFF)))
         count = np.zeros(n, np.int32)
         levels: list[tuple[np.ndarray, np.ndarray]] = []
+        h = np.zeros(len(alive), np.uint64)
         for k, known in enumerate(m.tables):
-            alive = alive[left[alive] > k]
+            on = left[alive] > k
+            alive, h = alive[on], h[on]
             if not len(alive):
                 break
-            hit, got = known.find(prefix.of(alive, alive + k + 1))
-            alive = alive[hit]
+            h = one_more(h, chars[alive + k])
+            hit, got = known.find(h)
+            alive, h = alive[hit], h[hit]
             whole = got >= 0
             at = alive[whole]
             levels.append((at, got[whole]))
@@ -366,8 +365,7 @@ def sample_batch(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> dict[st
     unit = np.flatnonzero(begins)
     unit_end = np.append(unit[1:], len(cp))
     length = unit_end - unit
-    prefix = code_prefix(cp)
-    _, at, word = np.unique(prefix.of(unit, unit_end) ^ tk.mix(length.astype(np.uint64)), return_index=True, return_inverse=True)
+    _, at, word = np.unique(tk.range_hash(cp.astype("<i4").view(np.uint8), 4 * unit, 4 * unit_end), return_index=True, return_inverse=True)
     lengths = length[at]
     gather = np.repeat(unit[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
     lat = Lattices(m, cp[gather], lengths)

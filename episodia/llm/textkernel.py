@@ -3,12 +3,18 @@
 Everything works on the UTF-8 bytes of a whole batch at once, so the cost per
 document is a few array passes and no Python loop over words.  A word is
 ``[^\\x20\\x09-\\x0D]+``; a null text counts as empty.
+
+Words, lines and other ranges have 64-bit hashes of non-linear rounds over
+eight bytes each (``range_hash``; long ranges: BLAKE2b).  ``Prefix`` is a
+polynomial modulo 2**64, which patterns of doubling length defeat: it only
+chooses places and never decides that two ranges are equal.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +31,7 @@ BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
 SLICE_BYTES = 1 << 20
+LONG_RANGE = 256  # bytes; longer ranges are hashed one by one
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,7 +52,29 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(20, int(n).bit_length()))
+    """Powers of the base and of its inverse; callers pass pieces of bounded size."""
+    return _powers(max(16, int(n).bit_length()))
+
+
+def range_hash(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    size = end - begin
+    h = mix(size.astype(np.uint64) + U64(0x6A09E667F3BCC909))
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, k = np.flatnonzero((size > 0) & (size <= LONG_RANGE)), 0
+    while len(live):
+        left = size[live] - k
+        w = eight[begin[live] + k]
+        tail = np.flatnonzero(left < 8)
+        w[tail] &= (U64(1) << (left[tail].astype(np.uint64) * U64(8))) - U64(1)
+        h[live] = mix((h[live] ^ w) * U64(0xD6E8FEB86659FD93) + U64(0x3C6EF372FE94F82B))
+        live, k = live[left > 8], k + 8
+    view = memoryview(padded)
+    for i in np.flatnonzero(size > LONG_RANGE).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(view[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +90,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def release() -> None:
     """Give freed memory back: workers are used again by later stages and would keep what the largest one took."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -81,7 +111,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 class Prefix:
-    """Polynomial prefix hashes: the hash of any byte range in O(1)."""
+    """Polynomial prefix hashes: the hash of any byte range in O(1), for choosing places only."""
 
     def __init__(self, raw: np.ndarray):
         p, self.inverse = powers(len(raw) + 1)
@@ -117,8 +147,7 @@ class Words:
         self.begin, self.end = spans(~SPACE[self.raw], starts, ends)
         self.doc = owner(self.begin, starts)
         self.count = np.bincount(self.doc, minlength=len(starts))
-        self.prefix = Prefix(self.raw)
-        self.hash = mix(self.prefix.of(self.begin, self.end) ^ (self.end - self.begin).astype(np.uint64))
+        self.hash = range_hash(self.raw, self.begin, self.end)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First-word index and hash of every run of ``n`` words inside one text."""
