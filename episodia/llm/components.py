@@ -72,8 +72,16 @@ def sum_arrays(parts: DataFrame, slice_len: int, n_slices: int, dtype: str, bits
     return out
 
 
-def bit_set(column: DataFrame, bits: int, slice_bytes: int = 1 << 16) -> np.ndarray:
-    """A bitmap of ``2**bits`` bits with those of the leading bits of a long column set: a filter of fixed size."""
+FILTER_BITS = 26  # of the largest filter, 8 MB; beyond 4 million keys it lets more rows pass, which the exact joins after it remove
+
+
+def filter_bits(n: int, most: int = FILTER_BITS) -> int:
+    """Width of a filter for ``n`` keys: 16 to 32 bits a key, within fixed limits."""
+    return min(most, max(16, (16 * n).bit_length()))
+
+
+def bit_set(column: DataFrame, bits: int, slice_bytes: int = 1 << 13) -> np.ndarray:
+    """A bitmap of ``2**bits`` bits with those of the leading bits of a long column set."""
     n_bytes = (1 << bits) // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +98,7 @@ def bit_set(column: DataFrame, bits: int, slice_bytes: int = 1 << 16) -> np.ndar
     return sum_arrays(rows, slice_bytes, n_bytes // slice_bytes, "uint8", bits=True)
 
 
-def has_bit(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    at = h.view(np.uint64) >> np.uint64(64 - bits)
+def has_bit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each hash."""
+    at = h.view(np.uint64) >> np.uint64(64 - (8 * len(bitmap) - 1).bit_length())
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.llm import textkernel as tk
-from episodia.llm.components import bit_set, components, has_bit, packed, sum_arrays
+from episodia.llm.components import bit_set, components, filter_bits, has_bit, packed, sum_arrays
 from episodia.llm.shared import stored
 
 U64 = np.uint64
@@ -52,7 +52,6 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # similarity of at least NUM / DEN
 BUCKET_BITS = 18
 COUNT_SLICE = 1 << 14
-FILTER_BITS = 24
 BLOCK = 1 << 21
 ROUNDS = 3
 SKETCH_BITS = 1 << 13
@@ -290,7 +289,7 @@ def _sketches(docs: DataFrame, text: str, known: np.ndarray) -> DataFrame:
         for b in tk.slices(batches, text):
             v, at, n, d1, _ = _sets(b, text)
             rows = []
-            for i in np.flatnonzero(has_bit(known, FILTER_BITS, d1) & (n > 0)).tolist():
+            for i in np.flatnonzero(has_bit(known, d1) & (n > 0)).tolist():
                 if int(d1[i]) not in done:
                     done.add(int(d1[i]))
                     rows.append((int(d1[i]), sketch(v[at[i] : at[i + 1]])))
@@ -461,17 +460,17 @@ def link_components(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
     """``doc_id, n_shingles, component_id`` for every row."""
     measured, crowded = _measure(docs, text)
     lists = stored(_distinct_lists(_shared_lists(_postings(docs, text, crowded))))
-    sketches = _sketches(docs, text, bit_set(lists.select("d1"), FILTER_BITS))
+    sketches = _sketches(docs, text, bit_set(lists.select("d1"), filter_bits(lists.count())))
     edges = stored(_edges(lists.join(sketches, "d1")))
     clusters = components(edges).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
-    known = bit_set(clusters.select("d1"), FILTER_BITS)
+    known = bit_set(clusters.select("d1"), filter_bits(clusters.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for b in tk.slices(batches, text):
             v, at, n, d1, d2 = _sets(b, text)
             rows = []
-            for i in np.flatnonzero(has_bit(known, FILTER_BITS, d1) & (n > 0)).tolist():
+            for i in np.flatnonzero(has_bit(known, d1) & (n > 0)).tolist():
                 key = (int(d1[i]), int(d2[i]))
                 if key not in done:
                     done.add(key)

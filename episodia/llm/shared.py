@@ -1,7 +1,9 @@
-"""Tables in the folder that the driver and all executors share.
+"""Tables in the folder that the driver and all executors share, and rows carried whole.
 
 Lineage is cut with tables under ``spark.checkpoint.dir``; it is read from the
-session and set only where it is unset (a local test session).
+session and set only where it is unset in a local session (as in tests).  A
+cluster without that setting is an error: executors would write to their own
+disks.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -17,6 +19,8 @@ def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='episodia-')}")
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/episodia-{uuid.uuid4().hex}"
@@ -30,10 +34,35 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` made, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` made, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def folded(docs: DataFrame, *apart: str) -> DataFrame:
+    """``docs`` with all its columns but ``apart`` in one struct ``row``, where no name can clash; ``apart`` follow as ``a0, a1, ...``."""
+    rest = [c for c in docs.columns if c not in apart]
+    row = F.struct(F.lit(True).alias("_"), *(named(c).alias(f"c{i}") for i, c in enumerate(rest)))
+    return docs.select(row.alias("row"), *(named(c).alias(f"a{i}") for i, c in enumerate(apart)))
+
+
+def unfolded(rows: DataFrame, columns: list[str], apart: dict[str, str], results: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of the ``docs`` that ``folded`` took, in their order, and ``results``.
+
+    ``apart`` names the columns that stand beside the struct.  A result replaces
+    a column of its name.
+    """
+    results = results or {}
+    rest = [c for c in columns if c not in apart]
+    place = {c: F.col("row").getField(f"c{i}") for i, c in enumerate(rest)} | {c: F.col(k) for c, k in apart.items()}
+    return rows.select(*(place[c].alias(c) for c in columns if c not in results), *(v.alias(k) for k, v in results.items()))

@@ -16,15 +16,25 @@ found without sorting all suffixes of the corpus on one machine.
    array is built, the stack scan of its common-prefix intervals is run, and
    intervals with diverse left extensions are the maximal repeats, each with all
    its occurrences.
-4. An anchor with very many contexts is dealt to several blocks; the window
-   classes of the blocks are then joined by digest, which finds what repeats in
-   different blocks only.
+4. An anchor with very many contexts is split by the bytes next to it: its
+   windows are dealt by how far they reach to its left, and windows of one such
+   range are keyed by all the bytes that they have in common.  What is still
+   large is dealt to narrower ranges, down to single windows, whose keys are
+   whole windows.  So no group is larger than ``BLOCK`` contexts, and a context
+   makes ``FAN`` rows a level at most.
 5. Covered ranges are brought back to the texts; only texts with ranges of
-   their own are shuffled, and exact copies need no text at all.
-
-Defined cases: a null text is empty; a text under ``length`` bytes loses
-nothing; repeated rows are copies of each other; a null ``doc_id`` is carried
-through; further columns pass through ``remove_repeats``.
+   their own, and copies, are shuffled.
+
+``repeat_groups`` gives the maximal repeats themselves with all their
+occurrences.  A gram's hash (64 bits, polynomial) only chooses places; contexts
+and windows are told apart by 64-bit XXH3 digests within one anchor, texts by
+128 bits of SHA-256.
+
+Defined cases: a null text is empty (and stays null); a text under ``length``
+bytes loses nothing; long texts are taken in pieces of bounded size, so memory
+does not depend on a context's place; repeated rows are copies of each other; a
+null ``doc_id`` is carried through; an empty table gives an empty result;
+further columns pass through, but a result column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -34,17 +44,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from episodia.llm import textkernel as tk
-from episodia.llm.components import bit_set, has_bit
-from episodia.llm.shared import drop, stored
+from episodia.llm.components import bit_set, filter_bits, has_bit
+from episodia.llm.shared import drop, folded, stored, unfolded
 
 U64 = np.uint64
 LENGTH = 400  # at most 2000: distances between windows and anchors have ten bits
-BLOCK = 2048  # contexts of one anchor in one suffix array
-RUN_BYTES = 1 << 20
-FILTER_BITS = 26
+BLOCK = 512  # contexts in one suffix array
+FAN = 6  # ranges that the windows of a large group are dealt to
+RUN_BYTES = 1 << 18
+PIECE_BYTES = 1 << 18
+SEEN = 1 << 16  # keys that a task remembers; what it forgets is sent again and merged later
 POSITION_BITS = 31
 SEPARATOR = 0xFF  # never occurs in UTF-8
 
@@ -60,32 +73,55 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows: place, first and last window start, gram hash, context digest, text index."""
+def _anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Place of the anchor, first and last window start, and the anchor's hash, of each context in some texts of at least ``length`` bytes."""
     gram = length // 2
-    empty = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty
     prefix = tk.Prefix(raw)
     at = np.arange(len(raw) - gram + 1)
     h = tk.mix((prefix.sums[gram:] - prefix.sums[: len(at)]) * prefix.inverse[: len(at)])
     mask = U64((1 << POSITION_BITS) - 1)
     least = sliding_least((h & ~mask) | (mask - at.astype(np.uint64)), length - gram + 1)
-    long = ends - starts >= length
-    count = np.where(long, ends - starts - length + 1, 0)
-    first = np.cumsum(count) - count
-    if count.sum() < len(least):
-        s = np.repeat(starts - first, count) + np.arange(int(count.sum()))
-        least = least[s]
-    else:
-        s = np.arange(len(least))
-    p = (mask - (least & mask)).astype(np.int64)
-    if not len(p):
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty
+    count = ends - starts - length + 1
+    s = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    p = (mask - (least[s] & mask)).astype(np.int64)
     cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     lo, hi, p = s[cut], s[np.append(cut[1:], len(s)) - 1], p[cut]
-    digest = tk.mix(prefix.of(lo, hi + length) + tk.mix(((p - lo) * (length + 1) + (p - hi)).astype(np.uint64)))
-    return p, lo, hi, tk.mix(h[p] + U64(1)), digest, tk.owner(p, starts)  # mixed again: least hashes have equal leading bits
+    return p, lo, hi, tk.mix(h[p] + U64(1))  # mixed again: least hashes have equal leading bits
+
+
+def _digests(view: memoryview, begin: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """64-bit digests of byte ranges."""
+    one = xxhash.xxh3_64_intdigest
+    return np.array([one(view[i:j], s) for i, j, s in zip(begin.tolist(), end.tolist(), seed.tolist())], np.uint64).view(np.int64)
+
+
+def contexts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, limit: int = PIECE_BYTES) -> tuple[np.ndarray, ...]:
+    """Anchors of all windows: place, first and last window start, gram hash, context digest, text index.
+
+    The texts are taken in pieces of about ``limit`` bytes; a longer text is cut
+    at multiples of ``limit``, which only cuts contexts in two.
+    """
+    long = np.flatnonzero(ends - starts >= length)
+    empty = np.zeros(0, np.int64)
+    if not len(long):
+        return (empty,) * 6
+    times = -(-(ends[long] - starts[long] - length + 1) // limit)
+    text = np.repeat(long, times)
+    begin = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)) * limit
+    end = np.minimum(ends[text], begin + limit + length - 1)
+    size = end - begin
+    run = (np.cumsum(size) - size) // limit
+    view = memoryview(np.ascontiguousarray(raw))
+    out = []
+    for own in np.split(np.arange(len(text)), np.flatnonzero(np.diff(run)) + 1):
+        local = np.cumsum(size[own]) - size[own]
+        piece = np.concatenate([raw[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist())])
+        p, lo, hi, anchor = _anchors(piece, local, local + size[own], length)
+        k = tk.owner(p, local)
+        shift = (begin[own] - local)[k]
+        p, lo, hi = p + shift, lo + shift, hi + shift
+        out.append((p, lo, hi, anchor.view(np.int64), _digests(view, lo, hi + length, ((p - lo) << 11) | (p - hi)), text[own][k]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 class RepeatTree:
@@ -107,10 +143,11 @@ class RepeatTree:
         wide = np.zeros(len(data) - 8, np.uint64)
         for k in range(8):
             wide = (wide << U64(8)) | data[k : len(data) - 8 + k]
-        ranks = [(8, np.unique(wide, return_inverse=True)[1])]
+        ranks = [(8, np.unique(wide, return_inverse=True)[1].astype(np.int32))]
+        del wide
         while ranks[-1][0] * 2 <= length:
             step, r = ranks[-1]
-            ranks.append((step * 2, np.unique(r[:-step].astype(np.int64) * (int(r.max()) + 1) + r[step:], return_inverse=True)[1]))
+            ranks.append((step * 2, np.unique(r[:-step].astype(np.int64) * (int(r.max()) + 1) + r[step:], return_inverse=True)[1].astype(np.int32)))
         step, top = ranks[-1]
         keys = [top[np.minimum(suffix + k, len(top) - 1)] for k in range(0, 2 * length, step)]
         order = np.lexsort(keys[::-1])
@@ -144,11 +181,11 @@ class RepeatTree:
         out: list[tuple[int, int, int]] = []
         hot = self.lcp >= self.length
         edges = np.flatnonzero(np.diff(np.concatenate([[False], hot, [False]]).astype(np.int8)))
-        values = self.lcp.tolist()
         for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            values = self.lcp[lo:hi].tolist()
             stack: list[tuple[int, int]] = []  # prefix length, first entry
             for i in range(lo, hi + 1):
-                now = values[i] if i < hi else 0
+                now = values[i - lo] if i < hi else 0
                 start = i - 1
                 while stack and stack[-1][0] > now:
                     depth, start = stack.pop()
@@ -176,11 +213,6 @@ class RepeatTree:
         out[self.order] = reach
         return out
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """A representative suffix of each class of equal windows, and the class's size."""
-        head = np.flatnonzero(self.lcp[: len(self.order)] < self.length)
-        return self.order[head], np.diff(np.append(head, len(self.order)))
-
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of ranges as maximal disjoint runs (touching ranges are one run)."""
@@ -197,266 +229,273 @@ def _key(raw: memoryview) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:16], "big", signed=True)
 
 
-def _fresh(b: pa.RecordBatch, text: str, length: int, seen: set, known=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """The long texts of a batch that the task hasn't had yet, and their keys."""
-    raw, starts, ends = tk.buffers(b.column(text))
-    view = memoryview(np.ascontiguousarray(raw))
-    keep, keys = [], []
-    for i in np.flatnonzero(ends - starts >= length).tolist():
-        k = _key(view[starts[i] : ends[i]])
-        if k not in seen and (known is None or known(k)):
-            seen.add(k)
-            keep.append(i)
-            keys.append(k)
-    return raw, starts[keep], ends[keep], keys
-
-
-def _compact(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if len(starts) and ends[-1] - starts[0] == (ends - starts).sum():
-        return raw[starts[0] : ends[-1]], starts - starts[0], ends - starts[0]
-    size = ends - starts
-    out = np.concatenate([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]) if len(starts) else raw[:0]
-    return out, np.cumsum(size) - size, np.cumsum(size)
-
-
-def _counts(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """``anchor, digest, n``: how often each context occurs."""
+def _counts(docs: DataFrame, length: int) -> DataFrame:
+    """``anchor, digest, n``: how often each context occurs (``a0`` is the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.slices(batches, text):
-            _, _, _, anchor, digest, _ = contexts(*tk.buffers(b.column(text)), length)
+        for b in tk.slices(batches, "a0"):
+            _, _, _, anchor, digest, _ = contexts(*tk.buffers(b.column("a0")), length)
             order = np.lexsort((digest, anchor))
             a, d = anchor[order], digest[order]
             cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]))) if len(a) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[cut].view(np.int64)), pa.array(d[cut].view(np.int64)), pa.array(np.diff(np.append(cut, len(a))), pa.int64())], ["anchor", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(d[cut]), pa.array(np.diff(np.append(cut, len(a))), pa.int64())], ["anchor", "digest", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "anchor long, digest long, n long")
+    rows = docs.select("a0").mapInArrow(run, "anchor long, digest long, n long")
     return rows.groupBy("anchor", "digest").agg(F.sum("n").alias("n"))
 
 
-def _places(docs: DataFrame, text: str, length: int, known: np.ndarray, unclear: np.ndarray, bits: int) -> DataFrame:
-    """Places of repeated anchors in each distinct text (``spot``: place, first and last window's distance from it), with the bytes of contexts that are ambiguous (once a task)."""
+def _places(docs: DataFrame, length: int, known: np.ndarray, unclear: np.ndarray) -> DataFrame:
+    """Places of repeated anchors in each distinct text (``place``, and the first and last window's distance from it), with the bytes of contexts that are ambiguous (about once a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         sent: set = set()
-        for b in tk.slices(batches, text):
-            raw, starts, ends, keys = _fresh(b, text, length, seen)
-            raw, starts, ends = _compact(raw, starts, ends)
-            p, lo, hi, anchor, digest, doc = contexts(raw, starts, ends, length)
-            a = anchor.view(np.int64)
-            hit = np.flatnonzero(has_bit(known, bits, a)) if len(a) else np.zeros(0, np.int64)
+        for b in tk.slices(batches, "a0"):
+            raw, starts, ends = tk.buffers(b.column("a0"))
+            view = memoryview(np.ascontiguousarray(raw))
+            keep, keys = [], []
+            for i in np.flatnonzero(ends - starts >= length).tolist():
+                k = _key(view[starts[i] : ends[i]])
+                if k not in seen:
+                    seen.add(k)
+                    keep.append(i)
+                    keys.append(k)
+            for held in (seen, sent):
+                if len(held) > SEEN:
+                    held.clear()
+            p, lo, hi, a, digest, doc = contexts(raw, starts[keep], ends[keep], length)
+            hit = np.flatnonzero(has_bit(known, a)) if len(a) else np.zeros(0, np.int64)
             if not len(hit):
                 continue
-            p, lo, hi, a, digest, doc = p[hit], lo[hit], hi[hit], a[hit], digest[hit].view(np.int64), doc[hit]
+            p, lo, hi, a, digest, doc = p[hit], lo[hit], hi[hit], a[hit], digest[hit], doc[hit]
             own: list[bytes | None] = [None] * len(p)
-            whole = raw.tobytes()
-            for i in np.flatnonzero(has_bit(unclear, bits, a)).tolist():
+            for i in np.flatnonzero(has_bit(unclear, a)).tolist():
                 pair = (int(a[i]), int(digest[i]))
                 if pair not in sent:
                     sent.add(pair)
-                    own[i] = whole[lo[i] : hi[i] + length]
+                    own[i] = bytes(view[lo[i] : hi[i] + length])
             d1, d2 = np.array(keys, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(digest), pa.array(((p - starts[doc]) << 20) | ((p - lo) << 10) | (p - hi)), pa.array(d1[doc]), pa.array(d2[doc]), pa.array(own, pa.binary())], ["anchor", "digest", "spot", "d1", "d2", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(digest), pa.array(p - starts[keep][doc]), pa.array((p - lo).astype(np.int16)), pa.array((p - hi).astype(np.int16)), pa.array(d1[doc]), pa.array(d2[doc]), pa.array(own, pa.binary())], PLACE_NAMES)
+
+    return docs.select("a0").mapInArrow(run, PLACES)
+
 
-    return docs.select(text).mapInArrow(run, "anchor long, digest long, spot long, d1 long, d2 long, bytes binary")
+PLACES = "anchor long, digest long, place long, most smallint, least smallint, d1 long, d2 long, bytes binary"
+PLACE_NAMES = ["anchor", "digest", "place", "most", "least", "d1", "d2", "bytes"]
 
 
-def _trees(rows: DataFrame, length: int, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Covered ranges ``begin, end`` (from the anchor) of each ambiguous context; window classes of anchors in several blocks."""
-    names = ["anchor", "digest", "begin", "end", "window", "alone"]
+def _trees(rows: DataFrame, length: int, groups: bool = False, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """Covered ranges ``begin, end`` (from the anchor) of each context ``digest`` of each ``key``.
+
+    ``groups``: the occurrences of maximal repeats instead, with ``repeat``.
+    """
+    wide = np.int64(1) << 40
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         pieces = [r[4] for r in held]
         most, least = np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held], np.int64)
+        key, digest = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
         tree = RepeatTree(pieces, most - least + 1, length)
+        if groups:
+            first, last, depth = tree.maximal()
+            at = tree.order[np.repeat(first - (np.cumsum(last - first + 1) - (last - first + 1)), last - first + 1) + np.arange(int((last - first + 1).sum()))]
+            size = np.repeat(depth, last - first + 1)
+            piece, begin = tree.piece[at], tree.offset[at]
+            repeat = np.array([xxhash.xxh3_64_intdigest(pieces[i][j : j + n]) for i, j, n in zip(piece.tolist(), begin.tolist(), size.tolist())], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key[piece]), pa.array(digest[piece]), pa.array(begin - most[piece]), pa.array(begin + size - most[piece]), pa.array(repeat)], ["key", "digest", "begin", "end", "repeat"])
         reach = tree.covered()
         hit = np.flatnonzero(reach)
         piece = tree.piece[hit]
-        wide = np.int64(1) << 40
         begin, end = merged(piece * wide + tree.offset[hit], piece * wide + tree.offset[hit] + reach[hit])
         piece = begin // wide
-        anchor, digest = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-        cols = [[anchor[piece], digest[piece], begin % wide - most[piece], end - piece * wide - most[piece], np.zeros(len(piece), np.int64), np.zeros(len(piece), bool)]]
-        many = np.array([r[5] for r in held], bool)
-        if many.any():
-            rep, size = tree.classes()
-            mine = many[tree.piece[rep]]
-            rep, size = rep[mine], size[mine]
-            sizes = np.array([len(x) for x in pieces], np.int64)
-            at = (np.cumsum(sizes) - sizes)[tree.piece[rep]] + tree.offset[rep]
-            window = tk.mix(tk.Prefix(np.frombuffer(b"".join(pieces), np.uint8)).of(at, at + length)).view(np.int64)
-            who = tree.piece[rep]
-            cols.append([anchor[who], digest[who], tree.offset[rep] - most[who], tree.offset[rep] - most[who] + length, window, size == 1])
-        whole = [np.concatenate(c) for c in zip(*cols)]
-        is_class = np.concatenate([np.full(len(c[0]), k == 1) for k, c in enumerate(cols)])
-        return pa.RecordBatch.from_arrays([pa.array(whole[0]), pa.array(whole[1]), pa.array(whole[2], pa.int64()), pa.array(whole[3], pa.int64()), pa.array(whole[4], mask=~is_class), pa.array(whole[5], mask=~is_class)], names)
+        return pa.RecordBatch.from_arrays([pa.array(key[piece]), pa.array(digest[piece]), pa.array(begin % wide - most[piece]), pa.array(end - piece * wide - most[piece])], ["key", "digest", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "most", "least", "bytes", "many", "block"))):
-                if last == (r[0], r[6], r[1]):
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "digest", "most", "least", "bytes"))):
+                if last == r[:2]:
                     continue
-                if held and size >= run_bytes and last[:2] != (r[0], r[6]):
+                if held and size >= run_bytes and last[0] != r[0]:
                     yield solve(held)
                     held, size = [], 0
-                last = (r[0], r[6], r[1])
+                last = r[:2]
                 held.append(r)
                 size += len(r[4])
         if held:
             yield solve(held)
         tk.release()
 
-    return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "digest").mapInArrow(run, "anchor long, digest long, begin long, end long, window long, alone boolean")
+    shape = "key long, digest long, begin long, end long" + (", repeat long" if groups else "")
+    return rows.select("key", "digest", "most", "least", "bytes").repartition("key").sortWithinPartitions("key", "digest").mapInArrow(run, shape)
+
 
+def _dealt(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """Contexts cut by how far their windows reach to the left of the anchor, in ranges of ``width``; ``key``: the bytes that all windows of a range share, ``part``: its own bytes."""
 
-def cover(docs: DataFrame, text: str = "text", length: int = LENGTH, block: int = BLOCK, bits: int = FILTER_BITS) -> DataFrame:
-    """``d1, d2, begin, end``: ranges of each distinct text (key: the first halves of its SHA-256) that repeat."""
-    counts = stored(_counts(docs, text, length))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = xxhash.xxh3_64_intdigest
+        for b in batches:
+            out: list[tuple] = []
+            for a, d, most, least, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "most", "least", "bytes"))):
+                for lo in range(least // width * width, most + 1, width):
+                    low, high = max(least, lo), min(most, lo + width - 1)
+                    fixed = data[most - lo : most + length - (lo + width - 1)]
+                    part = data[most - high : most + length - low]
+                    out.append((a, d, one(fixed, lo << 11 | width), one(part, high << 11 | low), high, low, part))
+            if out:
+                a, d, key, sub, high, low, part = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(sub, np.uint64).view(np.int64)), pa.array(high, pa.int16()), pa.array(low, pa.int16()), pa.array(part, pa.binary())], ["anchor", "digest", "key", "part", "most", "least", "bytes"])
+
+    return rows.select("anchor", "digest", "most", "least", "bytes").mapInArrow(run, "anchor long, digest long, key long, part long, most smallint, least smallint, bytes binary")
+
+
+def _split(rows: DataFrame, length: int, block: int) -> DataFrame:
+    """Covered ranges ``anchor, digest, begin, end`` of contexts of anchors that have more than ``block`` of them."""
+    found, width = [], length - length // 2 + 1
+    rows = rows.groupBy("anchor", "digest").agg(F.first("most").alias("most"), F.first("least").alias("least"), F.first("bytes").alias("bytes"))
+    while True:
+        width = -(-width // FAN)
+        level = stored(_dealt(rows, length, width))
+        parts = level.groupBy("key", "part").agg(F.count("*").alias("n"))
+        keys = stored(parts.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1"))
+        twice = parts.where("n > 1").select("key", F.col("part").alias("digest"), F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
+        some = level.join(keys.where((F.col("kinds") > 1) & (F.col("kinds") <= block)).select("key"), "key", "left_semi")
+        trees = _trees(some.drop("digest").withColumnRenamed("part", "digest"), length)
+        every = twice.unionByName(trees).withColumnRenamed("digest", "part")
+        found.append(stored(level.select("anchor", "digest", "key", "part", "most", "least").join(every, ["key", "part"]).select(
+            "anchor", "digest", F.coalesce("begin", -F.col("most")).alias("begin"), F.coalesce("end", length - F.col("least")).alias("end")
+        )))
+        hot = keys.where(F.col("kinds") > block).select("key")
+        if width == 1 or not hot.limit(1).count():
+            break
+        rows = level.join(hot, "key", "left_semi")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _anchored(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: repeated anchors (``anchor, total, kinds``), contexts that occur twice, and their places."""
+    counts = stored(_counts(docs, length))
     per = stored(counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1"))
     full = stored(counts.where("n > 1").select("anchor", "digest"))
     drop(counts)
-    unclear = per.where("kinds > 1")
-    rows = stored(_places(docs, text, length, bit_set(per.select("anchor"), bits), bit_set(unclear.select("anchor"), bits), bits))
-    blocks = F.ceil(F.col("kinds") / F.lit(block)).cast("long")
-    sent = rows.where("bytes is not null").select("anchor", "digest", F.shiftright("spot", 10).bitwiseAND(1023).alias("most"), F.col("spot").bitwiseAND(1023).alias("least"), "bytes").join(unclear.select("anchor", (blocks > 1).alias("many"), blocks.alias("_blocks")), "anchor")
-    found = stored(_trees(sent.withColumn("block", F.pmod(F.xxhash64("digest"), "_blocks")).drop("_blocks"), length))
-    ranges = found.where("window is null").select("anchor", "digest", "begin", "end")
-    if found.where("window is not null").limit(1).count():
-        twice = found.where("window is not null").groupBy("anchor", "window").agg(F.count("*").alias("_k")).where("_k > 1").select("anchor", "window")
-        ranges = ranges.unionByName(found.where("alone").join(twice, ["anchor", "window"], "left_semi").select("anchor", "digest", "begin", "end"))
+    bits = filter_bits(per.count())
+    rows = stored(_places(docs, length, bit_set(per.select("anchor"), bits), bit_set(per.where("kinds > 1").select("anchor"), bits)))
+    return per, full, rows
+
+
+def cover(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """``d1, d2, begin, end``: ranges of each distinct text (``a0``; key: the first halves of its SHA-256) that repeat."""
+    per, full, rows = _anchored(docs, length)
+    own = rows.where("bytes is not null").select("anchor", "digest", "most", "least", "bytes")
+    some = own.join(per.where((F.col("kinds") > 1) & (F.col("kinds") <= block)).select("anchor"), "anchor", "left_semi")
+    ranges = _trees(some.withColumn("key", F.col("anchor")), length).withColumnRenamed("key", "anchor")
+    hot = per.where(F.col("kinds") > block).select("anchor")
+    if hot.limit(1).count():
+        ranges = ranges.unionByName(_split(own.join(hot, "anchor", "left_semi"), length, block))
+    ranges = stored(ranges)
     # one join for both: a context that occurs twice is covered from its first window to its last
     every = ranges.unionByName(full.select("anchor", "digest", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end")))
-    place, most, least = F.shiftright("spot", 20), F.shiftright("spot", 10).bitwiseAND(1023), F.col("spot").bitwiseAND(1023)
-    return rows.select("anchor", "digest", "spot", "d1", "d2").join(every, ["anchor", "digest"]).select(
-        "d1", "d2", (place + F.coalesce("begin", -most)).alias("begin"), (place + F.coalesce("end", length - least)).alias("end")
+    return rows.drop("bytes").join(every, ["anchor", "digest"]).select(
+        "d1", "d2", (F.col("place") + F.coalesce("begin", -F.col("most"))).alias("begin"), (F.col("place") + F.coalesce("end", length - F.col("least"))).alias("end")
     )
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without their text, with ``n_bytes``, the text's key and SHA-256."""
-    rest = [f for f in docs.schema.fields if f.name not in (text, "n_bytes", "d1", "d2", "sha")]
-    schema = T.StructType([*rest, *T._parse_datatype_string("n_bytes long, d1 long, d2 long, sha string").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.slices(batches, text):
-            raw, starts, ends = tk.buffers(b.column(text))
-            view = memoryview(np.ascontiguousarray(raw))
-            sha = [hashlib.sha256(view[i:j]).digest() for i, j in zip(starts.tolist(), ends.tolist())]
-            d1, d2 = ([int.from_bytes(x[k : k + 8], "big", signed=True) for x in sha] for k in (0, 8))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(ends - starts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([x.hex() for x in sha])], schema.names)
-
-    return docs.select(text, *(f.name for f in rest)).mapInArrow(run, schema)
-
+def repeat_groups(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``repeat, n_bytes, doc_id, begin, end``: maximal repeats of at least ``length`` bytes with all their occurrences.
 
-def copies(known: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Keys of texts of at least ``length`` bytes that occur more than once: they go as a whole."""
-    return known.where(F.col("n_bytes") >= length).groupBy("d1", "d2").agg(F.count("*").alias("_k")).where("_k > 1").select("d1", "d2")
+    Repeats are maximal within the contexts of one anchor (1.5 lengths); a
+    longer one appears as overlapping groups.  A context that occurs more than
+    once is a group of its own.  The groups of an anchor are made in one task,
+    so this is for inspection of corpora without very common passages;
+    ``remove_repeats`` needs no such group.
+    """
+    rows = folded(docs.select("doc_id", text), text)
+    per, full, places = _anchored(rows, length)
+    some = places.where("bytes is not null").join(per.where("kinds > 1").select("anchor"), "anchor", "left_semi")
+    trees = _trees(some.withColumn("key", F.col("anchor")), length, groups=True).withColumnRenamed("key", "anchor")
+    whole = full.select("anchor", "digest", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"), F.col("digest").alias("repeat"))
+    at = places.drop("bytes").join(stored(trees.unionByName(whole)), ["anchor", "digest"]).select(
+        "repeat", "d1", "d2", (F.col("place") + F.coalesce("begin", -F.col("most"))).alias("begin"), (F.col("place") + F.coalesce("end", length - F.col("least"))).alias("end")
+    )
+    known = _tagged(rows, length, None, None).select(F.col("row.c0").alias("doc_id"), "d1", "d2")
+    return at.distinct().join(known, ["d1", "d2"]).select("repeat", (F.col("end") - F.col("begin")).alias("n_bytes"), "doc_id", "begin", "end")
 
 
-def _texts(docs: DataFrame, text: str, length: int, known: np.ndarray, bits: int) -> DataFrame:
-    """Each distinct long text whose key is in the filter, once a task."""
+def _tagged(docs: DataFrame, length: int, hits: np.ndarray | None, want: bool | None) -> DataFrame:
+    """``row, a0, n_bytes, d1, d2, sha`` of the rows whose text is (``want``) or is not in the filter; without a filter those of at least ``length`` bytes, without text."""
+    row = docs.schema["row"]
+    bare = hits is None
+    shape = T.StructType([row, *([] if bare else [docs.schema["a0"]]), *T._parse_datatype_string("n_bytes long, d1 long, d2 long, sha string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for b in tk.slices(batches, text):
-            raw, starts, ends, keys = _fresh(b, text, length, seen, lambda k: bool(has_bit(known, bits, np.array([k[0]], np.int64))[0]))
-            if keys:
-                view = memoryview(np.ascontiguousarray(raw))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([bytes(view[i:j]) for i, j in zip(starts.tolist(), ends.tolist())], pa.binary())], ["d1", "d2", "bytes"])
+        for b in tk.slices(batches, "a0"):
+            raw, starts, ends = tk.buffers(b.column("a0"))
+            view = memoryview(np.ascontiguousarray(raw))
+            sha = [hashlib.sha256(view[i:j]).digest() for i, j in zip(starts.tolist(), ends.tolist())]
+            d1, d2 = np.array([(int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:16], "big", signed=True)) for x in sha], np.int64).reshape(-1, 2).T
+            mine = ends - starts >= length
+            if not bare:
+                mine = (mine & has_bit(hits, np.ascontiguousarray(d1))) == want
+            at = pa.array(np.flatnonzero(mine))
+            cols = [b.column("row"), *([] if bare else [b.column("a0")]), pa.array(ends - starts), pa.array(d1), pa.array(d2), pa.array([x.hex() for x in sha])]
+            yield pa.RecordBatch.from_arrays([c.take(at) for c in cols], shape.names)
 
-    return docs.select(text).mapInArrow(run, "d1 long, d2 long, bytes binary")
+    return docs.select("row", "a0").mapInArrow(run, shape)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """``d1, d2, n_removed, n_spans, kept_sha256, kept`` from texts with their ranges."""
+    """Texts without their ``spans``: ``row, a0, n_bytes, n_removed, n_spans, kept_sha256``."""
+    shape = T.StructType([rows.schema["row"], rows.schema["a0"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for d1, d2, data, spans in zip(*(b.column(c) for c in ("d1", "d2", "bytes", "spans"))):
-                flat = spans.values
-                begin, end = merged(flat.field("begin").to_numpy(zero_copy_only=False), flat.field("end").to_numpy(zero_copy_only=False))
-                view = memoryview(data.as_buffer())
-                kept, at = [], 0
-                for i, j in zip(begin.tolist(), end.tolist()):
-                    kept.append(view[at:i])
-                    at = j
-                whole = b"".join([*kept, view[at:]])
-                out.append((d1.as_py(), d2.as_py(), int((end - begin).sum()), len(begin), hashlib.sha256(whole).hexdigest(), whole))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["d1", "d2", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return rows.mapInArrow(run, "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, bits: int = FILTER_BITS) -> DataFrame:
-    """``docs`` without the text, with ``n_bytes, n_removed, n_spans, kept_sha256``."""
-    known = stored(keyed(docs, text))
-    twice = stored(copies(known, length))
-    covered = stored(cover(docs, text, length, bits=bits).join(twice, ["d1", "d2"], "left_anti").groupBy("d1", "d2").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
-    texts = _texts(docs, text, length, bit_set(covered.select("d1"), bits), bits)
-    cut = stored(_cut(texts.join(covered, ["d1", "d2"])).drop("kept"))
-    empty = hashlib.sha256(b"").hexdigest()
-    found = cut.withColumn("_whole", F.lit(False)).unionByName(twice.select("d1", "d2", F.lit(0).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit(True).alias("_whole")))
-    joined = known.join(found, ["d1", "d2"], "left")
-    gone = F.when(F.col("_whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
-    rest = [c for c in known.columns if c not in ("d1", "d2", "sha", "n_removed", "n_spans", "kept_sha256")]
-    return joined.select(*rest, gone.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, bits: int = FILTER_BITS) -> DataFrame:
-    """``docs`` with the covered bytes cut out of the text (a character cut in half goes as well) and ``n_removed``.
-
-    Only rows whose text loses something are shuffled.
+        for whole in batches:
+            for b in tk.slices(iter([whole]), "a0"):
+                texts, gone, runs, digest = [], [], [], []
+                for t, spans, sha in zip(b.column("a0").to_pylist(), b.column("spans"), b.column("sha").to_pylist()):
+                    if not spans.is_valid:
+                        for held, x in zip((texts, gone, runs, digest), (t, 0, 0, sha)):
+                            held.append(x)
+                        continue
+                    data, flat = t.encode(), spans.values
+                    begin, end = merged(flat.field("begin").to_numpy(zero_copy_only=False), np.minimum(flat.field("end").to_numpy(zero_copy_only=False), len(data)))
+                    bounds = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(data)]
+                    left = b"".join(data[i:j] for i, j in zip(bounds[::2], bounds[1::2]))
+                    texts.append(left.decode("utf-8", "ignore"))
+                    gone.append(int((end - begin).sum()))
+                    runs.append(len(begin))
+                    digest.append(hashlib.sha256(left).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, b.column("a0").type), b.column("n_bytes"), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], shape.names)
+
+    return rows.mapInArrow(run, shape)
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """``docs`` with the covered bytes cut out of the text, and ``n_bytes, n_removed, n_spans, kept_sha256``.
+
+    A character of which only a part is covered goes as a whole; the counts and
+    the digest are those of the bytes.  Only rows whose text loses something
+    are shuffled.
     """
-    known = keyed(docs.select(text), text)
-    twice = stored(copies(known, length))
-    covered = stored(cover(docs, text, length, bits=bits).join(twice, ["d1", "d2"], "left_anti").groupBy("d1", "d2").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
-    hit_bits = bit_set(covered.select("d1").unionByName(twice.select("d1")), bits)
-    fields = docs.schema.fields
-    tagged = T.StructType([*fields, *T._parse_datatype_string("_d1 long, _d2 long").fields])
-
-    def tag(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in tk.slices(batches, text):
-                raw, starts, ends = tk.buffers(b.column(text))
-                view = memoryview(np.ascontiguousarray(raw))
-                d1, d2 = np.array([_key(view[i:j]) for i, j in zip(starts.tolist(), ends.tolist())], np.int64).reshape(-1, 2).T
-                hit = has_bit(hit_bits, bits, np.ascontiguousarray(d1)) & (ends - starts >= length)
-                at = pa.array(np.flatnonzero(hit == want))
-                cols = [*(b.column(f.name).take(at) for f in fields), pa.array(d1).take(at), pa.array(d2).take(at)]
-                yield pa.RecordBatch.from_arrays(cols, tagged.names)
-
-        return run
-
-    all_rows = F.array(F.struct(F.lit(0).cast("long").alias("begin"), (F.lit(1).cast("long") * (1 << 62)).alias("end")))
-    spans = covered.unionByName(twice.withColumn("spans", all_rows)).withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
-    shape = T.StructType([*fields, T.StructField("n_removed", T.LongType())]) if "n_removed" not in docs.columns else docs.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, gone = [], []
-            for t, own in zip(b.column(text).to_pylist(), b.column("spans").to_pylist()):
-                if not own:
-                    texts.append(t)
-                    gone.append(0)
-                    continue
-                data = t.encode()
-                begin, end = merged(np.array([x["begin"] for x in own], np.int64), np.minimum(np.array([x["end"] for x in own], np.int64), len(data)))
-                bounds = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(data)]
-                texts.append(b"".join(data[i:j] for i, j in zip(bounds[::2], bounds[1::2])).decode("utf-8", "ignore"))
-                gone.append(int((end - begin).sum()))
-            new = {text: pa.array(texts, b.column(text).type), "n_removed": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else b.column(f.name) for f in shape.fields], shape.names)
-
-    hit = docs.mapInArrow(tag(True), tagged).join(spans, ["_d1", "_d2"], "left").mapInArrow(cut, shape)
-    rest = docs.mapInArrow(tag(False), tagged).drop("_d1", "_d2").withColumn("n_removed", F.lit(0).cast("long"))
-    return hit.unionByName(rest)
+    rows = folded(docs, text)
+    keys = _tagged(rows, length, None, None).groupBy("d1", "d2").agg(F.count("*").alias("n"))
+    twice = stored(keys.where("n > 1").select("d1", "d2"))
+    span = F.struct("begin", "end")
+    own = cover(rows, length, block).join(twice, ["d1", "d2"], "left_anti").groupBy("d1", "d2").agg(F.collect_list(span).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.lit(1 << 62).cast("long").alias("end")))
+    covered = stored(own.unionByName(twice.withColumn("spans", whole)))
+    hits = bit_set(covered.select("d1"), filter_bits(covered.count()))
+    cut = _cut(_tagged(rows, length, hits, True).join(covered, ["d1", "d2"], "left"))
+    none = F.lit(0).cast("long")
+    rest = _tagged(rows, length, hits, False).select("row", "a0", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    results: dict[str, Column] = {c: F.col(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+    return unfolded(cut.unionByName(rest), docs.columns, {text: "a0"}, results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")

@@ -24,6 +24,14 @@ def test_oracle(spark, sf, name):
     assert spark_rows(QUERIES[name](spark, sf)) == duck_rows(ORACLES[name], sf)
 
 
+def thue(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+THUE = thue(1024)  # a text and its complement have one polynomial hash modulo 2**64, whatever its odd base
+ENUHT = THUE.translate(str.maketrans("ab", "ba"))
+
+
 def words(rng, n):
     return " ".join(rng.choice(VOCABULARY) for _ in range(n))
 
@@ -43,6 +51,7 @@ def fixture_docs():
     passage = words(rng, 120)
     out += [f"{words(rng, 80)} {passage} {words(rng, 60)}" for _ in range(12)]
     out += ["ab" * 600, "ab" * 450, "x" * 399, "x" * 400, "é" * 500, "\n".join(["same line here"] * 90)]
+    out += [THUE, ENUHT, f"{THUE}\n{ENUHT}\n{THUE}", f"a b c {THUE} d e f", f"a b c {ENUHT} d e f"]
     return out
 
 
@@ -107,13 +116,47 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,block", [(400, sd.BLOCK), (64, sd.BLOCK)])
+@pytest.mark.parametrize("length,block", [(400, sd.BLOCK), (64, sd.BLOCK), (64, 4), (400, 3)])
 def test_suffix_dedup(spark, length, block):
     texts = fixture_docs()
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.repeats(table_of(spark, texts), length=length).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.remove_repeats(table_of(spark, texts), length=length, block=block).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
 
 
+def test_suffix_dedup_of_a_hot_passage_and_periodic_texts(spark):
+    rng = random.Random(8)
+    passage = words(rng, 90)
+    texts = [f"{words(rng, rng.randrange(4, 30))} {passage[rng.randrange(30):]} {words(rng, rng.randrange(4, 30))}" for _ in range(60)]
+    texts += [THUE, ENUHT, THUE[:300] + ENUHT[:500], "ab" * 300, "aab" * 400]
+    for block in (5, sd.BLOCK):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.remove_repeats(table_of(spark, texts), length=100, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 100)
+
+
+def test_contexts_in_pieces():
+    rng = random.Random(2)
+    data = np.frombuffer(" ".join(words(rng, 900) for _ in range(3)).encode(), np.uint8)
+    starts = np.array([0, 50, 3000])
+    ends = np.array([50, 3000, len(data)])
+    p, lo, hi, anchor, digest, doc = sd.contexts(data, starts, ends, 100, limit=256)
+    covered = sorted((d, s) for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist()) for s in range(a, b + 1))
+    assert covered == [(d, s) for d in range(3) for s in range(int(starts[d]), int(ends[d]) - 99)]
+    assert ((p >= hi) & (p + 50 <= lo + 100)).all()
+
+
+def test_repeat_groups(spark):
+    texts = fixture_docs()
+    data = [(t or "").encode() for t in texts]
+    gone = [np.zeros(len(b), bool) for b in data]
+    groups = {}
+    for r in sd.repeat_groups(table_of(spark, texts), length=64).collect():
+        groups.setdefault(r["repeat"], set()).add((r["doc_id"], r["begin"], r["end"]))
+        gone[r["doc_id"]][r["begin"] : r["end"]] = True
+    for members in groups.values():
+        assert len(members) > 1 and len({data[d][i:j] for d, i, j in members}) == 1
+    assert [int(g.sum()) for g in gone] == [x[1] for x in brute_repeats(texts, 64)]
+
+
 def test_suffix_dedup_cuts_text(spark):
     texts = fixture_docs()
     docs = table_of(spark, texts)
