@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.llm import ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup
-from episodia.llm.shared import stored
+from episodia.llm.shared import folded, stored, unfolded
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,8 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 400-byte strings that occur elsewhere; documents with nothing left go."""
-    out = suffix_dedup.remove_repeats(docs).where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows = suffix_dedup.remove_repeats(folded(docs, "text", "n_chars"), "a0")
+    left = rows.where((F.col("n_removed") == 0) | F.regexp_like("a0", F.lit(r"[^\x20\x09-\x0D]")))
+    size = F.when(F.col("n_removed") > 0, F.length("a0").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("a1"))
+    return unfolded(left.withColumn("a1", size), docs.columns, {"text": "a0", "n_chars": "a1"})
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
