@@ -214,6 +214,44 @@ def test_topk_many_copies_and_blocks(spark):
         assert [got[i, k + 1] for k in range(5)] == [(j, int(s[j])) for j in best]
 
 
+def test_topk_clusters_ties_and_range(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 40
+    v = np.concatenate([c + rng.normal(size=(70, 6)) for c in centres])
+    v[200:260] = np.round(v[200:260] / 8)  # few distinct values: many equal scores
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist()), (9000, [1.0, 2.0]), (9050, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", tk.quantised(F.col("v")).alias("vector"))
+    q = np.floor(v * 256).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in tk.search(df, F.col("id") % 50 == 0, block=50, query_block=3).collect()}
+    for i in range(0, len(v), 50):
+        s = q @ q[i]
+        best = [j for j in sorted(range(len(v)), key=lambda j: (-s[j], j)) if j != i][:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, int(s[j])) for j in best]
+    assert got[9000, 1][0] == 9050 and (9000, 2) not in got
+    huge = spark.createDataFrame([(0, [1e15, 1.0]), (50, [1e15, 2.0])], "id long, v array<double>").select("id", tk.quantised(F.col("v")).alias("vector"))
+    with pytest.raises(Exception, match="64 bits"):
+        tk.search(huge, F.col("id") % 50 == 0).collect()
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(6)
+    m = np.concatenate([np.round(c + rng.normal(size=(200, 3)) * 9) for c in rng.normal(size=(8, 3)) * 900]).astype(np.int64)
+    m = np.unique(m, axis=0)
+    t = tk.CoverTree(m, leaf=16)
+    assert sorted(t.order.tolist()) == list(range(len(m))) and len(t.start) > 8
+    for i in range(len(t.start)):
+        rows = m[t.order[t.start[i] : t.end[i]]]
+        assert np.sqrt(((rows - m[t.centre[i]]) ** 2).sum(axis=1)).max() <= t.radius[i] + 1e-9
+        kids = range(t.first[i], t.first[i] + t.count[i])
+        assert not len(kids) or (t.start[kids[0]], t.end[kids[-1]]) == (t.start[i], t.end[i])
+        inner = [k for k in kids if t.radius[k] <= t.radius[i] / 2]
+        assert len(inner) >= len(kids) - 1
+        for a in inner:
+            for b in inner:
+                if t.centre[a] != t.centre[b]:
+                    assert np.sqrt(((m[t.centre[a]] - m[t.centre[b]]) ** 2).sum()) > t.radius[i] / 2
+
+
 def test_topk_repeated_rows_in_a_group_of_equal_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(1, 10) for _ in range(3)] + [(0, [1.0, 2.0])] * 6 + [(20 + i, [0.5, 0.25 * i]) for i in range(6)]
     df = spark.createDataFrame(rows, "id long, v array<double>").select("id", tk.quantised(F.col("v")).alias("vector"))
