@@ -29,9 +29,14 @@ shingles, whatever the other's size.
    outside the cluster's largest component is searched for in all blocks, which
    leaves no link between different components unseen.
 
+Shingles are told apart by 64-bit hashes, sets by 128 bits.
+
 Defined cases: a document without words has n_shingles 0 and is its own
 component; a text of under five words has one shingle; a null ``doc_id`` is not
-a component's id unless it has no other; repeated rows get equal results.
+a component's id unless it has no other; repeated rows get equal results; an
+empty table gives an empty result.  ``link_components`` reads the id and the
+text only; ``one_of_each`` returns the columns of its input whatever their
+names.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.llm import textkernel as tk
 from episodia.llm.components import bit_set, components, filter_bits, has_bit, packed, sum_arrays
-from episodia.llm.shared import stored
+from episodia.llm.shared import folded, stored, unfolded
 
 U64 = np.uint64
 SHINGLE = 5
@@ -505,7 +510,8 @@ def _join_blocks(comps: DataFrame, sets: DataFrame, block: int, reps: int = 8) -
     chosen = size.where("_size > 1").select("root", F.explode(F.array_distinct(F.array("_1.d1", "_2.d1", "_3.d1", "_4.d1"))).alias("d1"))
     picked = sets.join(chosen, "d1", "left_semi").withColumn("block", F.lit(0).cast("long"))
     first = stored(_search_blocks(picked).select("d1", F.col("root").alias("meet")))
-    edges = many.select("d1", "root").join(first, "d1").groupBy("meet").agg(F.collect_set("root").alias("roots")).select(F.explode("roots").alias("a"), F.element_at("roots", 1).alias("b"))
+    meeting = many.select("d1", "root").join(first, "d1").select("meet", "root").distinct()
+    edges = meeting.join(meeting.groupBy("meet").agg(F.min("root").alias("b")), "meet").select(F.col("root").alias("a"), "b")
     many = stored(_relabel(many, edges))
     # whatever is outside the cluster's largest component is searched for in all other blocks
     top = many.groupBy("cluster", "root").agg(F.count("*").alias("_k")).groupBy("cluster").agg(F.max(F.struct("_k", "root")).alias("_top")).select("cluster", F.col("_top.root").alias("_top"))
@@ -520,21 +526,20 @@ def _join_blocks(comps: DataFrame, sets: DataFrame, block: int, reps: int = 8) -
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each component of ``docs``: that of the smallest id.
+    """One row of each component of ``docs``: that of the smallest id (ties: of the least hash of its text).
 
     A row with a null id stays if nothing else of its component has an id; of
-    repeated rows one stays.
+    repeated rows one stays; one id on two unlike texts keeps both.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text), 3))
-    keyed = docs.withColumn("_key", key)
-    found = link_components(keyed.select(F.when(F.col("_key") < 0, F.lit((1 << 62)) - F.col("_key")).otherwise(F.col("_key")).alias("doc_id"), text), text)
-    heads = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
-    back = heads.select(F.when(F.col("doc_id") > (1 << 62), F.lit(1 << 62) - F.col("doc_id")).otherwise(F.col("doc_id")).alias("_key"), "_n")
-    kept = keyed.join(back, "_key")
-    if heads.where("_n > 1").limit(1).count():
-        once = kept.where("_n > 1").dropDuplicates(["_key"])
-        kept = kept.where("_n = 1").unionByName(once)
-    return kept.select(*docs.columns)
+    rows = folded(docs, "doc_id", text)
+    none = F.col("a0").isNull()
+    key = F.struct(none.alias("none"), F.coalesce("a0", F.lit(0)).alias("id"), F.xxhash64("a1").alias("h1"), F.xxhash64(F.lit(1), "a1").alias("h2"))
+    keyed = rows.withColumn("key", key)
+    found = link_components(keyed.select(F.col("key").alias("doc_id"), F.col("a1").alias("text")))
+    heads = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("times")))
+    kept = keyed.join(heads, "key")
+    once = kept.where("times > 1").dropDuplicates(["key"])
+    return unfolded(kept.where("times = 1").unionByName(once), docs.columns, {"doc_id": "a0", text: "a1"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

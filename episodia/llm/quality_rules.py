@@ -7,10 +7,16 @@ information gain on two thirds of the rows still uncovered, then its conditions
 are pruned on the other third, and it is accepted only while it is precise
 there.  ``verdict`` turns the ordered rules into one Spark ``CASE`` expression.
 
+Words, lines and three-word windows are compared by 64-bit hashes within one
+text.
+
 Defined cases: a null or empty text has no words and zero statistics; a null
-``doc_id`` is carried through; repeated rows are judged one by one; without
-labels (or without both classes) no rule is learned and only the base
-conditions decide.
+``doc_id`` is carried through; repeated rows are judged one by one; an empty
+table gives an empty result; without labels (or without both classes) no rule is
+learned and only the base conditions decide; of several labels of a ``doc_id``
+the least counts.  Further columns pass through, but a result column
+(``COUNTS``, ``base_failed``, ``rule``, ``kept``) replaces one of its name;
+``keep`` returns the columns of its input whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from episodia.llm import textkernel as tk
-from episodia.llm.shared import stored
+from episodia.llm.shared import folded, least_hashes, named, stored, unfolded
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits", "n_bytes"]
 #: Largest number of labelled rows that the rules are fitted on.
@@ -81,17 +87,22 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def text_stats(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """The rows of ``docs``, without their text unless ``keep_text``, with the statistics in ``COUNTS`` (long)."""
-    rest = [f for f in docs.schema.fields if (f.name != text or keep_text) and f.name not in COUNTS]
-    schema = T.StructType([*rest, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+def _measured(rows: DataFrame) -> DataFrame:
+    """``row, a0`` (the text) and the statistics in ``COUNTS`` (long)."""
+    schema = T.StructType([rows.schema["row"], rows.schema["a0"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.slices(batches, text):
-            m = measure(b.column(text))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), *(pa.array(m[c], pa.int64()) for c in COUNTS)], [*(f.name for f in rest), *COUNTS])
+        for b in tk.slices(batches, "a0"):
+            m = measure(b.column("a0"))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("a0"), *(pa.array(m[c], pa.int64()) for c in COUNTS)], schema.names)
+
+    return rows.select("row", "a0").mapInArrow(run, schema)
 
-    return docs.select(*dict.fromkeys([text, *(f.name for f in rest)])).mapInArrow(run, schema)
+
+def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, without their text, with the statistics in ``COUNTS``."""
+    rest = [c for c in docs.columns if c != text]
+    return unfolded(_measured(folded(docs, text)), rest, {}, {c: F.col(c) for c in COUNTS})
 
 
 def features() -> dict[str, Column]:
@@ -183,11 +194,10 @@ def learn(labelled: DataFrame, label: str = "quality", max_rows: int = MAX_LABEL
     hash of ``doc_id``; this is the only sample that the operator takes.
     """
     cols = features()
-    rows = (
-        labelled.where(F.col(label).isin(0, 1))
-        .select(F.xxhash64("doc_id", F.lit(seed)).alias("_o"), "doc_id", F.col(label).alias("_bad"), *(c.alias(f"_{k}") for k, c in cols.items()))
-        .orderBy("_o", "doc_id", "_bad", *(f"_{k}" for k in cols)).limit(max_rows).toPandas()
+    chosen = labelled.where(F.col(label).isin(0, 1)).select(
+        F.xxhash64("doc_id", F.lit(seed)).alias("_o"), "doc_id", F.col(label).alias("_bad"), *(c.alias(f"_{k}") for k, c in cols.items())
     )
+    rows = least_hashes(chosen, "_o", max_rows).toPandas()
     bad = rows["_bad"].to_numpy() == 0
     x = {k: rows[f"_{k}"].to_numpy(float) for k in cols}
     part = np.arange(len(rows)) % 3 == 2
@@ -222,24 +232,22 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_label"))
+
+
 def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """``stats`` with ``base_failed``, ``rule`` and ``kept``; rules are learned from ``labels``."""
-    own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rules = learn(stats.drop("quality").join(own, "doc_id"))
+    rules = learn(stats.select("doc_id", *COUNTS).join(_labels(labels), "doc_id"), "_label")
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps; only labelled texts are measured for the rules.
-
-    Columns of ``docs`` that share a name with a statistic are carried aside.
-    """
-    own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    rules = learn(text_stats(docs.select("doc_id", text).join(own, "doc_id"), text), label="_quality")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    stats = text_stats(docs.select(F.col(f"`{text}`").alias("_text"), row.alias("_row")), "_text", keep_text=True)
-    kept = stats.where(~base_failed() & verdict(rules).isNull())
-    return kept.select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """The rows of ``docs`` that ``judge`` keeps; only labelled texts are measured for the rules."""
+    some = docs.select("doc_id", named(text).alias("_text")).join(_labels(labels), "doc_id")
+    rules = learn(text_stats(some, "_text"), "_label")
+    kept = _measured(folded(docs, text)).where(~base_failed() & verdict(rules).isNull())
+    return unfolded(kept, docs.columns, {text: "a0"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

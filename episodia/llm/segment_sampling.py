@@ -19,9 +19,16 @@ Byte-pair models store merge ranks, not probabilities; the weight of a piece is
 then 1 / (rank + 1) (Zipf's law).  Characters that are no piece go to byte
 pieces.  Decoding is exact for every text, the meta symbol itself included.
 
+``encode_best`` gives the one segmentation of the largest probability, ``decode``
+the texts of token sequences; pieces and words are told apart by 64-bit hashes.
+
 Defined cases: a null or empty text has one segmentation, without tokens; a
 text with fewer than k segmentations gets each of them once; a null key is a
-key of its own; equal keys with equal texts get equal samples.
+key of its own; equal keys with equal texts get equal samples; an empty table
+gives an empty result; only the key and the text are read, and a key with the
+name of a result column is returned as ``key``.  The model is a file that every
+executor can read: its path is a parameter, and only the registered query asks
+the public tokenizers' package for one.
 """
 
 from __future__ import annotations
@@ -35,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from episodia.llm import textkernel as tk
+from episodia.llm.shared import folded, named, unfolded
 
 U64 = np.uint64
 META, LITERAL_META, SPACE = 0x2581, 0x110000, 0x20
@@ -220,6 +228,23 @@ class Lattices:
         self.final = np.zeros(total, bool)  # the last edge of its node
         self.final[starts_end[1:] - 1] = True
 
+    def best(self, node: int, stop: int) -> list[int]:
+        """The edges of the most probable path between two nodes of a word."""
+        worth, edge = {stop: 0.0}, {}
+        for at in range(stop - 1, node - 1, -1):
+            own = self.leaving_node(at)
+            value = self.log_p[own] + np.array([worth[x] for x in self.dst[own].tolist()])
+            k = int(np.argmax(value))
+            worth[at], edge[at] = float(value[k]), own.start + k
+        out = []
+        while node < stop:
+            out.append(edge[node])
+            node = int(self.dst[edge[node]])
+        return out
+
+    def leaving_node(self, node: int) -> slice:
+        return self.leaving(int(self.edge0[node]))
+
     def leaving(self, edge: int) -> slice:
         """The edges of the node that ``edge`` leaves."""
         lo = int(self.edge0[self.src[edge]])
@@ -342,10 +367,50 @@ def characters(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return np.insert(cp, first, META), full, first + np.arange(len(full))
 
 
+class Units:
+    """The words of a batch's non-empty texts, each of a lattice node range; equal words share their lattice."""
+
+    def __init__(self, m: Model, texts: pa.Array):
+        self.raw, self.starts, self.ends = tk.buffers(texts)
+        cp, self.full, first = characters(self.raw, self.starts, self.ends)
+        begins = np.zeros(len(cp), bool)
+        begins[1:] = (cp[1:] == META) & (cp[:-1] != META)
+        begins[first] = True
+        unit = np.flatnonzero(begins)
+        unit_end = np.append(unit[1:], len(cp)) if len(unit) else unit
+        length = unit_end - unit
+        _, at, self.word = np.unique(tk.range_hash(cp.astype("<i4").view(np.uint8), 4 * unit, 4 * unit_end), return_index=True, return_inverse=True)
+        lengths = length[at]
+        gather = np.repeat(unit[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        self.lattices = Lattices(m, cp[gather], lengths)
+        self.doc = np.searchsorted(first, unit, "right") - 1
+        self.of_doc = np.searchsorted(self.doc, np.arange(len(self.full) + 1))
+        self.start = self.lattices.first[self.word]
+        self.stop = self.start + length
+
+
+def best_batch(m: Model, texts: pa.Array) -> tuple[list[np.ndarray], list[float]]:
+    """Token ids and log probability of each text's most probable segmentation."""
+    u = Units(m, texts)
+    ids, log_prob = [np.zeros(0, np.int64)] * len(u.starts), [0.0] * len(u.starts)
+    lat = u.lattices
+    known: dict[int, tuple[np.ndarray, float]] = {}
+    for row, lo, hi in zip(u.full.tolist(), u.of_doc[:-1].tolist(), u.of_doc[1:].tolist()):
+        parts = []
+        for k in range(lo, hi):
+            w = int(u.word[k])
+            if w not in known:
+                path = np.array(lat.best(int(u.start[k]), int(u.stop[k])), np.int64)
+                known[w] = lat.tokens(path, np.zeros(len(path), np.int64))[0], float(lat.log_p[path].sum())
+            parts.append(known[w])
+        ids[row], log_prob[row] = np.concatenate([x for x, _ in parts]), sum(x for _, x in parts)
+    return ids, log_prob
+
+
 def sample_batch(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> dict[str, list]:
     """Up to ``k`` distinct segmentations of each text, best perturbed score first."""
-    raw, starts, ends = tk.buffers(texts)
-    cp, full, first = characters(raw, starts, ends)
+    units = Units(m, texts)
+    raw, starts, ends, full, doc = units.raw, units.starts, units.ends, units.full, units.doc
     n = len(full)
     out: dict[str, list] = {c: [] for c in ("row", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids", "round_trip")}
 
@@ -358,22 +423,9 @@ def sample_batch(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> dict[st
         out["inclusion"][-1] = 1.0
     if not n:
         return out
-    limit = np.append(first[1:], len(cp))
-    begins = np.zeros(len(cp), bool)
-    begins[1:] = (cp[1:] == META) & (cp[:-1] != META)
-    begins[first] = True
-    unit = np.flatnonzero(begins)
-    unit_end = np.append(unit[1:], len(cp))
-    length = unit_end - unit
-    _, at, word = np.unique(tk.range_hash(cp.astype("<i4").view(np.uint8), 4 * unit, 4 * unit_end), return_index=True, return_inverse=True)
-    lengths = length[at]
-    gather = np.repeat(unit[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    lat = Lattices(m, cp[gather], lengths)
-    doc = np.searchsorted(first, unit, "right") - 1
-    unit_of_doc = np.searchsorted(doc, np.arange(n + 1))
-    start, stop = lat.first[word], lat.first[word] + length
+    lat, unit_of_doc, start, stop = units.lattices, units.of_doc, units.start, units.stop
     key = tk.mix(keys[full] + U64(0xA5A5A5A5))
-    spot = tk.mix(key[doc] + (np.arange(len(unit)) - unit_of_doc[doc]).astype(np.uint64) * U64(0xD1B54A32D192ED03))
+    spot = tk.mix(key[doc] + (np.arange(len(doc)) - unit_of_doc[doc]).astype(np.uint64) * U64(0xD1B54A32D192ED03))
 
     log_t = np.log(-np.log(uniform(key, 1)))  # log of exp(-G): the smaller, the better
     groups: list[list[tuple]] = [[] for _ in range(n)]  # sibling groups left: score, path, step, children gone
@@ -460,25 +512,55 @@ def sample_batch(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> dict[st
     return out
 
 
+def _encoded(docs: DataFrame, key: str, text: str, fields: str, one) -> DataFrame:
+    """The key (as ``key`` if it has the name of a result) and the columns that ``one(batch)`` gives with the rows they belong to."""
+    results = T._parse_datatype_string(fields).fields
+    name = "key" if key in [f.name for f in results] else key
+    kind = docs.schema[key].dataType
+    shape = T.StructType([T.StructField(name, kind), *results])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tk.slices(batches, "text", SLICE_BYTES):
+            row, cols = one(b)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row, pa.int64())), *cols], shape.names)
+
+    return docs.select(named(key).alias("key"), named(text).alias("text"), F.xxhash64(F.lit(41), named(key)).alias("seed")).mapInArrow(run, shape)
+
+
 def encode_samples(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """``key`` and up to ``k`` sampled segmentations of each row; with ``ids`` also the token ids."""
-    field = docs.schema[key]
-    schema = T.StructType([field]).add("_", T.ByteType()).fields[:1]
-    shape = T.StructType([*schema, *T._parse_datatype_string(SCHEMA).fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])])
+
+    def one(b: pa.RecordBatch) -> tuple[list, list]:
+        r = sample_batch(model(path), b.column("text"), b.column("seed").to_numpy().view(np.uint64), k)
+        cols = [pa.array(r["sample"], pa.int32()), pa.array(r["n_tokens"], pa.int64()), *(pa.array(r[c], pa.float64()) for c in ("log_prob", "perturbed", "inclusion"))]
+        cols += [pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in r["ids"]], pa.string()), pa.array(r["round_trip"], pa.bool_())]
+        return r["row"], cols + ([pa.array([x.astype(np.int32) for x in r["ids"]], pa.list_(pa.int32()))] if ids else [])
+
+    return _encoded(docs, key, text, SCHEMA + (", ids array<int>" if ids else ""), one)
+
+
+def encode_best(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, ids, log_prob``: the most probable segmentation of each row (ties: the longer piece first)."""
+
+    def one(b: pa.RecordBatch) -> tuple[list, list]:
+        ids, log_prob = best_batch(model(path), b.column("text"))
+        return list(range(b.num_rows)), [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(log_prob, pa.float64())]
+
+    return _encoded(docs, key, text, "ids array<int>, log_prob double", one)
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``tokens`` with the text of their token ids (null for null; bytes that are no UTF-8 become U+FFFD); it replaces a column of that name."""
+    rows = folded(tokens, ids)
+    shape = T.StructType([rows.schema["row"], rows.schema["a0"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in tk.slices(batches, text, SLICE_BYTES):
-            seeds = b.column("_seed").to_numpy().view(np.uint64)
-            r = sample_batch(m, b.column(text), seeds, k)
-            cols = [b.column(key).take(pa.array(r["row"], pa.int64())), pa.array(r["sample"], pa.int32()), pa.array(r["n_tokens"], pa.int64())]
-            cols += [pa.array(r[c], pa.float64()) for c in ("log_prob", "perturbed", "inclusion")]
-            cols += [pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in r["ids"]], pa.string()), pa.array(r["round_trip"], pa.bool_())]
-            if ids:
-                cols.append(pa.array([x.astype(np.int32) for x in r["ids"]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, shape.names)
-
-    return docs.select(F.col(key), F.col(text), F.xxhash64(F.lit(41), F.col(key)).alias("_seed")).mapInArrow(run, shape)
+        for b in batches:
+            texts = [None if x is None else m.decode(np.array(x, np.int64))[1:].decode("utf-8", "replace") for x in b.column("a0").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("a0"), pa.array(texts, pa.string())], shape.names)
+
+    return unfolded(rows.mapInArrow(run, shape), tokens.columns, {ids: "a0"}, {text: F.col("text")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
