@@ -15,7 +15,8 @@ class and id), and text blocks named by path and content.  For each host
    marked article, or at the deepest template element, that holds most of the host's slot text, boilerplate elements (menus, adverts and
    the like, by tag, role or class name) left aside.  A class name or a form is
    a weak sign: it does not count for an element that holds the page's article
-   or the bulk of the host's text.
+   or the bulk of the host's text, and inside the main element a name counts only
+   if it is one as a whole (``comments``, ``related-posts``, not ``related-work``).
 
 The page pass then locates the main element in each page, climbs from an
 unmarked one to the smallest element that holds all of the page's slot text, and
@@ -30,7 +31,10 @@ while their measured size is small; beyond that pages are joined by host.
 Defined cases: null or empty html has an empty text; a null url belongs to the
 host ``""``; unclosed and stray tags are tolerated; repeated rows are pages of
 their own; character references are decoded, white space in a block becomes one
-space, blocks are joined by one space; nothing else is dropped or capped.
+space, blocks are joined by one space; nothing else is dropped or capped.  Broken
+markup is read in linear time: a tag that is never closed reaches to the end.
+An empty table gives an empty result; only ``page_id``, ``url`` and ``html`` are
+read, whatever further columns there are.
 """
 
 from __future__ import annotations
@@ -52,15 +56,18 @@ SUPPORT = 0.6  # share of a host's pages that a valid class occurs in
 MASS = 0.6  # share of the slot text that the main element holds
 BULK = 0.5  # share of a host's text in an element that makes it a wrapper, whatever its name
 BROADCAST_BYTES = 16 << 20
+LONG_PATH = 1000
 
+#: A value is quoted only after ``=``.  Nothing is tried twice (possessive repeats), and what is never closed reaches to the end.
+ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 SCANNER = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
+    rf"|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b{ATTRIBUTES}(?:>.*?(?:</\1\s*+>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end when one of these opens inside them.
@@ -71,23 +78,29 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dia
 BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that add nothing to such a name: with them alone beside it, a name is still a whole one.
+FURTHER_NAMES = frozenset("area bar block box buttons button form group item items link links list post posts section slot top bottom left right unit".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD_IN_NAME = re.compile(r"[a-z]+|\d+")
 
 
 @lru_cache(maxsize=1 << 16)
 def _element(name: str, attributes: str) -> tuple[str, bool, int, bool]:
-    """Label of an element (name, class, id), whether it is boilerplate, whether a form or part of a name (1) or a whole name (2) says so, whether it is marked as the article."""
+    """Label of an element (name, class, id), whether it is boilerplate, whether part of a name (-1), a form (1) or a whole name (2) says so, whether it is marked as the article."""
     if not attributes.strip():
         return name, name in BOILER_TAGS and name != "form", int(name == "form"), name in ("article", "main")
-    got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    got: dict[str, str] = {}
+    for k, a, b, c in ATTRIBUTE.findall(attributes):
+        got.setdefault(k.lower(), a or b or c)  # of an attribute given twice the first counts
     role = got.get("role", "").lower()
-    names = set(WORD_IN_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", got.get("class", "") + " " + got.get("id", "")).lower()))
+    tokens = [[*WORD_IN_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", x).lower())] for x in (got.get("class", "") + " " + got.get("id", "")).split()]
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", "")))
     main = name in ("article", "main") or role in ("main", "article") or got.get("itemprop") == "articleBody"
     boiler = (name in BOILER_TAGS and name != "form") or (role in BOILER_ROLES and role != "form") or hidden
-    whole = set((got.get("class", "") + " " + got.get("id", "")).lower().split()) & BOILER_NAMES
-    weak = 0 if name in ("html", "body") else 2 if whole else int(name == "form" or role == "form" or bool(names & BOILER_NAMES))
+    named = any(x in BOILER_NAMES for words in tokens for x in words)
+    whole = any(words[0] in BOILER_NAMES and all(x in BOILER_NAMES or x in FURTHER_NAMES or x.isdigit() for x in words) for words in tokens if words)
+    form = name == "form" or role == "form"
+    weak = 0 if name in ("html", "body") else 2 if whole else 1 if form else -1 if named else 0
     label = name + "".join(f".{x}" for x in sorted(got.get("class", "").split())) + (f"#{got['id']}" if got.get("id") else "")
     return label, boiler, weak, main
 
@@ -149,7 +162,9 @@ class Page:
                 stack.pop()
             label, boiler, weak, main = _element(name, m[4])
             up = stack[-1]
-            self.path.append(f"{self.path[up]}/{label}")
+            above = self.path[up]
+            # the path of a very deep element begins with a digest, so paths stay short
+            self.path.append(f"{above}/{label}" if len(above) < LONG_PATH else f"~{_hash(above):x}/{label}")
             self.parent.append(up)
             self.own.append(boiler)
             self.weak.append(weak)
@@ -157,9 +172,10 @@ class Page:
             self.tag.append(name)
             stack.append(len(self.path) - 1)
         if at < len(html):
-            parts.append(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html[at:]))
+            parts.append(html[at:])
         flush()
 
+        self.rivals: list[list[tuple[int, int]]] = []
         self.weak_text = [0] * len(self.path)  # characters in each element, weak boilerplate included
         self.article = -1
         self._judge(wrappers)
@@ -187,11 +203,13 @@ class Page:
         while e > 0:
             clear.add(e)
             e = self.parent[e]
-        self.boiler = [False] * n
+        self.boiler, in_article = [False] * n, [False] * n
         for e in range(1, n):
             up = self.parent[e]
             title = self.tag[e] in HEADINGS and self.tag[up] == "header" and in_main[up] >= 0
-            weak = bool(self.weak[e]) and not self.main[e] and e not in clear and self.path[e] not in wrappers
+            inside_main = in_main[up] >= 0 and (self.article < 0 or in_main[up] == self.article or in_article[up])
+            in_article[e] = in_article[up] or e == self.article
+            weak = bool(self.weak[e]) and not self.main[e] and e not in clear and self.path[e] not in wrappers and (self.weak[e] > 0 or not inside_main)
             self.boiler[e] = self.own[e] or weak or self.boiler[in_main[up] if title else up]
 
     def _outweighs(self, e: int, size: list[int], wrappers: frozenset | set) -> bool:
@@ -201,12 +219,16 @@ class Page:
             if self.weak[up] and self.path[up] not in wrappers:
                 box = up
             up = self.parent[up]
-        around, up = set(), box
+        if not self.rivals:  # the two largest children of each element, whole names aside
+            self.rivals = [[] for _ in self.path]
+            for x in range(1, len(size)):
+                if self.weak[x] < 2:
+                    self.rivals[self.parent[x]] = sorted([*self.rivals[self.parent[x]], (size[x], x)])[-2:]
+        beside, below, up = 0, box, self.parent[box]
         while up >= 0:
-            around.add(up)
-            up = self.parent[up]
-        beside = (size[x] for x in range(1, len(size)) if self.parent[x] in around and self.parent[x] != box and x not in around and self.weak[x] < 2)
-        return size[box] >= max(beside, default=0)
+            beside = max([beside, *(n for n, x in self.rivals[up] if x != below)])
+            below, up = up, self.parent[up]
+        return size[box] >= beside
 
     def _sums(self, counts: list[bool], constant: frozenset | set = frozenset()) -> list[int]:
         out = [0] * len(self.path)

@@ -6,11 +6,17 @@ hash-joined with the digests of known licence texts.  Both the entire text and
 each of its lines, taken as an entire text of its own, are looked up, so a
 licence file and a document that carries a one-line notice are both found.
 Everything is DataFrame functions; a line longer than any known text cannot
-match and is not hashed.  The one shuffle carries about one narrow row per text.
+match and is not hashed.  Known digests are broadcast only while their measured
+size is under ``BROADCAST_BYTES``: then the lines of a text meet them in the
+text's own task, and the one shuffle carries a narrow row per text.  A larger
+table is joined by a shuffle of the digests, whose skew adaptive execution
+splits.
 
 Defined cases: a null or empty text has the digest of the empty string and no
-licence; repeated rows are judged one by one; an empty table of known texts
-leaves every row without a licence.
+licence; repeated rows are judged one by one; an empty table of texts gives an
+empty result, one of known texts leaves every row without a licence; further
+columns pass through, but a result column replaces one of its name.  Rows are
+numbered while they are read: give a table, or a plan without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from episodia.llm.license_texts import KNOWN, further
+from episodia.llm.shared import folded, unfolded
+
+BROADCAST_BYTES = 8 << 20
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
@@ -48,20 +57,21 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``text_digest``, ``license`` (of the entire text) and ``notices`` (of its lines)."""
-    names = [c for c in docs.columns if c not in (text, "text_digest", "license", "notices")]
-    longest = known.agg(F.max("n")).first()[0] or 0
-    rows = docs.select(F.struct(*names).alias("_row"), canonical_lines(F.col(text)).alias("_lines"), F.monotonically_increasing_id().alias("_rid"))
-    short = F.filter("_lines", lambda x: F.length(x) <= longest)
-    whole = F.array_join("_lines", " ")
-    hashed = rows.select("_rid", "_row", F.sha2(whole, 256).alias("text_digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("_line_digests"))
-    asked = hashed.select("_rid", "_row", "text_digest", F.explode(F.array_distinct(F.concat(F.array("text_digest"), "_line_digests"))).alias("digest"))
-    found = asked.join(known.select("digest", F.col("license").alias("_license")), "digest", "left")
-    per = found.groupBy("_rid").agg(
-        F.first("_row").alias("_row"), F.first("text_digest").alias("text_digest"),
-        F.max(F.when(F.col("digest") == F.col("text_digest"), F.col("_license"))).alias("license"),
-        F.sort_array(F.collect_set("_license")).alias("notices"),
+    most = known.agg(F.max("n"), F.sum(F.lit(96) + F.octet_length("license"))).first()
+    longest, weight = most[0] or 0, most[1] or 0
+    rows = folded(docs, text).select("row", canonical_lines(F.col("a0")).alias("lines"), F.monotonically_increasing_id().alias("rid"))
+    short = F.filter("lines", lambda x: F.length(x) <= longest)
+    whole = F.array_join("lines", " ")
+    hashed = rows.select("rid", "row", F.sha2(whole, 256).alias("text_digest"), F.transform(short, lambda x: F.sha2(x, 256)).alias("digests"))
+    asked = hashed.select("rid", "row", "text_digest", F.explode(F.array_distinct(F.concat(F.array("text_digest"), "digests"))).alias("digest"))
+    names = known.select("digest", F.col("license").alias("name"))
+    found = asked.join(F.broadcast(names) if weight <= BROADCAST_BYTES else names, "digest", "left")
+    per = found.groupBy("rid").agg(
+        F.first("row").alias("row"), F.first("text_digest").alias("text_digest"),
+        F.max(F.when(F.col("digest") == F.col("text_digest"), F.col("name"))).alias("license"),
+        F.sort_array(F.collect_set("name")).alias("notices"),
     )
-    return per.select("_row.*", "text_digest", "license", "notices")
+    return unfolded(per, [c for c in docs.columns if c != text], {}, {c: F.col(c) for c in ("text_digest", "license", "notices")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

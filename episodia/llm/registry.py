@@ -21,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op2_warc_index": warc.ORACLE,
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
 }

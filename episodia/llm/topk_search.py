@@ -349,7 +349,7 @@ def _bound(q: str, q_radius: str, r: str, r_radius: str) -> Column:
 
 def search(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``rows`` has ``id`` and ``vector`` (integers), queries are its rows with ``is_query``."""
-    good = rows.where("vector is not null").select("id", "vector")
+    good = rows.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())).select("id", "vector")
     data = stored(distinct_vectors(good, k + 1))
     asked = good.where(is_query & F.col("id").isNotNull()).distinct()
     pivots = fit_pivots(data, block)

@@ -7,19 +7,25 @@ expressions cannot match.  The first 32 bits of the expressions' SHA-256 join
 the rules' prefixes; full digests and the rule's whole path confirm a hit, and
 the longest rule wins (then the longer host, then block, then the rule's text).
 
-The expansions of a row are made and reduced in the same task: the one shuffle
-carries about one row per URL.  Rules are broadcast by Spark only while their
-size allows; beyond it the same equi-join shuffles.
+Rules are broadcast only while their measured size is under ``BROADCAST_BYTES``:
+then the expansions of a row are made and reduced in the same task, and the one
+shuffle carries one row per URL.  A larger rule table is joined by a shuffle of
+the expressions, whose skew (a frequent host) adaptive execution splits.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
-gets the default verdict; an empty rule table gives it to every row; repeated
-rows are judged one by one; further columns pass through.
+gets the default verdict; an empty rule table gives it to every row; an empty
+table of pages gives an empty result; repeated rows are judged one by one;
+further columns pass through, but a result column replaces one of its name.
+Rows are numbered while they are read: give a table, or a plan without a shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from episodia.llm.shared import folded, unfolded
+
+BROADCAST_BYTES = 8 << 20
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT = "allow"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -59,13 +65,11 @@ def expressions(host: Column, path: Column, labels: int, depth: int) -> Column:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``."""
-    clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
-    pages = pages.drop(*clash)
     known = rules.where(F.col("rule_host").isNotNull()).select(
         F.translate("rule_host", CAPITALS, SMALL).alias("_rh"), F.coalesce("rule_path", F.lit("")).alias("_rp"), F.col("verdict").alias("_rv")
     ).withColumn("_key", F.concat("_rh", F.lit(" "), F.regexp_extract("_rp", "(?s)^.*/", 0)))
-    deepest = known.agg(F.max(F.size(_parts(F.col("_rh"), r"\."))), F.max(F.size(_parts(F.regexp_extract("_rp", "(?s)^.*/", 0), "/")) - 1)).first()
-    labels, depth = deepest[0] or 1, deepest[1] or 0
+    deepest = known.agg(F.max(F.size(_parts(F.col("_rh"), r"\."))), F.max(F.size(_parts(F.regexp_extract("_rp", "(?s)^.*/", 0), "/")) - 1), F.sum(F.lit(200) + 2 * F.octet_length("_key"))).first()
+    labels, depth, weight = deepest[0] or 1, deepest[1] or 0, deepest[2] or 0
     known = known.withColumn("_digest", F.sha2("_key", 256)).select(
         F.substring("_digest", 1, 8).alias("_prefix"), F.col("_digest").alias("_full"), "_rp",
         F.struct(
@@ -73,14 +77,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
             F.concat("_rh", "_rp").alias("rule"), F.col("_rv").alias("verdict"),
         ).alias("_hit"),
     )
-    rows = pages.select(F.struct("*").alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("_rid"))
+    rows = folded(pages, url).select("row", "a0", host_of(F.col("a0")).alias("host"), path_of(F.col("a0")).alias("path"), F.monotonically_increasing_id().alias("rid"))
     asked = rows.withColumn("_digest", F.explode(F.transform(expressions(F.col("host"), F.col("path"), labels, depth), lambda e: F.sha2(e, 256)))).withColumn("_prefix", F.substring("_digest", 1, 8))
     sure = (F.col("_full") == F.col("_digest")) & F.startswith("path", "_rp")
     best = (
-        asked.join(known, "_prefix", "left")
-        .groupBy("_rid").agg(F.first("_row").alias("_row"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(sure, F.col("_hit"))).alias("_hit"))
+        asked.join(F.broadcast(known) if weight <= BROADCAST_BYTES else known, "_prefix", "left")
+        .groupBy("rid").agg(F.first("row").alias("row"), F.first("a0").alias("a0"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(sure, F.col("_hit"))).alias("hit"))
     )
-    return best.select("_row.*", "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
+    results = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("hit.rule"), "verdict": F.coalesce("hit.verdict", F.lit(default))}
+    return unfolded(best, pages.columns, {url: "a0"}, results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

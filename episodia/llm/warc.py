@@ -3,12 +3,13 @@
 ``write_archives`` writes one gzip member per record (``response``, or
 ``revisit`` where an equal payload is already held) and returns where each
 record lies.  ``build_index`` sorts the reversed-host URL keys into compressed
-blocks of lines and keeps the sparse directory: the first key of each block,
-within range partitions whose own first keys are a short list.  ``lookup``
-sends a query to its partition by binary search in that list, to its block by
-binary search in the partition's directory, and to its lines by binary search
-in the block; only blocks that are hit are decompressed.  ``read_records`` then
-reads byte ranges of the archives.
+blocks of lines, writes them to index files, and returns the sparse directory:
+the first key of each block and its byte range, within range partitions whose
+own first keys are a short list.  ``lookup`` sends a query to its partition by
+binary search in that list and meets the directory there in key order; a block
+that is hit is read by its range and searched by binary search.  So a lookup
+moves queries and directory rows, never the index.  ``read_records`` then reads
+byte ranges of the archives.
 
 Archives lie in the shared folder and are opened through ``pyarrow.fs``, so
 local mounts and object stores both work.  A file's name belongs to one task
@@ -19,6 +20,8 @@ Defined cases: a null payload is empty; a null URL has an empty key; payloads
 under ``min_bytes`` are never revisits; a null ``page_id`` sorts last and is
 chosen only when the group has no other; rows that share the smallest page_id of
 their payload are all responses; an empty table gives no archive and no rows.
+Only ``page_id``, ``url`` and ``html`` are read; further columns, whatever their
+names, take no part.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -45,6 +47,7 @@ FILE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PLACES = "url_key string, page_id long, file string, offset long, length long"
+DIRECTORY = "part int, block int, first_key string, first_id long, file string, offset long, length long"
 LEVEL = 3
 
 
@@ -138,8 +141,8 @@ def _order(key: str, page_id: int | None) -> tuple:
     return (key.encode(), page_id is not None, page_id or 0)
 
 
-def build_index(places: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """The index as a stored table: ``part, block, first_key, first_id, data`` with compressed, sorted lines.
+def build_index(places: DataFrame, into: str, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Write the index below ``into``; its directory as a stored table: ``part, block, first_key, first_id, file, offset, length``.
 
     Partitions are ranges of (key, page_id): a key with very many captures is
     spread over several of them.
@@ -149,11 +152,20 @@ def build_index(places: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         lines: list[tuple] = []
-        block = 0
+        block, at, out = 0, 0, None
+        name = f"index-{part:05d}-{uuid.uuid4().hex}.gz"
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            text = "\n".join(f"{k}\t{'' if p is None else p}\t{f}\t{o}\t{n}" for k, p, f, o, n in rows)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([rows[0][0]]), pa.array([rows[0][1]], pa.int64()), pa.array([zlib.compress(text.encode(), 6)], pa.binary())], ["part", "block", "first_key", "first_id", "data"])
+            nonlocal at, out
+            if out is None:
+                fs, base = pafs.FileSystem.from_uri(into)
+                fs.create_dir(base, recursive=True)
+                out = fs.open_output_stream(f"{base}/{name}", compression=None)
+            data = zlib.compress("\n".join(f"{k}\t{'' if p is None else p}\t{f}\t{o}\t{n}" for k, p, f, o, n in rows).encode(), 6)
+            out.write(data)
+            at += len(data)
+            row = [part, block, rows[0][0], rows[0][1], name, at - len(data), len(data)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], [x.split()[0] for x in DIRECTORY.split(", ")])
 
         for b in frames:
             lines += zip(*(b.column(c).to_pylist() for c in ("url_key", "page_id", "file", "offset", "length")))
@@ -162,13 +174,15 @@ def build_index(places: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
                 lines, block = lines[block_lines:], block + 1
         if lines:
             yield flush(lines)
+        if out is not None:
+            out.close()
 
     ranged = places.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
-    return stored(ranged.mapInArrow(run, "part int, block int, first_key string, first_id long, data binary"))
+    return stored(ranged.mapInArrow(run, DIRECTORY))
 
 
-def lookup(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """Places of the captures with the (url_key, page_id) pairs in ``asked``.
+def lookup(index: DataFrame, asked: DataFrame, root: str) -> DataFrame:
+    """Places of the captures with the (url_key, page_id) pairs in ``asked``, from the index files below ``root``.
 
     The list of the partitions' first keys (one row a partition) is all that
     the driver sees of the index.
@@ -178,30 +192,60 @@ def lookup(index: DataFrame, asked: DataFrame) -> DataFrame:
 
     def route(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            k, p = b.column("url_key").to_pylist(), b.column("page_id").to_pylist()
-            to = [parts[max(bisect_right(keys, _order(a, c)) - 1, 0)] if parts else -1 for a, c in zip(k, p)]
-            yield pa.RecordBatch.from_arrays([b.column("url_key"), b.column("page_id"), pa.array(to, pa.int32())], ["url_key", "page_id", "part"])
-
-    def find(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        blocks = blocks.sort_values("block")
-        firsts = [_order(k, None if pd.isna(p) else int(p)) for k, p in zip(blocks["first_key"], blocks["first_id"])]
-        held: dict[int, tuple[list, list]] = {}
-        wanted = sorted({_order(k, None if pd.isna(p) else int(p)) for k, p in zip(queries["url_key"], queries["page_id"])})
-        for p in wanted:
-            at = max(bisect_left(firsts, p) - 1, 0)  # equal captures may begin in the block before
-            while at < len(firsts) and firsts[at] <= p:
-                if at not in held:
-                    rows = [x.split("\t") for x in zlib.decompress(blocks["data"].iloc[at]).decode().split("\n")]
-                    held = {at: ([_order(r[0], int(r[1]) if r[1] else None) for r in rows], rows)} | ({at - 1: held[at - 1]} if at - 1 in held else {})
-                order, rows = held[at]
-                lo, hi = bisect_left(order, p), bisect_right(order, p)
-                out += [(r[0], int(r[1]) if r[1] else None, r[2], int(r[3]), int(r[4])) for r in rows[lo:hi]]
-                at += 1
-        return pd.DataFrame(out, columns=["url_key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64", "offset": "int64", "length": "int64"})
+            to: dict[str, list] = {"url_key": [], "page_id": [], "part": []}
+            for a, c in zip(b.column("url_key").to_pylist(), b.column("page_id").to_pylist()):
+                # equal captures may lie in several partitions: from the one before the first that begins with them
+                own = _order(a, c)
+                for k in range(max(bisect_left(keys, own) - 1, 0), bisect_right(keys, own)):
+                    for x, v in zip(to.values(), (a, c, parts[k])):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(to["url_key"], pa.string()), pa.array(to["page_id"], pa.int64()), pa.array(to["part"], pa.int32())], list(to))
+
+    def find(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        open_files: dict = {}
+        loaded: dict[tuple, tuple[list, list]] = {}
+        near: list[tuple] = []  # blocks that may hold the next query: the last ones with one first key, and the one before
+        key, part, last = None, None, None
+
+        def lines_of(block: tuple) -> tuple[list, list]:
+            if block not in loaded:
+                file, offset, length = block
+                if file not in open_files:
+                    for f in open_files.values():
+                        f.close()
+                    open_files.clear()
+                    open_files[file] = fs.open_input_file(f"{base}/{file}")
+                rows = [x.split("\t") for x in zlib.decompress(open_files[file].read_at(length, offset)).decode().split("\n")]
+                for x in [x for x in loaded if x not in near]:
+                    del loaded[x]
+                loaded[block] = [_order(r[0], int(r[1]) if r[1] else None) for r in rows], rows
+            return loaded[block]
+
+        for b in frames:
+            out: list[tuple] = []
+            for to, k, p, file, offset, length in zip(*(b.column(c).to_pylist() for c in ("part", "url_key", "page_id", "file", "offset", "length"))):
+                own = _order(k, p)
+                if to != part:
+                    near, key, part, last = [], None, to, None
+                if file is not None:
+                    near = [*near, (file, offset, length)] if own == key else [*near[-1:], (file, offset, length)]
+                    key = own
+                elif own != last:
+                    last = own
+                    for block in near:
+                        order, rows = lines_of(block)
+                        out += [(r[0], int(r[1]) if r[1] else None, r[2], int(r[3]), int(r[4])) for r in rows[bisect_left(order, own) : bisect_right(order, own)]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["url_key", "page_id", "file", "offset", "length"])
+        for f in open_files.values():
+            f.close()
 
     sent = asked.select("url_key", "page_id").mapInArrow(route, "url_key string, page_id long, part int")
-    return sent.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(find, PLACES)
+    none = F.lit(None)
+    rows = sent.select("part", "url_key", "page_id", F.lit(1).alias("kind"), F.lit(0).alias("block"), none.cast("string").alias("file"), none.cast("long").alias("offset"), none.cast("long").alias("length"))
+    both = rows.unionByName(index.select("part", F.col("first_key").alias("url_key"), F.col("first_id").alias("page_id"), F.lit(0).alias("kind"), "block", "file", "offset", "length"))
+    return both.repartition("part").sortWithinPartitions("part", "url_key", "page_id", "kind", "block").mapInArrow(find, PLACES)
 
 
 def read_records(places: DataFrame, root: str) -> DataFrame:
@@ -240,9 +284,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     root = folder(spark)
     places = write_archives(captures(pages), root)
-    index = build_index(places)
+    index = build_index(places, root)
     asked = pages.select(url_key(F.col("url")).alias("url_key"), "page_id")
-    return read_records(lookup(index, asked), root)
+    return read_records(lookup(index, asked, root), root)
 
 
 ORACLE = """

@@ -266,7 +266,7 @@ def test_warc_round_trip_edges(spark, tmp_path):
     root = f"file://{tmp_path}/w"
     places = warc.write_archives(warc.captures(pages), root)
     asked = pages.select(warc.url_key(F.col("url")).alias("url_key"), "page_id")
-    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(warc.lookup(warc.build_index(places, block_lines=2), asked), root).collect()}
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(warc.lookup(warc.build_index(places, root, block_lines=2), asked, root), root).collect()}
     assert got == {1: (200, "response", None), 2: (200, "revisit", 1), 3: (0, "response", None), 4: (0, "response", None), None: (200, "revisit", 1), 5: (5, "response", None), 6: (5, "response", None)}
 
 
@@ -316,6 +316,31 @@ def test_html_extract_comments_stay_out(spark):
     assert got == {i: f"Title {i} Short {i}" for i in range(8)}
 
 
+def test_html_extract_attributes_by_the_rules():
+    def text(x):
+        p = he.Page(x)
+        return p.text(p.largest())
+
+    assert text("<p title=it's>Hello</p><p>it's fine</p>") == "Hello it's fine"
+    assert text("<p title='a > b' data-x=\"1 > 0\">one</p><p class = 'x'>two</p>") == "one two"
+    assert text("a <b>c</b> 1 < 2 <p>x<y z") == "a c 1 < 2 x"
+    assert text("<main><div class='related-work'>A</div><section class=search-methods>B</section><div class=related-posts>C</div><div class=comments>D</div></main>") == "A B"
+    assert text("<p>x</p><!-- never closed <p>y</p>") == "x"
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a ='", "<!", "<div>", "<a b=\"x' ", "</", "<p/", "&amp", "<article class=comment>x"])
+def test_html_extract_broken_markup_in_linear_time(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        p = he.Page(piece * (n // len(piece)))
+        p.text(p.largest())
+        return time.process_time() - began
+
+    assert seconds(1 << 20) < 30 and seconds(1 << 19) < 15
+
+
 def shapes(i):
     intro, body = f"Intro {i} in a few words", f"Body {i} " + "with many more words " * 6
     want = f"{intro} {body.strip()}"
