@@ -538,8 +538,9 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     found = link_components(keyed.select(F.col("key").alias("doc_id"), F.col("a1").alias("text")))
     heads = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("times")))
     kept = keyed.join(heads, "key")
-    once = kept.where("times > 1").dropDuplicates(["key"])
-    return unfolded(kept.where("times = 1").unionByName(once), docs.columns, {"doc_id": "a0", text: "a1"})
+    if heads.where("times > 1").limit(1).count():
+        kept = kept.where("times = 1").unionByName(kept.where("times > 1").dropDuplicates(["key"]))
+    return unfolded(kept, docs.columns, {"doc_id": "a0", text: "a1"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

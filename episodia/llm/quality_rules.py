@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from episodia.llm import textkernel as tk
-from episodia.llm.shared import folded, least_hashes, named, stored, unfolded
+from episodia.llm.shared import folded, least_hashes, stored, unfolded
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits", "n_bytes"]
 #: Largest number of labelled rows that the rules are fitted on.
@@ -238,16 +238,22 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """``stats`` with ``base_failed``, ``rule`` and ``kept``; rules are learned from ``labels``."""
-    rules = learn(stats.select("doc_id", *COUNTS).join(_labels(labels), "doc_id"), "_label")
+    rules = learn(stored(stats.select("doc_id", *COUNTS).join(_labels(labels), "doc_id")), "_label")
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps; only labelled texts are measured for the rules."""
-    some = docs.select("doc_id", named(text).alias("_text")).join(_labels(labels), "doc_id")
-    rules = learn(text_stats(some, "_text"), "_label")
-    kept = _measured(folded(docs, text)).where(~base_failed() & verdict(rules).isNull())
-    return unfolded(kept, docs.columns, {text: "a0"})
+    """The rows of ``docs`` that ``judge`` keeps.
+
+    The texts are measured once, into a stored table; the rules are learned from
+    its narrow columns, so no text is shuffled.
+    """
+    rows = folded(docs, text)
+    place = [c for c in docs.columns if c != text].index("doc_id")
+    measured = stored(_measured(rows))
+    stats = measured.select(F.col("row").getField(f"c{place}").alias("doc_id"), *COUNTS)
+    rules = learn(stored(stats.join(_labels(labels), "doc_id")), "_label")
+    return unfolded(measured.where(~base_failed() & verdict(rules).isNull()), docs.columns, {text: "a0"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ U64 = np.uint64
 META, LITERAL_META, SPACE = 0x2581, 0x110000, 0x20
 FALLBACK_SCORE = -12.0  # of one byte piece
 SAMPLES = 2
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 17
 
 SCHEMA = "sample int, n_tokens long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean"
 

@@ -49,8 +49,15 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of an Arrow batch of texts; the usual 10,000 take some hundred MB of a worker where texts are long.
+BATCH_ROWS = 2000
+
+
 def folded(docs: DataFrame, *apart: str) -> DataFrame:
     """``docs`` with all its columns but ``apart`` in one struct ``row``, where no name can clash; ``apart`` follow as ``a0, a1, ...``."""
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(docs.sparkSession.conf.get(few)) > BATCH_ROWS:
+        docs.sparkSession.conf.set(few, str(BATCH_ROWS))
     rest = [c for c in docs.columns if c not in apart]
     row = F.struct(F.lit(True).alias("_"), *(named(c).alias(f"c{i}") for i, c in enumerate(rest)))
     return docs.select(row.alias("row"), *(named(c).alias(f"a{i}") for i, c in enumerate(apart)))
