@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from episodia.sources.scratch import stored
+
 
 def assign_keys(known: DataFrame, values: DataFrame, value: str = "task", key: str = "task_index") -> DataFrame:
     """``known`` and the unseen values with the next dense keys, in value order.
@@ -56,3 +58,16 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, at: str, tolerance:
     before, after = F.abs(F.col(at) - F.col("_b")), F.abs(F.col("_a") - F.col(at))
     best = F.when(F.col("_a").isNull() | (before <= after), F.col("_b")).otherwise(F.col("_a"))
     return running.select(F.col("q").alias("id"), best.alias("nearest"), F.coalesce(F.abs(best - F.col(at)) < tolerance, F.lit(False)).alias("matched"))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with their place (from 1) in one order of the whole table, without one task that sees all rows.
+
+    Rows are dealt to ranges; a row's place is its place in its range and the
+    rows of the ranges before, a table of one row a range.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranged.join(before, "_range").withColumn(name, place.cast("long")).drop("_range", "_before")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from episodia.llm.shared import stored
+from episodia.sources.scratch import stored
 
 BLOCK = 4096
 STRIP = 512
@@ -81,12 +81,12 @@ def progression(points: DataFrame) -> DataFrame:
     return moved.groupBy("episode").agg(F.max("n").alias("n"), F.avg(F.abs("_m")).alias("mean_abs"), F.avg((F.col("_m") > 0).cast("double")).alias("positive"), F.avg((F.col("_m") >= 0.01).cast("double")).alias("clear"))
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows with a unit vector in one row a block, in as many partitions as there are blocks."""
+def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Rows with a unit vector in one row a block (``_b``), and the number of blocks."""
     rows = stored(rows.select(F.col("id").cast("long").alias("id"), F.col("task").cast("long").alias("task"), F.col("episode").cast("long").alias("episode"), "unit"))
     n = max(1, -(-rows.count() // block))
     own = F.pmod(F.xxhash64("id", "task", "episode", F.monotonically_increasing_id()), F.lit(n))
-    return stored(rows.groupBy(own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows"))).select("rows").repartition(n)
+    return stored(rows.groupBy(own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows"))), n
 
 
 def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +95,8 @@ def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return *(r.field(c).to_numpy(zero_copy_only=False) for c in ("id", "task", "episode")), unit.flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
 
 
-def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, block: int = BLOCK, digits: int = 6) -> DataFrame:
-    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks; pairs of one episode score -inf."""
+def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, block: int = BLOCK, digits: int = 6, same_task: bool | None = None) -> DataFrame:
+    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks; pairs of one episode (and, with ``same_task``, those not of one task or not of two) score -inf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,14 +106,18 @@ def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, bl
                     at = slice(lo, lo + STRIP)
                     scores = np.round(q[at] @ m.T, digits)
                     scores[q_episode[at][:, None] == episode] = -np.inf
+                    if same_task is not None:
+                        scores[(q_task[at][:, None] == task) != same_task] = -np.inf
                     yield pa.RecordBatch.from_pydict(per_strip(q_id[at], q_task[at], id_, task, scores))
 
-    met = _blocks(queries, block).withColumnRenamed("rows", "q_rows").crossJoin(_blocks(bank, block))
-    return met.mapInArrow(run, schema)
+    (asked, _), (held, n) = _blocks(queries, block), _blocks(bank, block)
+    # a stated query set meets all rows, block by block: each query block is sent to every block of the bank
+    sent = asked.select(F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_b"))
+    return sent.join(held, "_b").select("q_rows", "rows").mapInArrow(run, schema)
 
 
-def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The ``k`` best of each query over all tasks as ``top_k`` ranks them."""
+def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK, same_task: bool | None = None) -> DataFrame:
+    """The ``k`` best of each query over all tasks, its own (``same_task``) or the others, as ``top_k`` ranks them."""
 
     def best(q_id, q_task, id_, task, scores):
         order = np.argsort(id_, kind="stable")
@@ -132,7 +136,7 @@ def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK)
         row, col, s = row[keep], col[keep], s[keep]
         return {"q_id": q_id[row], "q_task": q_task[row], "id": id_[col], "task": task[col], "score": s}
 
-    found = block_scores(queries, bank, best, "q_id long, q_task long, id long, task long, score double", block)
+    found = block_scores(queries, bank, best, "q_id long, q_task long, id long, task long, score double", block, same_task=same_task)
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

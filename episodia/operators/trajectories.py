@@ -89,11 +89,15 @@ def last_effects(records: DataFrame, k: int = 4) -> DataFrame:
 
     ``records``: episode_index, raw_step, is_query, effect (null for queries).
     """
-    w = Window.partitionBy("episode_index").orderBy("raw_step", F.col("is_query").cast("int"), "effect_index").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(F.when(~F.col("is_query"), F.col("effect"))).over(w.rowsBetween(-(1 << 20), 0))
-    tail = F.slice(F.col("_seen"), F.greatest(F.size("_seen") - k + 1, F.lit(1)), k)
+    effects = records.where(~F.col("is_query") & F.col("effect").isNotNull())
+    own = Window.partitionBy("episode_index").orderBy("raw_step", "effect_index")
+    tails = effects.withColumn("_tail", F.array_compact(F.array(*[F.lag("effect", j).over(own) for j in range(k - 1, 0, -1)], F.col("effect"))))
+    queries = records.where("is_query").withColumn("_tail", F.lit(None).cast(tails.schema["_tail"].dataType))
+    # each query sees the tail of the last effect up to it: a running value, not a list of all of them
+    so_far = Window.partitionBy("episode_index").orderBy("raw_step", F.col("is_query").cast("int"), "effect_index").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.coalesce(F.last("_tail", ignorenulls=True).over(so_far), F.array().cast(tails.schema["_tail"].dataType))
+    out = tails.unionByName(queries).withColumn("_tail", seen).where("is_query")
     short = F.lit(k) - F.size("_tail")
-    out = records.withColumn("_seen", seen).where("is_query").withColumn("_tail", tail)
     return out.select("episode_index", "raw_step", F.concat(F.array_repeat(F.lit(0.0), short), "_tail").alias("effects"), F.concat(F.array_repeat(F.lit(False), short), F.array_repeat(F.lit(True), F.size("_tail"))).alias("mask"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from episodia.plans import evaluation, keys, pose, stats, trajectory, vectors
+from episodia.plans import evaluation, keys, metadata, pose, stats, trajectory, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (trajectory, stats, vectors, keys, evaluation, pose):
+for _part in (trajectory, stats, vectors, keys, evaluation, metadata, pose):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

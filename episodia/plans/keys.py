@@ -190,7 +190,7 @@ def f13(spark, sf):
 @add("f14_numeric_suffix_order", "SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) DESC) AS place FROM customer")
 def f14(spark, sf):
     suffix = F.regexp_extract("c_name", r"([0-9]+)$", 1).cast("long")
-    return table(spark, sf, "customer").select("c_name", F.row_number().over(Window.orderBy(suffix.desc())).cast("long").alias("place"))
+    return ky.numbered(table(spark, sf, "customer").select("c_name"), "place", suffix.desc())
 
 
 @add("f16_binarised", "SELECT event_id, value > 0.5 AS closed, -value AS flipped FROM events")

@@ -9,46 +9,36 @@ from episodia.plans.common import BANK, Registry, bank, lengths
 from episodia.session import table
 
 add = Registry()
-PAIRS = f"WITH {BANK}, p AS (SELECT q.id AS q_id, q.task AS q_task, b.id, b.task, b.episode, round(list_dot_product(q.unit, b.unit), 6) AS score FROM units q JOIN units b ON q.episode <> b.episode AND q.id % 10 = 0 AND {{}}), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM p)"
-
-
-def asked(spark, sf):
-    """The stated query set (every tenth id) and the bank."""
-    b = bank(spark, sf)
-    return b.where(F.col("id") % 10 == 0), b
+PAIRS = f"WITH {BANK}, p AS (SELECT q.id AS q_id, q.task AS q_task, b.id, b.task, b.episode, round(list_dot_product(q.unit, b.unit), 6) AS score FROM units q JOIN units b ON q.episode <> b.episode AND {{}}), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM p)"
 
 
 def everyone(spark, sf):
+    """All rows as queries, and the bank."""
     b = bank(spark, sf)
     return b, b
 
 
 @add("f01_same_task_topk", PAIRS.format("q.task = b.task") + " SELECT q_id, rank, id, score FROM k WHERE rank <= 4")
 def f01(spark, sf):
-    return rt.top_k(rt.candidates(*asked(spark, sf)), 4).select("q_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    return rt.block_top_k(*everyone(spark, sf), 4, same_task=True).select("q_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 @add("f02_cross_task_topk", PAIRS.format("q.task <> b.task") + " SELECT q_id, rank, id, score FROM k WHERE rank <= 4")
 def f02(spark, sf):
-    return rt.top_k(rt.candidates(*asked(spark, sf), same_task=False), 4).select("q_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    return rt.block_top_k(*everyone(spark, sf), 4, same_task=False).select("q_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 @add("f04_softmax_context", PAIRS.format("q.task = b.task") + """, w AS (SELECT q_id, id, exp((score - max(score) OVER (PARTITION BY q_id)) / 0.1) AS e FROM k WHERE rank <= 4),
-n AS (SELECT q_id, id, e / sum(e) OVER (PARTITION BY q_id) AS w FROM w), d AS (SELECT q_id, w, unnest(range(4)) AS dim, unnest(vector[1:4]) AS x FROM n JOIN bank USING (id))
+n AS (SELECT q_id, id, e / sum(e) OVER (PARTITION BY q_id) AS w FROM w), d AS (SELECT q_id, w, unnest(range(64)) AS dim, unnest(vector) AS x FROM n JOIN bank USING (id))
 SELECT q_id, dim, round(sum(w * x), 5) AS value FROM d GROUP BY 1, 2""")
 def f04(spark, sf):
-    q, b = asked(spark, sf)
-    top = rt.top_k(rt.candidates(q, b), 4).join(b.select("id", F.slice("vector", 1, 4).alias("value")), "id")
+    q, b = everyone(spark, sf)
+    top = rt.block_top_k(q, b, 4, same_task=True).join(b.select("id", F.col("vector").alias("value")), "id")
     return rt.softmax_mean(top, "value", 0.1).select("q_id", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
 
 
 @add("f06_neighbour_accuracy", PAIRS.format("true") + " SELECT q_task AS task, round(avg(CASE WHEN task = q_task THEN 1.0 ELSE 0.0 END), 6) AS top1, count(*) AS queries FROM k WHERE rank = 1 GROUP BY 1")
 def f06(spark, sf):
-    return _accuracy(*asked(spark, sf))
-
-
-@add("f06_neighbour_accuracy_all")
-def f06_all(spark, sf):
     return _accuracy(*everyone(spark, sf))
 
 
@@ -58,11 +48,6 @@ def _accuracy(q, b):
 
 @add("d27_top5_hits", PAIRS.format("true") + " SELECT q_id, max(CASE WHEN task = q_task THEN 1 ELSE 0 END) = 1 AS hit FROM k WHERE rank <= 5 GROUP BY 1")
 def d27(spark, sf):
-    return _hits(*asked(spark, sf))
-
-
-@add("d27_top5_hits_all")
-def d27_all(spark, sf):
     return _hits(*everyone(spark, sf))
 
 
@@ -72,11 +57,6 @@ def _hits(q, b):
 
 @add("f07_pair_cosine_means", PAIRS.format("true") + " SELECT q_task = task AS same_task, round(avg(score), 5) AS mean, count(*) AS pairs FROM p GROUP BY 1")
 def f07(spark, sf):
-    return rt.pair_means(*asked(spark, sf)).withColumn("mean", F.round("mean", 5))
-
-
-@add("f07_pair_cosine_means_all")
-def f07_all(spark, sf):
     return rt.pair_means(*everyone(spark, sf)).withColumn("mean", F.round("mean", 5))
 
 
@@ -88,11 +68,6 @@ def d14(spark, sf):
 @add("d22_contrastive_metric", PAIRS.format("true") + """, l AS (SELECT q_id, q_task, task, score / 0.1 AS s, max(score / 0.1) OVER (PARTITION BY q_id) AS m FROM p)
 SELECT q_id, round(avg(CASE WHEN task = q_task THEN s END) - max(m) - ln(sum(exp(s - m))), 5) AS log_prob FROM l GROUP BY 1 HAVING count(CASE WHEN task = q_task THEN 1 END) > 0""")
 def d22(spark, sf):
-    return rt.contrastive(*asked(spark, sf)).select("q_id", F.round("log_prob", 5).alias("log_prob"))
-
-
-@add("d22_contrastive_metric_all")
-def d22_all(spark, sf):
     return rt.contrastive(*everyone(spark, sf)).select("q_id", F.round("log_prob", 5).alias("log_prob"))
 
 
@@ -158,4 +133,7 @@ def f11(spark, sf):
     return sampling.longest_first(lengths(spark, sf).select(F.col("episode_index").alias("id"), F.col("length").alias("load")), 8)
 
 
+for _name in ("f06_neighbour_accuracy", "d27_top5_hits", "f07_pair_cosine_means", "d22_contrastive_metric"):  # these names were given to the queries over every row
+    add(f"{_name}_all", add.oracles[_name])(add.queries[_name])
+
 QUERIES, ORACLES = add.queries, add.oracles
