@@ -1,47 +1,12 @@
-"""Tables in the folder that the driver and all executors share, and rows carried whole.
-
-Lineage is cut with tables under ``spark.checkpoint.dir``; it is read from the
-session and set only where it is unset in a local session (as in tests).  A
-cluster without that setting is an error: executors would write to their own
-disks.
-"""
+"""Rows carried whole, bounded samples, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-
-def folder(spark: SparkSession) -> str:
-    """A fresh path below the shared folder."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='episodia-')}")
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/episodia-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pyspark.sql import Column, DataFrame, functions as F
 
+from episodia.sources.scratch import drop, folder, stored
 
-def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``stored`` made, once nothing reads them any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["drop", "folded", "folder", "least_hashes", "named", "stored", "unfolded"]
 
 
 def named(name: str) -> Column:
