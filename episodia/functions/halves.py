@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import FloatType, IntegerType
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def upper_half_bits(x: pd.Series) -> pd.Series:
     """The bits, rounded half to even; null for null."""
     bits = np.ascontiguousarray(x.to_numpy(np.float32, na_value=np.nan)).view(np.uint32).astype(np.int64)
@@ -15,7 +16,7 @@ def upper_half_bits(x: pd.Series) -> pd.Series:
     return pd.Series(kept).astype("Int32").mask(x.isna().to_numpy())
 
 
-@pandas_udf("float")
+@pandas_udf(FloatType())
 def upper_half_float(bits: pd.Series) -> pd.Series:
     """The number that the bits stand for."""
     wide = bits.fillna(0).to_numpy(np.uint32) << np.uint32(16)
