@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_topk_search": topk_search.ORACLE,
     "op2_warc_index": warc.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,

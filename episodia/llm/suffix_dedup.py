@@ -499,3 +499,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, bl
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+
+
+#: Every start of every text by its 400 bytes in hexadecimal; the starts are read from pieces of 512, as ``substr`` walks from the front.
+ORACLE = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+o AS (SELECT k, len(h) // 2 - 399 AS starts, o, substr(h, 2 * o + 1, 2 * (512 + 399)) AS part FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399, 512)) AS o FROM t WHERE len(h) >= 800)),
+s AS (SELECT k, o + i AS i, md5(substr(part, 2 * i + 1, 800)) AS d FROM (SELECT k, o, part, unnest(range(0, least(512, starts - o))) AS i FROM o)),
+c AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY d) AS n FROM s) WHERE n > 1),
+g AS (SELECT k, i, CASE WHEN i - lag(i) OVER w <= 400 THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY k ORDER BY i)),
+n AS (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS span FROM g),
+r AS (SELECT k, span, min(i) AS b, max(i) + 400 AS e FROM n GROUP BY k, span),
+q AS (SELECT k, b, coalesce(lag(e) OVER (PARTITION BY k ORDER BY b), 0) AS a FROM r UNION ALL SELECT t.k, len(h) // 2, coalesce(max(e), 0) FROM t LEFT JOIN r USING (k) GROUP BY t.k, h),
+p AS (SELECT k, a, substr(h, 2 * a + 1, 2 * (b - a)) AS piece FROM q JOIN t USING (k)),
+j AS (SELECT k, string_agg(piece, '' ORDER BY a) AS kept, string_agg(regexp_replace(regexp_replace(piece, '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' ORDER BY a) AS whole FROM p GROUP BY k)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST((len(h) - len(kept)) // 2 AS BIGINT) AS n_removed, (SELECT count(*) FROM r WHERE r.k = t.k) AS n_spans, sha256(unhex(kept)) AS kept_sha256,
+CASE WHEN len(kept) = len(h) THEN text ELSE decode(unhex(whole)) END AS text FROM t JOIN j USING (k)
+"""
