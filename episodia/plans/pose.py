@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodia.functions import rotations as ro
+from episodia.operators import transforms as tf
 from episodia.plans.common import Registry
 from episodia.session import table
 
@@ -76,7 +77,7 @@ SELECT vec_id, [round(m, 6) + 0.0 FOR m IN [cos(y)*cos(z), -cos(y)*sin(z), sin(y
 def h26(spark, sf):
     v, e = parts(spark, sf)
     m = ro.euler_to_matrix(e[:3], "XYZ")
-    back = ro.matrix_to_euler_xyz(m)
+    back = ro.matrix_to_euler(m, "XYZ")
     return v.select("vec_id", six(m).alias("m"), ((F.abs(back[0] - e[0]) < 1e-9) & (F.abs(back[1] - e[1]) < 1e-9) & (F.abs(back[2] - e[2]) < 1e-9)).alias("round_trip"))
 
 
@@ -103,4 +104,45 @@ def h31(spark, sf):
     return v.select("vec_id", F.array(*[F.round(c, 5) + 0.0 for c in position]).alias("position"))
 
 
+ORDERS = ["XYX", "XYZ", "XZX", "XZY", "YXY", "YXZ", "YZX", "YZY", "ZXY", "ZXZ", "ZYX", "ZYZ"]
+
+
+@add("h26_euler_orders", f"""WITH o AS (SELECT unnest({ORDERS}) AS convention), e AS (SELECT vec_id, 3 * sin(5 * embedding[1]::DOUBLE) AS a, sin(5 * embedding[2]::DOUBLE) AS b, 3 * sin(5 * embedding[3]::DOUBLE) AS c FROM embeddings)
+SELECT vec_id, convention, [round(a, 6) + 0.0, round(CASE WHEN convention[1] = convention[3] THEN 1.5 + 1.3 * b ELSE 1.4 * b END, 6) + 0.0, round(c, 6) + 0.0] AS angles FROM e CROSS JOIN o""")
+def h26_orders(spark, sf):
+    v, e = parts(spark, sf)
+    v, (a, b, c) = tf.staged(v, "a", [F.sin(5 * x) for x in e[:3]])
+    found = []
+    for order in ORDERS:
+        middle = 1.5 + 1.3 * b if order[0] == order[2] else 1.4 * b
+        v, m = tf.staged(v, f"m_{order}_", ro.euler_to_matrix([3 * a, middle, 3 * c], order))
+        found.append(F.struct(F.lit(order).alias("convention"), six(ro.matrix_to_euler(m, order)).alias("angles")))
+    return v.select("vec_id", F.explode(F.array(*found)).alias("r")).select("vec_id", "r.*")
+
+
+@add("h29_random_rotations", "SELECT vec_id, 1.0::DOUBLE AS length, [1, 0, 0, 0, 1, 0, 0, 0, 1]::DOUBLE[] AS product, true AS turned FROM embeddings")
+def h29(spark, sf):
+    v = tf.random_rotations(table(spark, sf, "embeddings").select("vec_id"), "vec_id", "q", seed=11)
+    v, q = tf.staged(v, "p", [F.get("q", k) for k in range(4)])
+    v, m = tf.staged(v, "m", ro.quaternion_to_matrix(q))
+    product = ro.matmul(m, [m[3 * j + i] for i in range(3) for j in range(3)])
+    length = F.round(F.sqrt(sum((x * x for x in q), F.lit(0.0))), 6)
+    return v.select("vec_id", length.alias("length"), six(product).alias("product"), ((q[0] >= 0) & (q[0] < 1)).alias("turned"))
+
+
+@add("h30_converted_pose", """WITH e AS (SELECT vec_id, embedding, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b, embedding[6]::DOUBLE AS c FROM embeddings)
+SELECT vec_id, [round(x, 6) + 0.0 FOR x IN [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, cos(b)*cos(c), -cos(b)*sin(c), sin(b), cos(a)*sin(c) + sin(a)*sin(b)*cos(c), cos(a)*cos(c) - sin(a)*sin(b)*sin(c), -sin(a)*cos(b), embedding[7]::DOUBLE]] AS pose FROM e""")
+def h30(spark, sf):
+    v = tf.convert_pose(table(spark, sf, "embeddings"), "embedding", "euler", "rotation_6d", rest=1)
+    return v.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6) + 0.0).alias("pose"))
+
+
+@add("h30_pose_round_trip", "SELECT vec_id, [round(x::DOUBLE, 5) + 0.0 FOR x IN embedding[1:7]] AS pose FROM embeddings")
+def h30_back(spark, sf):
+    v = table(spark, sf, "embeddings")
+    for source, target in (("axis_angle", "quaternion"), ("quaternion", "rotation_6d"), ("rotation_6d", "matrix"), ("matrix", "axis_angle")):
+        v = tf.convert_pose(v, "embedding", source, target, rest=1)
+    return v.select("vec_id", F.transform("embedding", lambda x: F.round(x, 5) + 0.0).alias("pose"))
+
+
 QUERIES, ORACLES = add.queries, add.oracles

@@ -117,8 +117,8 @@ def h21(spark, sf):
 @add("i01_merge_memory")
 def i01(spark, sf):
     b = bank(spark, sf)
-    rows = b.select(F.col("task").cast("long").alias("episode"), F.col("id").alias("step"), F.lit(0).alias("attempt"), F.slice("vector", 1, 32).alias("phase"), F.slice("vector", 33, 32).alias("effect"))
-    return memory.merge_memory(rows, capacity=16, threshold=0.2)
+    rows = b.select("episode", F.col("id").alias("step"), F.lit(0).alias("attempt"), F.slice("vector", 1, 32).alias("phase"), F.slice("vector", 33, 32).alias("effect"))
+    return memory.merge_memory(rows)
 
 
 @add("i03_scope_violations", """WITH r AS (SELECT vec_id, label AS task, vec_id // 5 AS episode, (vec_id * 7) % 3 AS attempt FROM embeddings), l AS (SELECT *, attempt - lag(attempt) OVER w AS d, lag(task) OVER w AS pt FROM r WINDOW w AS (PARTITION BY episode ORDER BY vec_id))
