@@ -68,6 +68,25 @@ def merge_memory(rows: DataFrame, capacity: int = 256, threshold: float = 0.85)
     return rows.select("episode", "step", "attempt", "phase", "effect").groupBy("episode").applyInPandas(run, "episode long, step long, slot long, merged boolean, size long")
 
 
+def recall_memory(rows: DataFrame, k: int = 4, capacity: int = 256, threshold: float = 0.85, other_attempts: bool = False) -> DataFrame:
+    """``episode, step, rank, entry_step, score``: what each row of ``merge_memory``'s input finds by phase before it is added.
+
+    ``entry_step`` is the last step that went into the entry; with
+    ``other_attempts`` entries of the row's own attempt are left out.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        store = MergingStore(capacity, threshold)
+        out = []
+        for e, s, a, p, f in pdf.sort_values("step")[["episode", "step", "attempt", "phase", "effect"]].itertuples(index=False):
+            found = store.query(p, k, int(a) if other_attempts else None)
+            out += [(e, s, rank, store.entries[i]["step"], score) for rank, (i, score) in enumerate(found, 1)]
+            store.add(p, f, int(a), int(s))
+        return pd.DataFrame(out, columns=["episode", "step", "rank", "entry_step", "score"])
+
+    return rows.select("episode", "step", "attempt", "phase", "effect").groupBy("episode").applyInPandas(run, "episode long, step long, rank long, entry_step long, score double")
+
+
 def scope_violations(rows: DataFrame) -> DataFrame:
     """Rows whose attempt neither stays nor goes up by one, or whose task differs from the row before."""
     w = Window.partitionBy("episode").orderBy("step")

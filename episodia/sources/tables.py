@@ -46,6 +46,16 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_transitions(rows: DataFrame, path: str, key: str, rows_in_file: int = 1_000_000) -> None:
+    """Windows below ``path/windows`` and a manifest of files and their rows in ``path/manifest``; a repeated ``key`` is an error."""
+    twice = rows.groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][0]} stands on several rows")
+    rows.write.option("maxRecordsPerFile", rows_in_file).mode("errorifexists").parquet(f"{path}/windows")
+    files = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/windows").groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    files.agg(F.count("*").alias("rows"), F.min(key).alias("least"), F.max(key).alias("greatest")).write.mode("errorifexists").json(f"{path}/manifest")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
