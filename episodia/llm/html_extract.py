@@ -329,8 +329,12 @@ def wrappers(pages: DataFrame, bulk: float = BULK) -> DataFrame:
 
 
 def with_wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """``pages`` with ``host`` and its ``wrappers`` (null for most)."""
-    keyed = pages.withColumn("host", host_of(F.col("url")))
+    """``pages`` with ``host``, a number of their own (``page``) and their host's ``wrappers`` (null for most).
+
+    Pages are numbered before any shuffle, so a task that is run again gives them the same numbers.
+    """
+    number = F.xxhash64("page_id", "url", F.octet_length("html"), F.monotonically_increasing_id())
+    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), number.alias("page"))
     weight = found.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("wrappers", " ")) + 64)).first()[0] or 0
     return keyed.join(F.broadcast(found) if weight <= BROADCAST_BYTES else found, "host", "left")
 
@@ -360,7 +364,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["host", "token", "path", "is_text", "is_main", "boiler", "times", "place", "mass", "page"])
 
-    return pages.select("host", "html", "wrappers", F.xxhash64("page_id", "url", F.octet_length("html"), F.monotonically_increasing_id()).alias("page")).mapInArrow(run, TOKENS)
+    return pages.select("host", "html", "wrappers", "page").mapInArrow(run, TOKENS)
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, mass: float = MASS) -> DataFrame:

@@ -20,9 +20,10 @@ shingles, whatever the other's size.
 3. A third pass sends the whole sets of clustered classes to their cluster.
    A set goes once for each task, not once for each copy.
 4. Within a block of a cluster, breadth-first T-occurrence search finds the
-   components: a popped set's short inverted lists are merged by counting, what
-   reaches T - L is looked up in its L longest lists by binary search, and
-   classes found need no second search from the same side.  Nothing expands
+   components: a popped set's short inverted lists are merged (or counted, where
+   they hold more postings than the block has members), what reaches T - L is
+   looked up in its L longest lists by binary search, and classes found need no
+   second search from the same side.  Nothing expands
    groups of copies into pairs.
 5. A cluster of more than ``BLOCK`` shingles is dealt to several blocks.
    Representatives of the blocks' components are joined first; then every class
@@ -304,6 +305,21 @@ def _sketches(docs: DataFrame, text: str, known: np.ndarray) -> DataFrame:
     return docs.select(text).mapInArrow(run, "d1 long, sketch binary").groupBy("d1").agg(F.min("sketch").alias("sketch"))
 
 
+def occurrences(postings: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending members of some lists (each ascending, one after the other) and how many lists hold each.
+
+    The lists are merged as the runs they are; where they have more postings
+    than there are members, an array of all members counts them.
+    """
+    if len(postings) > members:
+        count = np.bincount(postings, minlength=members)
+        found = np.flatnonzero(count)
+        return found, count[found]
+    merged = np.sort(postings, kind="stable")  # merges ascending runs, sorts nothing anew
+    first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else np.zeros(0, np.int64)
+    return merged[first], np.diff(np.append(first, len(merged)))
+
+
 class Index:
     """Inverted lists of some sets, for T-occurrence search among those still wanted."""
 
@@ -333,7 +349,7 @@ class Index:
     def search(self, q: np.ndarray) -> np.ndarray:
         """Slots of wanted members that link to the set ``q``."""
         n = len(q)
-        t = int(least_overlap(np.int64(n)))
+        t = max(1, int(least_overlap(np.int64(n))))  # an empty set links with nothing
         where = np.searchsorted(self.keys, q)
         where = np.minimum(where, len(self.keys) - 1) if len(self.keys) else where
         hit = where[self.keys[where] == q] if len(self.keys) else where[:0]
@@ -346,11 +362,11 @@ class Index:
         short, long = hit[order[: len(hit) - n_long]], hit[order[len(hit) - n_long :]]
         lo, span = self.at[short], self.at[short + 1] - self.at[short]
         gather = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-        count = np.bincount(self.lists[gather], minlength=len(self.members))
-        cand = np.flatnonzero((count >= t - n_long) & self.wanted & (self.size * DEN >= n * NUM) & (self.size * NUM <= n * DEN))
+        cand, have = occurrences(self.lists[gather], len(self.members))
+        on = (have >= t - n_long) & self.wanted[cand] & (self.size[cand] * DEN >= n * NUM) & (self.size[cand] * NUM <= n * DEN)
+        cand, have = cand[on], have[on]
         # binary search in the long lists; a candidate goes once it cannot reach its own T any more
         need = -(-(n + self.size[cand]) * NUM // (NUM + DEN))
-        have = count[cand]
         for k, x in enumerate(long.tolist()):
             if not len(cand):
                 break

@@ -214,3 +214,24 @@ def test_decision_list_finds_planted_rules(spark):
     got = {r["doc_id"]: r["r"] is not None for r in held.select("doc_id", qr.verdict(rules).alias("r")).collect()}
     right = sum(got[i] == bool(bad[i]) for i in got)
     assert right >= 0.93 * len(got) and len(rules) >= 2
+
+
+@pytest.mark.parametrize("members", [3, 60, 3000])
+def test_merged_lists_against_counting(members):
+    rng = np.random.default_rng(members)
+    lists = [np.sort(rng.choice(members, rng.integers(0, min(members, 40) + 1), replace=False)) for _ in range(30)]
+    for own in (lists, lists[:1], []):
+        postings = np.concatenate([np.zeros(0, np.int64), *own])
+        found, times = nj.occurrences(postings, members)
+        count = np.bincount(postings, minlength=members)
+        assert found.tolist() == np.flatnonzero(count).tolist() and times.tolist() == count[count > 0].tolist()
+
+
+def test_search_against_brute_force():
+    rng = np.random.default_rng(8)
+    base = [np.sort(rng.choice(400, 60, replace=False).astype(np.uint64)) for _ in range(40)]
+    sets = base + [np.unique(np.concatenate([s[rng.random(len(s)) > 0.1], rng.choice(400, 3).astype(np.uint64)])) for s in base for _ in range(3)]
+    index = nj.Index(sets, np.arange(len(sets)))
+    for q in sets[::7] + [np.zeros(0, np.uint64)]:
+        want = [i for i, s in enumerate(sets) if (both := len(np.intersect1d(q, s))) and 100 * both >= 75 * (len(q) + len(s) - both)]
+        assert index.search(q).tolist() == want
