@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from episodia.llm import html_extract, license_scan, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, topk_search, url_filter, warc
+from episodia.llm import collocations, html_extract, license_scan, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, topk_search, url_filter, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_quality_rules": quality_rules.query,
     "op10_segment_sampling": segment_sampling.query,
+    "op11_collocations": collocations.query,
 }
 ORACLES: dict[str, str] = {
     "op1_topk_search": topk_search.ORACLE,
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
