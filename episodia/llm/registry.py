@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from episodia.llm import collocations, html_extract, license_scan, merkle_manifest, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, topk_search, url_filter, warc
+from episodia.llm import collocations, html_extract, language_id, license_scan, merkle_manifest, ngram_join, quality_rules, segment_sampling, source_mix, suffix_dedup, topk_search, url_filter, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_segment_sampling": segment_sampling.query,
     "op11_collocations": collocations.query,
+    "op12_language_id": language_id.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 ORACLES: dict[str, str] = {
