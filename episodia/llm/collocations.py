@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from episodia.llm.perfect_hash import PerfectHash, key_hashes
@@ -41,6 +42,7 @@ CHUNK_BYTES = 8 << 20
 HELD_BYTES = 24 << 20  # texts of several languages that wait for their chunks
 SHARD_WORDS = 1 << 20
 SORTED_ROWS = 1 << 17
+PAIR = 16  # bytes of two gids
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 NONE = np.uint32(0xFFFFFFFF)  # a break, or a phrase that is not frequent
 _KIND = np.zeros(256, np.uint8)
@@ -52,13 +54,14 @@ FOUND = "chunk string, shard int, codes binary, slots binary, slot long, key bin
 
 
 def pack(values: np.ndarray) -> bytes:
-    """The bytes of an array, all lowest bytes first, so that small numbers compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """A compressed array: all lowest bytes first, then the next ones, so that small numbers and runs take little."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes))
 
 
-def unpack(data: bytes, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+def unpack(data: bytes, dtype: np.typing.DTypeLike) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -112,6 +115,7 @@ def _emit(chunk: str, lang: str | None, words: int, codes: np.ndarray, keys: pa.
     codes = place[np.minimum(codes, len(order))]
     keys, counts, shard = keys.take(pa.array(order)), counts[order], shard[order]
     sizes, raw = _bytes_of(keys)
+    width = PAIR if lang is None else 1  # pairs of gids are compressed byte by byte of their columns
     at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     cuts = np.flatnonzero(np.diff(shard)) + 1
     rows = {c.split()[0]: [] for c in LEVEL.split(", ")}
@@ -119,7 +123,7 @@ def _emit(chunk: str, lang: str | None, words: int, codes: np.ndarray, keys: pa.
         part = lo >= 0
         for name, value in (
             ("chunk", chunk), ("shard", int(shard[lo]) if part else -1), ("lang", lang), ("words", None if part else words), ("codes", None if part else pack(codes)),
-            ("first", lo if part else None), ("keys", raw[at[lo] : at[hi]].tobytes() if part else None), ("sizes", pack(sizes[lo:hi]) if part else None),
+            ("first", lo if part else None), ("keys", pack(raw[at[lo] : at[hi]].view(f"V{width}")) if part else None), ("sizes", pack(sizes[lo:hi]) if part else None),
             ("counts", pack(counts[lo:hi].astype(np.uint32)) if part else None),
         ):
             rows[name].append(value)
@@ -192,16 +196,17 @@ def _next_level(shards: int):
         keep[1:] |= keep[:-1] & (new[1:] == NONE)  # one break is enough
         left, right = gid[frequent[pairs // len(frequent)]], gid[frequent[pairs % len(frequent)]]
         raw = np.stack([left, right], 1).astype(">i8").view(np.uint8).ravel()
-        keys = _binary(np.full(len(pairs), 16), raw)
+        keys = _binary(np.full(len(pairs), PAIR), raw)
         return _table(_emit(chunks["chunk"][0].as_py(), None, int(counts.sum()), new[keep], keys, counts, shards), LEVEL)
 
     return run
 
 
-def _tally(least: int):
+def _tally(least: int, width: int):
     def run(key: tuple, blobs: pa.Table) -> pa.Table:
         """Counts of a shard by slot; the frequent ones, and where they stand in each chunk's codes."""
-        keys = pa.concat_arrays([_binary(unpack(s, np.uint32), np.frombuffer(k, np.uint8)) for s, k in zip(blobs["sizes"].to_pylist(), blobs["keys"].to_pylist())])
+        sizes = [unpack(x, np.uint32) for x in blobs["sizes"].to_pylist()]
+        keys = pa.concat_arrays([_binary(s, unpack(k, f"V{width}").view(np.uint8)) for s, k in zip(sizes, blobs["keys"].to_pylist())])
         candidates = PerfectHash(pc.unique(keys))
         slots = candidates.slots(keys)
         if (slots < 0).any():
@@ -222,8 +227,8 @@ def _tally(least: int):
                 column.append(values.get(name))
 
         at = 0
-        for chunk, first, sizes in zip(blobs["chunk"].to_pylist(), blobs["first"].to_pylist(), blobs["sizes"].to_pylist()):
-            own = slots[at : at + len(sizes) // 4]
+        for chunk, first, own_sizes in zip(blobs["chunk"].to_pylist(), blobs["first"].to_pylist(), sizes):
+            own = slots[at : at + len(own_sizes)]
             at += len(own)
             hit = np.flatnonzero(often[own])
             if len(hit):
@@ -267,7 +272,7 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
     levels: list[DataFrame] = []
     for k in range(1, longest + 1):
         blobs = level.where("shard >= 0").select("chunk", "shard", "first", "keys", "sizes", "counts")
-        found = stored(blobs.groupBy("shard").applyInArrow(_tally(least), FOUND))
+        found = stored(blobs.groupBy("shard").applyInArrow(_tally(least, 1 if k == 1 else PAIR), FOUND))
         table = found.where("slot is not null").select((F.col("shard").cast("long") * F.lit(1 << 32) + F.col("slot")).alias("gid"), "key", "f")
         if k == 1:
             rows = _word_table(table)
