@@ -108,6 +108,43 @@ def feature_problems(found: DataFrame, wanted: dict[str, str]) -> list[str]:
     return out + [f"{c} is {have[c]}, not {wanted[c]}" for c in sorted(wanted.keys() & have.keys()) if have[c] != wanted[c]]
 
 
+#: Column types that a declared dtype stands for.
+DTYPES = {"float32": "float", "float64": "double", "int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint", "uint8": "smallint", "bool": "boolean", "string": "string"}
+PICTURES = ("image", "video")
+
+
+def feature_report(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """``feature, problem, rows``: how a table differs from a feature set (``feature, dtype, shape``, one row a column).
+
+    Missing and extra columns and other types are seen in the schema (``rows`` is
+    null); values of another shape are counted in one pass over the table.  A
+    shape ``[1]`` is a plain value or an array of one; a null value has no shape.
+    """
+    have = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    wanted = {r["feature"]: (r["dtype"], list(r["shape"])) for r in features.collect()}
+    found = [(c, "missing", None) for c in sorted(wanted.keys() - have.keys())] + [(c, "extra", None) for c in sorted(have.keys() - wanted.keys())]
+    counts = []
+    for name in sorted(wanted.keys() & have.keys()):
+        dtype, shape = wanted[name]
+        column, depth, kind = F.col(f"`{name}`"), 0, have[name]
+        while kind.startswith("array<"):
+            depth, kind = depth + 1, kind[6:-1]
+        if dtype not in PICTURES and kind != DTYPES.get(dtype, dtype):
+            found.append((name, f"is {kind}, not {dtype}", None))
+        elif depth != len(shape) and not (depth == 0 and shape == [1]) and dtype not in PICTURES:
+            found.append((name, f"has {depth} dimensions, not {len(shape)}", None))
+        elif depth:
+            sound, at = F.size(column) == shape[0], column
+            for level, n in enumerate(shape[1:]):
+                at = F.flatten(at) if level else at
+                sound = sound & F.forall(F.transform(at, F.size), lambda k: k == F.lit(n))  # noqa: B023  (used at once)
+            counts.append(F.struct(F.lit(name).alias("feature"), F.lit(f"is not of shape {shape}").alias("problem"), F.count_if(column.isNotNull() & ~sound).alias("rows")))
+    out = rows.sparkSession.createDataFrame(found, "feature string, problem string, rows long")
+    if counts:
+        out = out.unionByName(rows.agg(F.array(*counts).alias("_all")).select(F.inline("_all")).where("rows > 0"))
+    return out
+
+
 def buffer_problems(episodes: DataFrame, first: int = 0) -> DataFrame:
     """``episode_index, problems`` of episodes (``frames``, ``task``, ``indices``): each must have frames, a task, and frame numbers from ``first`` on."""
     checks = {

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from episodia.plans import batches, evaluation, keys, memories, metadata, pose, stats, trajectory, transforms, vectors
+from episodia.plans import batches, evaluation, files, keys, memories, metadata, pose, stats, trajectory, transforms, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (trajectory, stats, vectors, keys, evaluation, metadata, pose, transforms, batches, memories):
+for _part in (trajectory, stats, vectors, keys, evaluation, metadata, pose, transforms, batches, memories, files):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
