@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodia.operators import memory, trajectories as tr
+from episodia.operators import cursors, memory, trajectories as tr
 from episodia.plans.common import FRAMES, LENGTHS, Registry, frames, lengths
 from episodia.session import table
 from episodia.sources import tables
@@ -148,11 +148,20 @@ def e05(spark, sf):
     return tr.complete_windows(lengths(spark, sf))
 
 
-@add("e06_next_valid_windows")
+@add("e06_next_valid_windows", f"""WITH {FRAMES}, i AS (SELECT episode_index, frame_index, frame_index - row_number() OVER (PARTITION BY episode_index ORDER BY frame_index) AS island FROM frames WHERE value > 1.0),
+l AS (SELECT episode_index, min(frame_index) AS first, count(*) AS n FROM i GROUP BY episode_index, island) SELECT episode_index, first + 8 * unnest(range(0, n // 8)) AS start FROM l""")
 def e06(spark, sf):
     return tr.next_valid_windows(frames(spark, sf).withColumn("ok", F.col("value") > 1.0), 8, "ok")
 
 
+@add("e06_greedy_cursor", f"""WITH RECURSIVE {FRAMES}, m AS (SELECT episode_index, frame_index FROM frames WHERE event_id % 3 <> 1),
+w AS (SELECT episode_index, min(frame_index) AS start FROM m GROUP BY 1 UNION ALL SELECT w.episode_index, (SELECT min(m.frame_index) FROM m WHERE m.episode_index = w.episode_index AND m.frame_index >= w.start + 5) FROM w WHERE w.start IS NOT NULL)
+SELECT episode_index, start FROM w WHERE start IS NOT NULL""")
+def e06_greedy(spark, sf):
+    """Windows of five steps from marked frames only, in blocks of 16 steps."""
+    return cursors.greedy_windows(frames(spark, sf), 5, F.col("event_id") % 3 != 1, block=16)
+
+
 @add("e07_strided_queries", f"WITH {LENGTHS} SELECT episode_index, unnest(range(0, length - 32, 4)) AS start FROM lengths WHERE length >= 33")
 def e07(spark, sf):
     return tr.strided_queries(lengths(spark, sf))
