@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from episodia.operators import statistics as st
+from episodia.operators import gram, selection, statistics as st
 from episodia.plans.common import BANK, FRAMES, LENGTHS, Registry, bank, frames, lengths
 from episodia.session import table
+from episodia.sources.scratch import folder
+from episodia.streaming import statistics as live
 
 add = Registry()
 r6 = lambda c: F.round(c, 6)
@@ -154,4 +156,50 @@ for _mode, _sql in MODES.items():
     add(f"h16_normalise_{_mode.replace('/', '_')}", f"WITH {NORMALISER} SELECT event_id, round(greatest(least({_sql}, 5.0), -5.0), 5) AS normalised, true AS round_trip FROM events JOIN s USING (event_type)")(_normalised(_mode))
 
 
+@add("d04_selected_stats", f"WITH {NORMALISER} SELECT event_type, round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std, round(q01, 6) AS q01, round(q99, 6) AS q99 FROM s")
+def d04_selected(spark, sf):
+    return rounded(selection.normaliser_stats(table(spark, sf, "events"), "value", "user_id", "event_type"), "event_type")
+
+
+@add("d06_selected_quantiles", """SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.0), 6) AS q0, round(quantile_cont(l_extendedprice, 0.01), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.99), 6) AS q99, round(quantile_cont(l_extendedprice, 1.0), 6) AS q100 FROM lineitem GROUP BY 1""")
+def d06_selected(spark, sf):
+    """Quantiles of three large groups, none of which is held whole."""
+    got = selection.quantiles(table(spark, sf, "lineitem"), F.col("l_extendedprice"), [0.0, 0.01, 0.5, 0.99, 1.0], "l_returnflag")
+    return got.select("l_returnflag", "n", *(r6(F.col("values")[i]).alias(c) for i, c in enumerate(("q0", "q1", "q50", "q99", "q100"))))
+
+
+@add("d19_covariances", """WITH d AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings) SELECT label, i::INT AS i, j::INT AS j, round(covar_samp(v[i + 1], v[j + 1]), 9) AS cov FROM d, range(64) a(i), range(64) b(j) GROUP BY 1, 2, 3""")
+def d19_covariances(spark, sf):
+    """All pairs of all dimensions, by task."""
+    return gram.covariances(gram.moments(table(spark, sf, "embeddings"), "embedding", "label"), "label").withColumn("cov", F.round("cov", 9))
+
+
+@add("d19_effective_ranks")
+def d19_ranks(spark, sf):
+    """By task; the spectrum of a matrix is beyond SQL, the tests hold it against NumPy."""
+    return gram.effective_ranks(gram.moments(table(spark, sf, "embeddings"), "embedding", "label"), "label")
+
+
+@add("d20_losses_of_all_dimensions", """WITH d AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), p AS (SELECT i, j, covar_samp(v[i + 1], v[j + 1]) AS c, var_pop(v[i + 1]) AS w FROM d, range(64) a(i), range(64) b(j) GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN i <> j THEN c * c ELSE 0 END) / 64, 9) AS covariance_loss, round(avg(CASE WHEN i = j THEN greatest(1 - sqrt(w + 1e-4), 0) END), 9) AS variance_loss FROM p""")
+def d20_all(spark, sf):
+    states = gram.moments(table(spark, sf, "embeddings"), "embedding")
+    cov = gram.covariances(states, "n")
+    pop = F.col("cov") * (F.col("n") - 1) / F.col("n")
+    apart = F.sum(F.when(F.col("i") != F.col("j"), F.col("cov") ** 2).otherwise(0.0)) / 64
+    return cov.agg(F.round(apart, 9).alias("covariance_loss"), F.round(F.avg(F.when(F.col("i") == F.col("j"), F.greatest(1 - F.sqrt(pop + 1e-4), F.lit(0.0)))), 9).alias("variance_loss"))
+
+
+@add("d28_streamed_stats", "SELECT user_id, round(min(value), 9) AS min, round(max(value), 9) AS max, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, count(value)::DOUBLE AS count FROM events GROUP BY 1")
+def d28_streamed(spark, sf):
+    """Statistics of half the events are stored; a stream brings the others."""
+    e = table(spark, sf, "events")
+    numbers = lambda d: d.withColumn("count", F.col("count").cast("double"))
+    base = numbers(st.group_stats(e.where("event_id % 2 = 0"), "value", "user_id"))
+    path = folder(spark)
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/event*.parquet").where("event_id % 2 = 1")
+    live.maintain(stream, "value", "user_id", base, path, f"{path}/state").awaitTermination()
+    return rounded(live.current(spark, path, base), "user_id", digits=9)
+
+
 QUERIES, ORACLES = add.queries, add.oracles
