@@ -10,6 +10,7 @@ from episodia.session import table
 from episodia.sources import metadata_source as ms
 from episodia.sources.committed import Shards
 from episodia.sources.scratch import folder
+from episodia.sources.strings import strings_of
 
 add = Registry()
 
@@ -103,6 +104,32 @@ def b04(spark, sf):
     return md.feature_report(rows, ms.read_metadata(spark, root, "info").select("feature", "dtype", "shape"))
 
 
+@add("a07_strings_of_any_format", """WITH n AS (SELECT n_name, n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT 'json' AS format, unnest(['region', 'nations', r_name] || list(n_name)) AS text FROM n GROUP BY r_name
+UNION ALL SELECT 'jsonl', unnest(['name', 'part', 'tags', s_name, 'a', 'b', s_suppkey::VARCHAR]) FROM supplier
+UNION ALL SELECT 'csv', unnest(['id', 'status', 'note', o_orderkey::VARCHAR, o_orderstatus, 'x, "y"']) FROM orders
+UNION ALL SELECT 'parquet', unnest([c_name, 'inner', 'more', c_mktsegment, 'z']) FROM customer
+UNION ALL SELECT 'text', p_name FROM part WHERE trim(p_name) <> ''
+UNION ALL SELECT 'yaml', unnest(['event_' || event_type, 'list', event_type, 'tail']) FROM (SELECT DISTINCT event_type FROM events))
+SELECT format, text, count(*) AS n FROM s GROUP BY ALL""")
+def a07(spark, sf):
+    """Strings and keys, nested ones too, of files of six formats."""
+    root, t = folder(spark), lambda name: table(spark, sf, name)
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region")).agg(F.collect_list("n_name").alias("nations"))
+    nations.repartition(8, "region").selectExpr("to_json(named_struct('region', region, 'nations', nations)) AS value").write.option("maxRecordsPerFile", 1).text(f"{root}/json")
+    t("supplier").select(F.col("s_name").alias("name"), F.struct(F.array(F.lit("a"), F.lit("b"), F.col("s_suppkey").cast("string")).alias("tags"), F.lit(1.5).alias("_n")).alias("part")).selectExpr("to_json(named_struct('name', name, 'part', named_struct('tags', part.tags))) AS value").write.text(f"{root}/jsonl")
+    t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit('x, "y"').alias("note")).write.option("header", "true").option("escape", '"').csv(f"{root}/csv")
+    t("customer").select("c_name", "c_custkey", F.struct(F.struct(F.array("c_mktsegment", F.lit("z")).alias("more")).alias("inner")).alias("nested")).write.parquet(f"{root}/parquet")
+    t("part").select("p_name").write.text(f"{root}/text")
+    line = F.format_string("event_%s:\n  list: [%s, 3, {tail: null}]", "event_type", "event_type")
+    t("events").select("event_type").distinct().select(line.alias("value")).write.text(f"{root}/yaml")
+    out = None
+    for format in ("json", "jsonl", "csv", "parquet", "text", "yaml"):
+        one = strings_of(spark, f"{root}/{format}", format).select(F.lit(format).alias("format"), "text")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("format", "text").agg(F.count("*").alias("n"))
+
+
 @add("a16_committed_shards", "SELECT event_id, value, event_id % 3 AS batch, true AS fits FROM events")
 def a16(spark, sf):
     """Three batches in shards of at most 100 rows; one is tried twice before it is committed, one comes again."""
