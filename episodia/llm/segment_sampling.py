@@ -39,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from episodia.llm import textkernel as tk
@@ -512,7 +513,28 @@ def sample_batch(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> dict[st
     return out
 
 
-def _encoded(docs: DataFrame, key: str, text: str, fields: str, one) -> DataFrame:
+def _numbered_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``copy``, how many rows right before a row are equal to it, and a seed that depends on it.
+
+    A row at the start of a part has number 1 (but in the first part), since its
+    copy may be the last row of the part before: the two differ anyway.
+    """
+    before, count = None, 0
+    start = int(TaskContext.get().partitionId() > 0)
+    for b in batches:
+        numbers = np.zeros(b.num_rows, np.int32)
+        for i, own in enumerate(zip(b.column("seed").to_pylist(), b.column("same").to_pylist())):
+            count = count + 1 if own == before else 0
+            if before is None:
+                count = start
+            numbers[i], before = count, own
+        seeds = b.column("seed").to_numpy().view(np.uint64)
+        apart = np.where(numbers > 0, tk.mix(seeds + numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), seeds)
+        b = b.set_column(b.schema.get_field_index("seed"), "seed", pa.array(apart.view(np.int64)))
+        yield b.append_column("copy", pa.array(numbers))
+
+
+def _encoded(docs: DataFrame, key: str, text: str, fields: str, one, copies: bool = False) -> DataFrame:
     """The key (as ``key`` if it has the name of a result) and the columns that ``one(batch)`` gives with the rows they belong to."""
     results = T._parse_datatype_string(fields).fields
     name = "key" if key in [f.name for f in results] else key
@@ -520,15 +542,22 @@ def _encoded(docs: DataFrame, key: str, text: str, fields: str, one) -> DataFram
     shape = T.StructType([T.StructField(name, kind), *results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.slices(batches, "text", SLICE_BYTES):
+        for b in tk.slices(_numbered_copies(batches) if copies else batches, "text", SLICE_BYTES):
             row, cols = one(b)
+            if copies:
+                cols.append(b.column("copy").take(pa.array(row, pa.int64())))
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row, pa.int64())), *cols], shape.names)
 
-    return docs.select(named(key).alias("key"), named(text).alias("text"), F.xxhash64(F.lit(41), named(key)).alias("seed")).mapInArrow(run, shape)
+    same = [F.xxhash64(named(text)).alias("same")] if copies else []
+    return docs.select(named(key).alias("key"), named(text).alias("text"), F.xxhash64(F.lit(41), named(key)).alias("seed"), *same).mapInArrow(run, shape)
 
 
-def encode_samples(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """``key`` and up to ``k`` sampled segmentations of each row; with ``ids`` also the token ids."""
+def encode_samples(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id", text: str = "text", ids: bool = False, copies: bool = False) -> DataFrame:
+    """``key`` and up to ``k`` sampled segmentations of each row; with ``ids`` also the token ids.
+
+    With ``copies``, equal rows that follow each other are copies of one document:
+    each has its number in ``copy`` and samples of its own.
+    """
 
     def one(b: pa.RecordBatch) -> tuple[list, list]:
         r = sample_batch(model(path), b.column("text"), b.column("seed").to_numpy().view(np.uint64), k)
@@ -536,7 +565,7 @@ def encode_samples(docs: DataFrame, path: str, k: int = SAMPLES, key: str = "doc
         cols += [pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in r["ids"]], pa.string()), pa.array(r["round_trip"], pa.bool_())]
         return r["row"], cols + ([pa.array([x.astype(np.int32) for x in r["ids"]], pa.list_(pa.int32()))] if ids else [])
 
-    return _encoded(docs, key, text, SCHEMA + (", ids array<int>" if ids else ""), one)
+    return _encoded(docs, key, text, SCHEMA + (", ids array<int>" if ids else "") + (", copy int" if copies else ""), one, copies)
 
 
 def encode_best(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
