@@ -41,8 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every row."""
-    return segment_sampling.encode_samples(docs, segment_sampling.default_model())
+    """Token ids of sampled segmentations of every row; a document that the mix takes twice has different ones in its copies."""
+    return segment_sampling.encode_samples(docs, segment_sampling.default_model(), ids=True, copies=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
