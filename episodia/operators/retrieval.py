@@ -1,9 +1,10 @@
 """Exact vector retrieval with leave-one-episode-out filters, and vector diagnostics.
 
-Candidates meet queries in an equi-join on the task, so a task's pairs are all
-that is compared; the top-k window is limited before its shuffle.  Statistics
-over the pairs of all tasks meet in blocks: a pair of blocks is a matrix product,
-and only each query's best rows or sums leave it.
+Queries meet rows in blocks: a pair of blocks is a matrix product, and only each
+query's best rows or sums leave it.  Where only rows of the query's task count,
+blocks are dealt within the tasks and meet in an equi-join on the task, so that
+no block is sent to another task's; otherwise every query block meets every
+block.
 """
 
 from __future__ import annotations
@@ -33,21 +34,6 @@ def l2_normalise(a: Column, eps: float = 1e-12) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(eps)))
 
 
-def candidates(queries: DataFrame, bank: DataFrame, same_task: bool = True) -> DataFrame:
-    """Pairs of a query and a bank row of another episode, of the same task or of other tasks."""
-    q = queries.select(F.col("id").alias("q_id"), F.col("task").alias("q_task"), F.col("episode").alias("q_episode"), F.col("unit").alias("q_unit"))
-    b = bank.select("id", "task", "episode", "unit")
-    same = q["q_task"] == b["task"]
-    return q.join(b, (same if same_task else ~same) & (q["q_episode"] != b["episode"]))
-
-
-def top_k(pairs: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The ``k`` best of each query by score, ties by insertion id."""
-    scored = pairs.withColumn("score", F.round(dot(F.col("q_unit"), F.col("unit")), digits))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def softmax_mean(top: DataFrame, value: str, temperature: float) -> DataFrame:
     """Softmax-weighted mean of the retrieved values, per query and dimension."""
     w = Window.partitionBy("q_id")
@@ -81,12 +67,13 @@ def progression(points: DataFrame) -> DataFrame:
     return moved.groupBy("episode").agg(F.max("n").alias("n"), F.avg(F.abs("_m")).alias("mean_abs"), F.avg((F.col("_m") > 0).cast("double")).alias("positive"), F.avg((F.col("_m") >= 0.01).cast("double")).alias("clear"))
 
 
-def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """Rows with a unit vector in one row a block (``_b``), and the number of blocks."""
+def _blocks(rows: DataFrame, block: int, by_task: bool = False) -> DataFrame:
+    """Rows with a unit vector in one row a block: ``_t`` (its task, or 0), its number ``_b`` among the ``_n`` of the task (or the table)."""
     rows = stored(rows.select(F.col("id").cast("long").alias("id"), F.col("task").cast("long").alias("task"), F.col("episode").cast("long").alias("episode"), "unit"))
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id", "task", "episode", F.monotonically_increasing_id()), F.lit(n))
-    return stored(rows.groupBy(own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows"))), n
+    rows = rows.withColumn("_t", F.col("task") if by_task else F.lit(0).cast("long"))
+    counts = rows.groupBy("_t").agg(F.ceil(F.count("*") / block).alias("_n"))  # one row a task
+    own = F.pmod(F.xxhash64("id", "task", "episode", F.monotonically_increasing_id()), "_n")
+    return stored(rows.join(counts, "_t").groupBy("_t", "_n", own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows")))
 
 
 def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,14 +97,17 @@ def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, bl
                         scores[(q_task[at][:, None] == task) != same_task] = -np.inf
                     yield pa.RecordBatch.from_pydict(per_strip(q_id[at], q_task[at], id_, task, scores))
 
-    (asked, _), (held, n) = _blocks(queries, block), _blocks(bank, block)
-    # a stated query set meets all rows, block by block: each query block is sent to every block of the bank
-    sent = asked.select(F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_b"))
-    return sent.join(held, "_b").select("q_rows", "rows").mapInArrow(run, schema)
+    by_task = same_task is True
+    held = _blocks(bank, block, by_task)
+    asked = held if queries is bank else _blocks(queries, block, by_task)
+    # a stated query set meets all rows (of its task), block by block: each query block is sent to every block there is
+    there = held.groupBy("_t").agg(F.max("_n").alias("_m"))
+    sent = asked.join(there, "_t").select("_t", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_b"))
+    return sent.join(held, ["_t", "_b"]).select("q_rows", "rows").mapInArrow(run, schema)
 
 
 def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK, same_task: bool | None = None) -> DataFrame:
-    """The ``k`` best of each query over all tasks, its own (``same_task``) or the others, as ``top_k`` ranks them."""
+    """The ``k`` best of each query over all tasks, its own (``same_task``) or the others; ties by id."""
 
     def best(q_id, q_task, id_, task, scores):
         order = np.argsort(id_, kind="stable")

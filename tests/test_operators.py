@@ -55,7 +55,7 @@ def test_merge_equals_whole(spark):
 def test_zero_vector_stays_zero_and_ties_go_to_insertion(spark):
     b = spark.createDataFrame([(0, 0, 0, [1.0, 0.0]), (1, 0, 1, [2.0, 0.0]), (2, 0, 2, [3.0, 0.0]), (3, 0, 3, [0.0, 0.0])], "id long, task int, episode long, vector array<double>").withColumn("unit", rt.l2_normalise(F.col("vector")))
     assert b.where("id = 3").first()["unit"] == [0.0, 0.0]
-    top = rt.top_k(rt.candidates(b.where("id = 0"), b), 2)
+    top = rt.block_top_k(b.where("id = 0"), b, 2, same_task=True)
     assert [r["id"] for r in top.orderBy("rank").collect()] == [1, 2]
 
 
@@ -176,3 +176,22 @@ def test_whole_table_vector_statistics(spark, sf):
     b = bank(spark, sf)
     whole, parts = (sorted((r["q_id"], r["rank"], r["id"]) for r in rt.block_top_k(b, b, 5, block).collect()) for block in (4096, 100))
     assert whole == parts
+
+
+def test_blocks_meet_within_their_task(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int([0, 0, 0, 1, 2][rng.integers(5)]), int(rng.integers(40)), rng.choice([-1.0, 1.0], 4).tolist()) for i in range(300)]
+    shape = "id long, task int, episode long, unit array<double>"
+    b = spark.createDataFrame(rows, shape)
+    no_task = spark.createDataFrame([(900 + i, None, i, [1.0] * 4) for i in range(3)], shape)
+    for same in (True, False, None):
+        want = []
+        for i, t, e, u in rows[::3]:
+            found = sorted((-float(np.dot(u, v)), k) for k, x, f, v in rows if e != f and (same is None or (x == t) is same))
+            want += [(i, rank, k, -s) for rank, (s, k) in enumerate(found[:5], 1)]
+        bank = b.union(no_task) if same else b
+        got = [(r["q_id"], r["rank"], r["id"], r["score"]) for r in rt.block_top_k(bank.where("id % 3 = 0"), bank, 5, block=32, same_task=same).collect()]
+        assert sorted(got) == sorted(want), same
+    tasks = lambda q, qt, i, t, s: {"asked": [len(set(qt))], "held": [len(set(t))], "same": [int(qt[0] == t[0])]}
+    pairs = rt.block_scores(b, b, tasks, "asked long, held long, same long", block=32, same_task=True).collect()
+    assert {tuple(r) for r in pairs} == {(1, 1, 1)} and len(pairs) > 20
