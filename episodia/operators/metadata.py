@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from episodia.functions.text import normalise_text
+from episodia.operators.keys import numbered
 
 
 def require_version(found: str, wanted: str) -> str:
@@ -171,10 +172,56 @@ def stats_problems(stats: DataFrame) -> DataFrame:
 
 
 def order_violations(rows: DataFrame, *keys: str, group: str | None = None, by: str = "place") -> DataFrame:
-    """Rows (in the order of ``by``) whose key is less than that of the row before."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(by)
-    key = F.struct(*keys)
-    return rows.withColumn("_before", F.lag(key).over(w)).where(F.col("_before") > key).drop("_before")
+    """Rows (in the order of ``by``, of the whole table or of each ``group``) whose key is less than that of the row before.
+
+    Without a group the table is numbered by ranges and each row meets the one
+    before by its number, so no task orders all rows.
+    """
+    if group:
+        key = F.struct(*keys)
+        return rows.withColumn("_before", F.lag(key).over(Window.partitionBy(group).orderBy(by))).where(F.col("_before") > key).drop("_before")
+    placed = numbered(rows, "_at", F.asc(by))
+    before = placed.select((F.col("_at") + 1).alias("_next"), F.struct(*keys).alias("_before"))
+    return placed.join(before, F.col("_at") == F.col("_next")).where(F.col("_before") > F.struct(*keys)).select(*rows.columns)
+
+
+def validation_report(rows: DataFrame, id_: str, checks: dict[str, Column]) -> DataFrame:
+    """One row: how many rows and ids there are, how many rows break each check (``bad_<name>``; null breaks it), and the ``status``.
+
+    ``passed`` needs at least one row, no repeated id and no broken check.  Ids
+    are counted one row an id, so a hot one is added up before it is shuffled.
+    """
+    bad = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"bad_{name}") for name, ok in checks.items()]
+    per = rows.groupBy(id_).agg(F.count("*").alias("_n"), *bad)
+    sums = [F.coalesce(F.sum(f"bad_{name}"), F.lit(0)).alias(f"bad_{name}") for name in checks]
+    one = per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("ids"), *sums)
+    sound = (F.col("rows") > 0) & (F.col("rows") == F.col("ids"))
+    for name in checks:
+        sound = sound & (F.col(f"bad_{name}") == 0)
+    return one.withColumn("status", F.when(sound, "passed").otherwise("failed"))
+
+
+def write_progress(progress: DataFrame, path: str) -> None:
+    """``part, total, next_offset`` as JSON, one folder a part."""
+    progress.select("part", F.to_json(F.struct("total", "next_offset")).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+
+
+def remaining(rows: DataFrame, path: str, part: str = "part", place: str = "place") -> DataFrame:
+    """The rows of each part from its next offset on; all rows of a part without a progress file.
+
+    A total that is not the part's number of rows, or an offset outside of it,
+    fails the job.
+    """
+    spark = rows.sparkSession
+    read = spark.read.option("basePath", path).schema("value string, part string").text(path)
+    known = read.select(F.col("part").alias("_p"), F.from_json("value", "total long, next_offset long").alias("_s")).select("_p", "_s.*")
+    counts = rows.groupBy(part).agg(F.count("*").alias("_rows"))  # one row a part
+    checked = counts.join(known, F.col(part).cast("string") == F.col("_p"), "left")
+    wrong = F.col("_p").isNotNull() & ((F.col("total") != F.col("_rows")) | (F.col("next_offset") < 0) | (F.col("next_offset") > F.col("_rows")) | F.col("total").isNull() | F.col("next_offset").isNull())
+    message = F.concat(F.lit("progress of part "), F.col("_p"), F.lit(" does not fit its rows"))
+    offset = F.when(wrong, F.raise_error(message).cast("long")).otherwise(F.coalesce("next_offset", F.lit(0)))
+    left = checked.select(F.col(part).alias("_part"), offset.alias("_from"))
+    return rows.join(left, F.col(part).eqNullSafe(F.col("_part"))).where(F.col(place) >= F.col("_from")).drop("_part", "_from")
 
 
 def canonical_from_path(paths: DataFrame, names: DataFrame) -> DataFrame:

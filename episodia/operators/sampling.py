@@ -36,6 +36,14 @@ def epoch_order(rows: DataFrame, id_: str, seed: int, epoch: int) -> DataFrame:
     return rows.withColumn("epoch_key", key).repartitionByRange("epoch_key", id_).sortWithinPartitions("epoch_key", id_)
 
 
+def resumed_epoch(rows: DataFrame, id_: str, seed: int, epoch: int, batches: int, batch: int, processes: int = 1) -> DataFrame:
+    """The rows of an epoch that are left after ``batches`` batches of every process, with their ``place`` (from 0) in the permutation; only the first epoch resumes."""
+    done = batches * batch * processes if epoch == 0 else 0
+    keyed = rows.withColumn("epoch_key", shuffled(F.col(id_), seed + epoch))
+    placed = numbered(keyed, "place", F.asc("epoch_key"), F.asc(id_)).withColumn("place", F.col("place") - 1)
+    return placed.where(F.col("place") >= done)
+
+
 def equal_ranges(rows: DataFrame, index: str, total: int, world: int) -> DataFrame:
     """Contiguous ranges of ceil(n / world) rows."""
     return rows.withColumn("rank", F.floor(F.col(index) / F.lit(-(-total // world))))

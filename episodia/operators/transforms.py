@@ -123,6 +123,22 @@ def convert_pose(df: DataFrame, pose: str, source: str, target: str, rest: int =
     return df.withColumn(pose, F.array(*x[:3], *r, *x[3 + w :])).select(*names)
 
 
+def noisy_pose(df: DataFrame, pose: str, key: str, representation: str, position_noise: float, angle_noise: float, seed: int = 0) -> DataFrame:
+    """``df`` with normal noise on positions and on rotations, whose axis-angle vector takes it; the other components stay.
+
+    Noise is a function of (seed, ``key``): reruns agree.
+    """
+    names, rest = df.columns, 0
+    df, a = staged(df, "na", ro.normal_quartet(F.col(key), seed))
+    df, b = staged(df, "nb", ro.normal_quartet(F.col(key), seed + 1))
+    width = 3 + WIDTHS[representation]
+    df = df.withColumn("_tail", F.slice(pose, F.lit(width + 1), F.size(pose))).withColumn(pose, F.slice(pose, 1, width))
+    df = convert_pose(df, pose, representation, "axis_angle", rest)
+    moved = [F.get(pose, k) + a[k] * position_noise for k in range(3)] + [F.get(pose, 3 + k) + b[k] * angle_noise for k in range(3)]
+    df = convert_pose(df.withColumn(pose, F.array(*moved)), pose, "axis_angle", representation, rest)
+    return df.withColumn(pose, F.concat(pose, "_tail")).select(*names)
+
+
 def random_rotations(df: DataFrame, key: str, name: str, seed: int = 0) -> DataFrame:
     """``df`` with a uniformly distributed rotation (a quaternion) for each key; reruns agree."""
     names = [c for c in df.columns if c != name]

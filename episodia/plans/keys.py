@@ -155,6 +155,12 @@ def g12(spark, sf):
     return sm.epoch_order(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 11, 2)
 
 
+@add("g12_resumed_epoch", f"WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY {MD5.format('vec_id', 11)}, vec_id) - 1 AS place FROM embeddings) SELECT * FROM r WHERE place >= 96")
+def g12_resumed(spark, sf):
+    """The first epoch goes on after three batches of sixteen on two processes."""
+    return sm.resumed_epoch(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 11, 0, 3, 16, 2).select("vec_id", "place")
+
+
 @add("g13_text_conflicts", "SELECT lower(trim(regexp_replace(l_linestatus, '\\s+', ' ', 'g'))) AS norm, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS first, max(l_returnflag) AS last FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
 def g13(spark, sf):
     return ky.conflicts(table(spark, sf, "lineitem").select(tx.normalise_text(F.col("l_linestatus")).alias("norm"), "l_returnflag"), "norm", "l_returnflag")

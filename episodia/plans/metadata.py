@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from episodia.functions import halves, text as tx
 from episodia.operators import metadata as md, retrieval as rt
 from episodia.plans.common import BANK, FRAMES, LENGTHS, Registry, bank, frames, lengths
 from episodia.session import table
+from episodia.sources.scratch import folder
 
 add = Registry()
 TASKS = "t AS (SELECT event_type AS task, row_number() OVER (ORDER BY event_type) - 1 AS task_index FROM (SELECT DISTINCT event_type FROM events))"
@@ -212,4 +213,39 @@ def k08(spark, sf):
     return report.withColumn("valid", (F.col("bad_shapes") == 0) & (F.col("bad_labels") == 0) & (F.col("rows") == F.col("ids")))
 
 
+@add("a26_resumed_parts", """WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT vec_id, label, place FROM r WHERE label % 3 = 0 OR place >= n // (1 + label % 3)""")
+def a26_resumed(spark, sf):
+    """Every task is a part; some have written how far they came, the others start again."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label")
+    v = v.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1)
+    path = folder(spark)
+    n = v.groupBy("label").agg(F.count("*").alias("total")).where("label % 3 <> 0")
+    md.write_progress(n.select(F.col("label").alias("part"), "total", F.floor(F.col("total") / (1 + F.col("label") % 3)).alias("next_offset")), path)
+    return md.remaining(v, path, "label")
+
+
+@add("f10_order_of_the_table", "WITH l AS (SELECT event_id, user_id, lag(user_id) OVER (ORDER BY event_id) AS before FROM events) SELECT event_id FROM l WHERE before > user_id")
+def f10_whole(spark, sf):
+    """One order of all rows, by ranges."""
+    return md.order_violations(table(spark, sf, "events").select("event_id", "user_id"), "user_id", by="event_id").select("event_id")
+
+
+@add("h33_half_bits", """WITH d AS (SELECT vec_id, unnest(range(64)) AS dim, unnest(embedding)::FLOAT::DOUBLE AS x FROM embeddings),
+e AS (SELECT *, floor(log2(abs(x))) AS e0 FROM d WHERE x <> 0), f AS (SELECT *, CASE WHEN abs(x) / pow(2, e0) >= 2 THEN e0 + 1 WHEN abs(x) / pow(2, e0) < 1 THEN e0 - 1 ELSE e0 END AS e1 FROM e),
+k AS (SELECT *, round_even((abs(x) / pow(2, e1) - 1) * 128, 0) AS k0 FROM f), n AS (SELECT *, CASE WHEN k0 = 128 THEN e1 + 1 ELSE e1 END AS ex, CASE WHEN k0 = 128 THEN 0 ELSE k0 END AS k1 FROM k)
+SELECT vec_id, dim, (CASE WHEN x < 0 THEN 32768 ELSE 0 END + (ex + 127) * 128 + k1)::INTEGER AS bits, sign(x) * (1 + k1 / 128) * pow(2, ex) AS value FROM n""")
+def h33_bits(spark, sf):
+    """The bits of all dimensions, and the numbers they stand for."""
+    d = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<float>")).alias("dim", "x")).where("x <> 0")
+    d = d.select("vec_id", F.col("dim").cast("long").alias("dim"), halves.upper_half_bits("x").alias("bits"))
+    return d.withColumn("value", halves.upper_half_float("bits").cast("double"))
+
+
+@add("k08_report_of_checks", """SELECT count(*) AS rows, count(DISTINCT l_orderkey * 10 + l_linenumber) AS ids, count(*) FILTER (WHERE l_quantity <= 0) AS bad_quantity, count(*) FILTER (WHERE NOT l_discount < 0.1) AS bad_discount, count(*) FILTER (WHERE NOT l_tax < 0.08) AS bad_tax, 'failed' AS status FROM lineitem""")
+def k08_checks(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return md.validation_report(rows, "line", {"quantity": F.col("l_quantity") > 0, "discount": F.col("l_discount") < 0.1, "tax": F.col("l_tax") < 0.08})
+
+
 QUERIES, ORACLES = add.queries, add.oracles

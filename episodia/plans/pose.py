@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from episodia.functions import rotations as ro
 from episodia.operators import transforms as tf
@@ -145,4 +145,52 @@ def h30_back(spark, sf):
     return v.select("vec_id", F.transform("embedding", lambda x: F.round(x, 5) + 0.0).alias("pose"))
 
 
+@add("h28_distance_of_rotation", """WITH a AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:9]] AS m FROM embeddings),
+g AS (SELECT vec_id, m, m[1]*m[1]+m[4]*m[4]+m[7]*m[7] AS a, m[2]*m[2]+m[5]*m[5]+m[8]*m[8] AS b, m[3]*m[3]+m[6]*m[6]+m[9]*m[9] AS c,
+m[1]*m[2]+m[4]*m[5]+m[7]*m[8] AS d, m[1]*m[3]+m[4]*m[6]+m[7]*m[9] AS e, m[2]*m[3]+m[5]*m[6]+m[8]*m[9] AS f, m[1]*(m[5]*m[9]-m[6]*m[8]) - m[2]*(m[4]*m[9]-m[6]*m[7]) + m[3]*(m[4]*m[8]-m[5]*m[7]) AS det FROM a),
+q AS (SELECT *, (a + b + c) / 3 AS q FROM g), p AS (SELECT *, sqrt(((a-q)*(a-q) + (b-q)*(b-q) + (c-q)*(c-q) + 2*(d*d + e*e + f*f)) / 6) AS p FROM q),
+r AS (SELECT *, greatest(-1, least(1, ((a-q)*((b-q)*(c-q) - f*f) - d*(d*(c-q) - f*e) + e*(d*f - (b-q)*e)) / (2 * p*p*p))) AS r FROM p),
+l AS (SELECT *, q + 2*p*cos(acos(r)/3) AS l1, q + 2*p*cos(acos(r)/3 + 2*pi()/3) AS l3 FROM r)
+SELECT vec_id, true AS orthogonal, 1.0::DOUBLE AS determinant, round(3*q + 3 - 2 * (sqrt(greatest(l1, 0)) + sqrt(greatest(3*q - l1 - l3, 0)) + sign(det) * sqrt(greatest(l3, 0))), 6) AS distance FROM l""")
+def h28_distance(spark, sf):
+    """The result is a rotation, and no rotation is nearer: the least distance follows from the singular values."""
+    v, e = parts(spark, sf)
+    v = v.select("vec_id", *(x.alias(f"e{k}") for k, x in enumerate(e[:9])))
+    v = v.withColumn("m", ro.project_to_rotation(F.array(*(F.col(f"e{k}") for k in range(9)))))
+    m = [F.get("m", k) for k in range(9)]
+    rows = [m[3 * i : 3 * i + 3] for i in range(3)]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    straight = F.lit(True)
+    for i in range(3):
+        for j in range(3):
+            straight = straight & (F.abs(dot(rows[i], rows[j]) - float(i == j)) < 1e-9)
+    a, b, c = rows
+    det = a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    apart = sum(((F.col(f"e{k}") - m[k]) ** 2 for k in range(9)), F.lit(0.0))
+    return v.select("vec_id", straight.alias("orthogonal"), F.round(det, 6).alias("determinant"), F.round(apart, 6).alias("distance"))
+
+
+@add("e18_pose_relative_to_last", f"""WITH p AS (SELECT vec_id, vec_id // 5 AS episode, [x::DOUBLE FOR x IN embedding[1:3]] AS t, [x::DOUBLE / sqrt(list_dot_product(embedding[4:7]::DOUBLE[], embedding[4:7]::DOUBLE[])) FOR x IN embedding[4:7]] AS q FROM embeddings),
+l AS (SELECT *, last_value(t) OVER w AS lt, last_value(q) OVER w AS lq FROM p WINDOW w AS (PARTITION BY episode ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+d AS (SELECT vec_id, lq[1] AS w, -lq[2] AS x, -lq[3] AS y, -lq[4] AS z, 2.0::DOUBLE AS s, t[1] - lt[1] AS a, t[2] - lt[2] AS b, t[3] - lt[3] AS c, q FROM l),
+m AS (SELECT *, {MATRIX} AS m, [w*q[1] - x*q[2] - y*q[3] - z*q[4], w*q[2] + x*q[1] + y*q[4] - z*q[3], w*q[3] - x*q[4] + y*q[1] + z*q[2], w*q[4] + x*q[3] - y*q[2] + z*q[1]] AS r FROM d)
+SELECT vec_id, [round(v, 6) + 0.0 FOR v IN [m[1]*a + m[2]*b + m[3]*c, m[4]*a + m[5]*b + m[6]*c, m[7]*a + m[8]*b + m[9]*c]] AS position, [round(CASE WHEN r[1] < 0 THEN -v ELSE v END, 6) + 0.0 FOR v IN r] AS rotation FROM m""")
+def e18_pose(spark, sf):
+    """Every pose of an episode in the frame of its last one."""
+    v, e = parts(spark, sf)
+    v = v.select("vec_id", F.floor(F.col("vec_id") / 5).alias("episode"), F.array(*e[:3], *unit(e[3:7])).alias("pose"))
+    last = F.last("pose").over(Window.partitionBy("episode").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    v = v.withColumn("base", last)
+    own, base = ([F.get(c, k) for k in range(7)] for c in ("pose", "base"))
+    position, rotation = ro.relative_pose((base[:3], base[3:]), (own[:3], own[3:]))
+    return v.select("vec_id", six(position).alias("position"), six(rotation).alias("rotation"))
+
+
+@add("h30_pose_without_noise", "SELECT vec_id, [round(x::DOUBLE, 5) + 0.0 FOR x IN embedding[1:3]] || [round(x::DOUBLE, 5) + 0.0 FOR x IN embedding[4:6]] || [round(embedding[7]::DOUBLE, 5) + 0.0] AS pose FROM embeddings")
+def h30_noise(spark, sf):
+    """Noise of no width changes nothing; the tests look at the spread of other widths."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 7).alias("pose"))
+    return tf.noisy_pose(v, "pose", "vec_id", "axis_angle", 0.0, 0.0).select("vec_id", F.transform("pose", lambda x: F.round(x, 5) + 0.0).alias("pose"))
+
+
 QUERIES, ORACLES = add.queries, add.oracles
