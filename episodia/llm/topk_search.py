@@ -38,9 +38,9 @@ Defined cases: vectors that are null or hold null or non-finite components take
 no part; zero vectors do; ties go to the smaller id; a query with fewer than k
 other rows gets all of them; vectors of different lengths are never compared;
 rows with a null id are candidates for nobody and ask nothing; repeated (id,
-vector) rows count once; an empty table gives an empty result; where a score
-might not fit into 64 bits the job fails with ``ArithmeticError``.  Only the
-columns ``id`` and ``vector`` are read.
+vector) rows count once; an empty table gives an empty result; components beyond
+64 bits are the greatest or least integer, and so are scores.  Only the columns
+``id`` and ``vector`` are read.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ QUERY_BLOCK = 1024
 BLOCK_BYTES = 1 << 21  # of a block's vectors at eight bytes a component
 PIVOT_SAMPLE = 4096
 LEAF = 64
-NONE = -(1 << 62)  # below every score
+NONE = -(1 << 63)  # below every score
+MOST = (1 << 63) - 1  # greatest score; scores beyond 64 bits count as MOST or -MOST
 EXACT = 1 << 53
 
 
@@ -171,7 +172,7 @@ class Best:
         who = np.concatenate([np.repeat(np.arange(n), k), np.repeat(q, times)])
         s = np.concatenate([self.score[rows].ravel(), np.repeat(scores[q, e], times)])
         i = np.concatenate([self.id[rows].ravel(), np.concatenate(ids)[at]])
-        order = np.lexsort((i, -s, who))
+        order = np.lexsort((i, ~s, who))  # ~s cannot overflow
         who = who[order]
         top = order[np.arange(len(who)) - np.searchsorted(who, who) < k].reshape(n, k)
         self.score[rows], self.id[rows] = s[top], i[top]
@@ -182,9 +183,14 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = int(np.abs(a, dtype=np.float64).max(initial=0)) * int(np.abs(b, dtype=np.float64).max(initial=0)) * a.shape[1]
     if most < EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    exact = a.astype(np.int64) @ b.astype(np.int64).T  # modulo 2**64
     if most >= 1 << 62:
-        raise ArithmeticError("scores may not fit into 64 bits")
-    return a.astype(np.int64) @ b.astype(np.int64).T
+        # the sum is right wherever the score fits into 64 bits; where that is not sure it is taken again without a limit
+        near = a.astype(np.float64) @ b.astype(np.float64).T
+        size = np.abs(a.astype(np.float64)) @ np.abs(b.astype(np.float64)).T
+        for i, j in zip(*np.nonzero(np.abs(near) + 1e-9 * size >= float(1 << 62))):
+            exact[i, j] = min(max(sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist())), -MOST), MOST)
+    return exact
 
 
 def dual_search(queries: np.ndarray, q_tree: CoverTree, data: np.ndarray, d_tree: CoverTree, ids: list[np.ndarray], best: Best, floor: int) -> None:
@@ -199,7 +205,8 @@ def dual_search(queries: np.ndarray, q_tree: CoverTree, data: np.ndarray, d_tree
 
     def bounds(q: int, r: np.ndarray) -> np.ndarray:
         up = d_centres[r] @ q_centres[q] + q_norms[q] * d_tree.radius[r] + d_norms[r] * q_tree.radius[q] + q_tree.radius[q] * d_tree.radius[r]
-        return up + 1e-6 * np.abs(up) + 1e-6
+        # room for rounding, of the sum and of its terms
+        return up + 1e-6 * np.abs(up) + 1e-12 * (q_norms[q] + q_tree.radius[q]) * (d_norms[r] + d_tree.radius[r]) + 1e-6
 
     heap: list[tuple] = [(-float(bounds(0, np.array([0]))[0]), 0, 0)]
     while heap:
@@ -344,7 +351,7 @@ def _bound(q: str, q_radius: str, r: str, r_radius: str) -> Column:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     up = dot(r, q) + norm(q) * F.col(r_radius) + norm(r) * F.col(q_radius) + F.col(q_radius) * F.col(r_radius)
-    return up + F.abs(up) * 1e-6 + 1e-6
+    return up + F.abs(up) * 1e-6 + (norm(q) + F.col(q_radius)) * (norm(r) + F.col(r_radius)) * 1e-12 + 1e-6
 
 
 def search(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
