@@ -39,6 +39,7 @@ WIDTHS, FILTERS, WIDTH = (2, 3, 4), 24, 8  # filter widths, filters of each, len
 SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 128, 4e-3, 20240229
 AT_ONCE = 256  # windows of a batch of predictions
+HELD = 8192  # windows that are cut at a time
 LETTER = np.zeros(256, np.float32)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -47,15 +48,25 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def windows_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of the texts (lower-cased, the last ones filled with 0), and the text of each."""
+def window_places(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of all windows of the texts, and the text of each."""
     count = -(-(end - begin) // WINDOW)
     text = np.repeat(np.arange(len(begin)), count)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
     start = begin[text] + (np.arange(len(text)) - first[text]) * WINDOW
+    return start, np.minimum(start + WINDOW, end[text]), text
+
+
+def cut(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Windows, lower-cased and filled with 0."""
     at = start[:, None] + np.arange(WINDOW)
-    inside = at < end[text][:, None]
-    return np.where(inside, LOWER[raw[np.minimum(at, max(len(raw) - 1, 0))]], 0).astype(np.uint8), text
+    return np.where(at < stop[:, None], LOWER[raw[np.minimum(at, max(len(raw) - 1, 0))]], 0).astype(np.uint8)
+
+
+def windows_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts, and the text of each."""
+    start, stop, text = window_places(begin, end)
+    return cut(raw, start, stop), text
 
 
 class Network:
@@ -158,9 +169,10 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, begin, end = buffers(batch.column("text"))
         lang, order = batch.column("lang").to_pylist(), batch.column("order").to_pylist()
         for k in range(batch.num_rows):
-            wins, _ = windows_of(raw, begin[k : k + 1], end[k : k + 1])
-            if len(wins):
-                chosen = wins[np.unique(np.linspace(0, len(wins) - 1, SAMPLE_WINDOWS).round().astype(int))]
+            start, stop, _ = window_places(begin[k : k + 1], end[k : k + 1])
+            if len(start):
+                own = np.unique(np.linspace(0, len(start) - 1, SAMPLE_WINDOWS).round().astype(int))
+                chosen = cut(raw, start[own], stop[own])
                 yield pa.RecordBatch.from_pydict({"lang": [lang[k]], "order": [order[k]], "windows": pa.array([chosen.tobytes()], pa.binary())})
 
 
@@ -205,11 +217,13 @@ def predict(docs: DataFrame, languages: list[str], network: Network | None) -> D
                 own = np.flatnonzero(asked)
                 sums = np.zeros((len(own), len(languages)))
                 weight = np.zeros(len(own))
-                wins, text = windows_of(raw, begin[own], end[own])
-                prob = network.probabilities(wins, tables)
-                letters = LETTER[wins].sum(1)
-                np.add.at(sums, text, prob * letters[:, None])
-                np.add.at(weight, text, letters)
+                start, stop, text = window_places(begin[own], end[own])
+                for i in range(0, len(start), HELD):  # so many at a time, however long a text is
+                    part = slice(i, i + HELD)
+                    wins = cut(raw, start[part], stop[part])
+                    letters = LETTER[wins].sum(1)
+                    np.add.at(sums, text[part], network.probabilities(wins, tables) * letters[:, None])
+                    np.add.at(weight, text[part], letters)
                 mean = sums / weight[:, None]
                 pred[own], score[own] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("a0"), pa.array(known[pred], pa.string()), pa.array(score, pa.float64())], ["row", "a0", "lang_pred", "score"])

@@ -87,9 +87,10 @@ def test_held_out_rows_are_not_learned_from(spark, learned):
 
 
 def test_edges(spark, learned):
-    _, languages, network = learned
+    known, languages, network = learned
+    german = known.where(li.held_out() & F.col("lang").eqNullSafe("de") & (F.length("text") > 300)).orderBy("doc_id").first()["text"]
     long = "the of and that with this from " * 60_000
-    rows = [(1, None, "a"), (2, "", "b"), (3, "123 --- 4\n", None), (4, long, "c"), (4, long, "c"), (None, "und der die das nicht", None)]
+    rows = [(1, None, "a"), (2, "", "b"), (3, "123 --- 4\n", None), (4, long, "c"), (4, long, "c"), (None, german, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("mine"), "score": F.lit("x"), "row": F.lit(1), "a1": F.lit(2)})
     got = li.predict(docs, languages, network)
     assert got.columns == ["doc_id", "text", "lang", "row", "a1", "lang_pred", "score"]
