@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.operators import metadata as md, retrieval as rt
 from episodia.plans.common import BANK, FRAMES, Registry, bank, frames
+from episodia.operators.transforms import signature_digest
 from episodia.session import table
-from episodia.sources import metadata_source as ms
+from episodia.sources import metadata_source as ms, stats_cache
 from episodia.sources.committed import Shards
 from episodia.sources.scratch import folder
 from episodia.sources.strings import strings_of
@@ -160,4 +161,25 @@ def a24(spark, sf):
     return trace.read(spark, ranked.schema).select("q_id", "ids", "scores")
 
 
+@add("h19_stats_of_a_revision", """WITH d AS (SELECT label, i, min(embedding[i]::FLOAT) AS lo, max(embedding[i]::FLOAT) AS hi FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),
+s AS (SELECT label, list(lo ORDER BY i) AS low, list(hi ORDER BY i) AS high FROM d GROUP BY 1)
+SELECT label, CASE WHEN label % 2 = 0 THEN 'r3' ELSE 'r2' END AS found, label % 2 = 0 AS exact, [x::DOUBLE FOR x IN low] AS low, [x::DOUBLE FOR x IN high] AS high FROM s""")
+def h19(spark, sf):
+    """Revision r3 has statistics of half the tasks; for the others those of r2 stand in."""
+    d = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    per = d.groupBy("label", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).groupBy("label")
+    own = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda s: s[c].cast("double"))
+    stats = per.agg(F.create_map(F.lit("min"), own("lo"), F.lit("max"), own("hi")).alias("statistics"))
+    stats = stats.withColumn("signature", signature_digest(F.col("label"), F.lit("minmax").alias("mode")))
+    path = folder(spark)
+    blank = F.map_from_arrays(F.array(F.lit("min")), F.array(F.array(F.lit(0.0))))
+    stats_cache.keep(stats.select("signature", F.lit("r1").alias("revision"), blank.alias("statistics")), path)
+    stats_cache.keep(stats.select("signature", F.lit("r2").alias("revision"), "statistics"), path)
+    stats_cache.keep(stats.where("label % 2 = 0").select("signature", F.lit("r3").alias("revision"), "statistics"), path)
+    names = stats.select("label", F.col("signature").alias("_s"))
+    found = stats_cache.find(spark, path, stats.select("signature", F.lit("r3").alias("revision")))
+    doubles = lambda c: F.col("statistics")[c].cast("array<double>")
+    return found.join(names, F.col("signature") == F.col("_s")).select("label", "found", "exact", doubles("min").alias("low"), doubles("max").alias("high"))
+
+
 QUERIES, ORACLES = add.queries, add.oracles

@@ -68,3 +68,20 @@ def test_axis_angles_near_their_limits(spark):
     back = v.withColumn("q", F.array(*q)).select("v", "q", F.array(*ro.quaternion_to_axis_angle([F.get("q", k) for k in range(4)])).alias("b")).collect()
     for r in back:
         assert np.allclose(r["b"], r["v"], atol=1e-12) and abs(np.dot(r["q"], r["q"]) - 1) < 1e-12
+
+
+def test_statistics_of_another_revision(spark, tmp_path):
+    from episodia.sources import stats_cache
+
+    path = f"{tmp_path}/s"
+    row = lambda s, r, v: (s, r, {"mean": [v, 0.1], "n": []})
+    frame = lambda rows: spark.createDataFrame(rows, "signature string, revision string, statistics map<string,array<double>>")
+    stats_cache.keep(frame([row("a", "r1", 1.0), row("a", "r2", 2.0), row("b", "r1", 3.0)]), path)
+    stats_cache.keep(frame([row("b", "r1", 4.0)]), path)  # replaces one, leaves the others
+    wanted = spark.createDataFrame([("a", "r1"), ("a", "r9"), ("b", "r9"), ("c", "r1")], "signature string, revision string")
+    got = {(r["signature"], r["revision"]): (r["found"], r["exact"], r["statistics"]) for r in stats_cache.find(spark, path, wanted).collect()}
+    tenth = float(np.float32(0.1))
+    assert got == {
+        ("a", "r1"): ("r1", True, {"mean": [1.0, tenth], "n": []}), ("a", "r9"): ("r2", False, {"mean": [2.0, tenth], "n": []}),
+        ("b", "r9"): ("r1", False, {"mean": [4.0, tenth], "n": []}), ("c", "r1"): (None, False, None),
+    }
