@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from episodia.functions import rotations as ro
+from episodia.functions.text import fixed
 from episodia.operators.statistics import coefficients
 
 WIDTHS = {"quaternion": 4, "matrix": 9, "axis_angle": 3, "rotation_6d": 6, "euler": 3}
@@ -196,6 +197,12 @@ def image_stride(height: Column, width: Column, target: int = 150, threshold: in
     return F.when(side < threshold, F.lit(1)).otherwise(F.floor(side / target)).cast("long")
 
 
+def sampled_cells(picture: Column, stride: Column) -> Column:
+    """Every ``stride``-th row and column of a picture (an array of rows), from the first on."""
+    every = lambda a: F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.size(a).cast("long") - 1, F.lit(0)), stride), lambda i: F.get(a, i.cast("int")))
+    return F.when(F.size(picture) > 0, F.transform(every(picture), every))
+
+
 def _blur(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """A separable convolution over the last two axes with zeros outside."""
     pad = len(kernel) // 2
@@ -236,6 +243,46 @@ def task_summary(results: DataFrame, suites: list[str]) -> DataFrame:
     return sums.withColumn("rate", F.col("successes") / F.col("trials"))
 
 
+RESULT = "total_episodes long, successes long, duration double, task_description string, future_video_psnr_mean double"
+
+
+def result_files(spark: SparkSession, path: str, suites: list[str]) -> DataFrame:
+    """``suite, place, task_id, file`` and the numbers of every result file ``<suite>/gpuG_taskT_..._results.json`` of the given suites; other files are left out."""
+    name = r"([^/]+)/([^/]*=)?(gpu[^/_]*_task([0-9]+)(_[^/]*)?_results\.json)(/|$)"
+    at = F.col("_metadata.file_path")
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(at.alias("path"), F.from_json("value", RESULT).alias("r"))
+    part = lambda k: F.regexp_extract("path", name, k)
+    suite = F.regexp_replace(part(1), "^[^=]*=", "")
+    place = F.array_position(F.array(*map(F.lit, suites)), suite)
+    return rows.where(F.regexp_like("path", F.lit(name))).select(suite.alias("suite"), place.alias("place"), part(4).cast("long").alias("task_id"), part(3).alias("file"), "r.*").where("place > 0")
+
+
+def suite_statistics(results: DataFrame) -> DataFrame:
+    """Sums of each suite over all its files, and the mean of the picture similarities that there are."""
+    return results.groupBy("suite", "place").agg(
+        F.count("*").alias("total_tasks"), F.sum("total_episodes").alias("total_trials"), F.sum("successes").alias("total_successes"),
+        F.sum("duration").alias("total_time"), F.max("duration").alias("max_time"), F.avg("future_video_psnr_mean").alias("average_psnr"),
+    )
+
+
+def task_lines(results: DataFrame) -> DataFrame:
+    """``place, task_id, line``: the printed table of the tasks' success rates, its columns right-aligned; the heading has place 0.
+
+    Of several files of a task the one of the greatest name counts.
+    """
+    last = results.groupBy("suite", "place", "task_id").agg(F.max_by(F.struct("total_episodes", "successes", "task_description", "future_video_psnr_mean"), "file").alias("r")).select("suite", "place", "task_id", "r.*")
+    cells = {
+        "Task": F.concat_ws("_", "suite", "task_id"), "Description": F.coalesce("task_description", F.lit("")),
+        "Success Rate (%)": fixed(F.col("successes") * 100.0 / F.col("total_episodes"), 2), "Future Video PSNR (dB)": fixed(F.col("future_video_psnr_mean"), 4),
+    }
+    rows = last.select("place", "task_id", *(c.alias(name) for name, c in cells.items()))
+    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("task_id"), *(F.lit(name).alias(name) for name in cells))
+    table = rows.select(F.col("place").cast("long").alias("place"), "task_id", *(f"`{name}`" for name in cells)).unionByName(head)
+    widths = table.agg(*(F.max(F.char_length(f"`{name}`")).alias(f"w{k}") for k, name in enumerate(cells)))  # one row
+    wide = table.join(F.broadcast(widths))
+    return wide.select("place", "task_id", F.concat_ws(" ", *(F.lpad(F.col(f"`{name}`"), F.col(f"w{k}"), F.lit(" ")) for k, name in enumerate(cells))).alias("line"))
+
+
 def transposed(rows: DataFrame, key: str, keys: list, measures: list[str]) -> DataFrame:
     """One row a measure, one column a key: the layout of a printed summary."""
     long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("m")).select(key, "m.*")

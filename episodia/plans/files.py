@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodia.operators import metadata as md, retrieval as rt
+from episodia.operators import metadata as md, retrieval as rt, transforms as tf
 from episodia.plans.common import BANK, FRAMES, Registry, bank, frames
 from episodia.operators.transforms import signature_digest
 from episodia.session import table
@@ -182,4 +182,47 @@ def h19(spark, sf):
     return found.join(names, F.col("signature") == F.col("_s")).select("label", "found", "exact", doubles("min").alias("low"), doubles("max").alias("high"))
 
 
+SUITES = ["MACHINERY", "BUILDING", "FURNITURE"]
+FILES = f"""f AS (SELECT c_mktsegment AS suite, list_position({SUITES}, c_mktsegment) AS place, c_nationkey::BIGINT AS task_id, c_custkey % 2 AS gpu, sum(5 + c_custkey % 3)::BIGINT AS n, sum(c_custkey % 5)::BIGINT AS s, sum(c_custkey % 7)::DOUBLE AS t,
+CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE avg(c_custkey % 11) END AS psnr FROM customer WHERE c_mktsegment IN {tuple(SUITES)} GROUP BY c_mktsegment, c_nationkey, c_custkey % 2)"""
+
+
+def result_files(spark, sf):
+    """One file a suite, device and task, beside files that are none."""
+    c = table(spark, sf, "customer").where("c_mktsegment <> 'HOUSEHOLD'")
+    per = c.groupBy("c_mktsegment", "c_nationkey", (F.col("c_custkey") % 2).alias("gpu")).agg(
+        F.sum(5 + F.col("c_custkey") % 3).alias("total_episodes"), F.sum(F.col("c_custkey") % 5).alias("successes"), F.sum(F.col("c_custkey") % 7).cast("double").alias("duration"), F.avg(F.col("c_custkey") % 11).alias("p"))
+    per = per.withColumns({"task_description": F.concat(F.lit("pick "), "c_nationkey"), "future_video_psnr_mean": F.when(F.col("c_nationkey") % 4 != 0, F.col("p"))})
+    value = F.to_json(F.struct("total_episodes", "successes", "duration", "task_description", "future_video_psnr_mean"))
+    name = F.format_string("gpu%d_task%d_results.json", "gpu", "c_nationkey")
+    path = folder(spark)
+    rows = per.select("c_mktsegment", F.explode(F.array(name, F.concat(F.lit("notes_"), name))).alias("file"), value.alias("value"))
+    rows.repartition(8, "c_mktsegment", "file").write.partitionBy("c_mktsegment", "file").text(path)
+    return tf.result_files(spark, path, SUITES)
+
+
+@add("k01_suite_statistics", f"WITH {FILES} SELECT suite, place, count(*) AS total_tasks, sum(n)::BIGINT AS total_trials, sum(s)::BIGINT AS total_successes, sum(t) AS total_time, max(t) AS max_time, round(avg(psnr), 6) AS average_psnr FROM f GROUP BY 1, 2")
+def k01_suites(spark, sf):
+    return tf.suite_statistics(result_files(spark, sf)).withColumn("place", F.col("place").cast("int")).withColumn("average_psnr", F.round("average_psnr", 6))
+
+
+@add("k01_printed_tasks", f"""WITH {FILES}, o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY suite, task_id ORDER BY gpu DESC) = 1),
+t AS (SELECT place::BIGINT AS place, task_id, suite || '_' || task_id AS a, 'pick ' || task_id AS b, printf('%.2f', s * 100.0 / n) AS c, coalesce(printf('%.4f', psnr), 'N/A') AS d FROM o UNION ALL SELECT 0, 0, 'Task', 'Description', 'Success Rate (%)', 'Future Video PSNR (dB)'),
+w AS (SELECT max(len(a))::INT AS wa, max(len(b))::INT AS wb, max(len(c))::INT AS wc, max(len(d))::INT AS wd FROM t)
+SELECT place, task_id, lpad(a, wa, ' ') || ' ' || lpad(b, wb, ' ') || ' ' || lpad(c, wc, ' ') || ' ' || lpad(d, wd, ' ') AS line FROM t, w""")
+def k01_lines(spark, sf):
+    return tf.task_lines(result_files(spark, sf))
+
+
+@add("d08_sampled_cells", """WITH s AS (SELECT vec_id, embedding, 8 + vec_id * 37 % 24 AS h, 8 + vec_id * 53 % 24 AS w FROM embeddings), k AS (SELECT *, CASE WHEN greatest(h, w) < 16 THEN 1 ELSE greatest(h, w) // 8 END AS stride FROM s)
+SELECT vec_id, stride, [[embedding[((i * w + j) % 64 + 1)::INT]::DOUBLE FOR j IN range(0, w, stride)] FOR i IN range(0, h, stride)] AS cells FROM k""")
+def d08(spark, sf):
+    """Pictures of several sizes, made of the vectors' components, read at every second or third row and column."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (8 + F.col("vec_id") * 37 % 24).alias("h"), (8 + F.col("vec_id") * 53 % 24).alias("w"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    picture = F.transform(upto("h"), lambda i: F.transform(upto("w"), lambda j: F.get("e", ((i * F.col("w") + j) % 64).cast("int"))))
+    v = v.withColumns({"picture": picture, "stride": tf.image_stride(F.col("h"), F.col("w"), 8, 16)})
+    return v.select("vec_id", "stride", tf.sampled_cells(F.col("picture"), F.col("stride")).alias("cells"))
+
+
 QUERIES, ORACLES = add.queries, add.oracles

@@ -85,3 +85,27 @@ def test_statistics_of_another_revision(spark, tmp_path):
         ("a", "r1"): ("r1", True, {"mean": [1.0, tenth], "n": []}), ("a", "r9"): ("r2", False, {"mean": [2.0, tenth], "n": []}),
         ("b", "r9"): ("r1", False, {"mean": [4.0, tenth], "n": []}), ("c", "r1"): (None, False, None),
     }
+
+
+def test_result_files_of_a_task_tie_by_name(spark, tmp_path):
+    import json
+
+    for suite, name, n in (("b", "gpu0_task3_results.json", 1), ("b", "gpu1_task3_results.json", 2), ("b", "gpu0_task12_retry_results.json", 5), ("a", "gpu0_task0_results.json", 4), ("x", "gpu0_task0_results.json", 9), ("a", "task1_results.json", 9)):
+        (tmp_path / suite).mkdir(exist_ok=True)
+        more = {"future_video_psnr_mean": 20.00005} if suite == "a" else {}
+        (tmp_path / suite / name).write_text(json.dumps({"total_episodes": 8, "successes": n, "duration": 1.5 * n, "task_description": "put it"} | more, indent=2))
+    files = tf.result_files(spark, f"file://{tmp_path}", ["a", "b"])
+    assert sorted((r["suite"], r["task_id"], r["successes"]) for r in files.collect()) == [("a", 0, 4), ("b", 3, 1), ("b", 3, 2), ("b", 12, 5)]
+    sums = {r["suite"]: (r["total_tasks"], r["total_successes"], r["total_time"], r["average_psnr"]) for r in tf.suite_statistics(files).collect()}
+    assert sums == {"a": (1, 4, 6.0, 20.00005), "b": (3, 8, 12.0, None)}
+    lines = [r["line"] for r in tf.task_lines(files).orderBy("place", "task_id").collect()]
+    assert lines == [
+        "Task Description Success Rate (%) Future Video PSNR (dB)", f" a_0      put it            50.00                {20.00005:.4f}",
+        " b_3      put it            25.00                    N/A", "b_12      put it            62.50                    N/A",
+    ]
+
+
+def test_sampled_cells(spark):
+    picture = F.array(*(F.array(*(F.lit(10 * i + j) for j in range(5))) for i in range(4)))
+    one = spark.range(1).select(tf.sampled_cells(picture, F.lit(2).cast("long")).alias("a"), tf.sampled_cells(picture, F.lit(9).cast("long")).alias("b"), tf.sampled_cells(F.array().cast("array<array<int>>"), F.lit(1).cast("long")).alias("c")).first()
+    assert one["a"] == [[0, 2, 4], [20, 22, 24]] and one["b"] == [[0]] and one["c"] is None
