@@ -119,6 +119,10 @@ def i01(spark, sf):
     return memory.merge_memory(effects(spark, sf, 20), threshold=THRESHOLD)
 
 
+#: The query of ``plans.vectors``: five observations an episode, the operator's own threshold.
+add.oracles["i01_merge_memory"] = f"WITH {folded_sql(effects_sql(5), 256, 0.85)} SELECT s.episode, r.place AS step, s.slot, s.merged, len(s.entries)::BIGINT AS size FROM s JOIN r USING (episode, n) WHERE r.kind = 'effect'"
+
+
 @add("i02_merged_and_evicted", f"WITH {folded_sql(effects_sql(50), 4, THRESHOLD)} SELECT s.episode, r.place AS step, s.slot, s.merged, len(s.entries)::BIGINT AS size FROM s JOIN r USING (episode, n) WHERE r.kind = 'effect'")
 def i02(spark, sf):
     """Observations join entries, and the least used entry makes room."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from episodia.operators import memory, retrieval as rt, sampling
-from episodia.plans.common import BANK, Registry, bank, lengths
+from episodia.plans.common import BANK, LENGTHS, Registry, bank, lengths
 from episodia.session import table
 
 add = Registry()
@@ -128,7 +128,10 @@ def i03(spark, sf):
     return memory.scope_violations(rows).select("step", "bad_attempt", "bad_task")
 
 
-@add("f11_longest_first")
+@add("f11_longest_first", f"""WITH RECURSIVE {LENGTHS}, l AS (SELECT episode_index AS id, length AS load, row_number() OVER (ORDER BY length DESC, episode_index) AS n FROM lengths),
+s(n, id, load, rank, held) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, [0::BIGINT FOR x IN range(8)]
+UNION ALL SELECT l.n, l.id, l.load, list_position(held, list_min(held)) - 1, list_transform(held, lambda x, i: CASE WHEN i = list_position(held, list_min(held)) THEN x + l.load ELSE x END) FROM s JOIN l ON l.n = s.n + 1)
+SELECT id, load, rank FROM s WHERE n > 0""")
 def f11(spark, sf):
     return sampling.longest_first(lengths(spark, sf).select(F.col("episode_index").alias("id"), F.col("length").alias("load")), 8)
 
