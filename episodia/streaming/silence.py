@@ -48,7 +48,7 @@ def closed(requests: DataFrame, limit_seconds: int, end: str | None = None) -> D
     by_reset = F.col("_next").isNotNull() & (F.col("_next") <= F.col("_silent"))
     out = lives.withColumns({"closed": F.when(by_reset, F.col("_next")).otherwise(F.col("_silent")), "why": F.when(by_reset, "reset").otherwise("silence")})
     if end is not None:
-        out = out.where(by_reset | (F.col("_silent") < F.lit(end).cast("timestamp")))
+        out = out.where(by_reset | (F.col("_silent") < F.lit(end).cast(requests.schema["ts"].dataType)))
     groups = F.floor(F.col("acts") / GROUP)
     return out.select("session", "opened", "closed", "why", "acts", groups.alias("groups"), (F.col("acts") - groups * GROUP).alias("discarded"), "rejected")
 
