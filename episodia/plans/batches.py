@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from episodia.operators import memory, metadata as md, retrieval as rt, sampling as sm, trajectories as tr
-from episodia.plans.common import BANK, FRAMES, Registry, bank, frames
+from episodia.plans.common import BANK, FRAMES, Registry, bank, frames, signed_round
 from episodia.session import table
 from episodia.sources import scratch, tables
 from episodia.streaming import lifecycle
@@ -64,7 +64,7 @@ def f08(spark, sf):
     """Entries that never merge (no cosine reaches the threshold): the state is then all earlier rows."""
     b = bank(spark, sf)
     rows = b.select("episode", F.col("id").alias("step"), F.lit(0).alias("attempt"), F.slice("vector", 1, 32).alias("phase"), F.slice("vector", 33, 32).alias("effect"))
-    return memory.recall_memory(rows, 3, threshold=2.0).withColumn("score", F.round("score", 6))
+    return memory.recall_memory(rows, 3, threshold=2.0).withColumn("score", signed_round("score", 6))
 
 
 G08 = f"""WITH o AS (SELECT vec_id, label, vec_id // 5 AS e, row_number() OVER (PARTITION BY label, vec_id // 5 ORDER BY {MD5.format('vec_id', 11)}, vec_id) AS turn FROM embeddings),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from episodia.operators import retrieval, trajectories as tr
 from episodia.session import table
@@ -29,6 +29,13 @@ class Registry:
         return add
 
 
+def signed_round(x: Column | str, digits: int) -> Column:
+    """``round`` as in SQL, where what rounds to zero from below keeps its sign; Spark's makes it 0.0."""
+    x = F.col(x) if isinstance(x, str) else x
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value", (F.col("user_id") % 10).alias("task"))
     return tr.index_frames(rows, "user_id", "ts", "event_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from episodia.functions.text import fixed
 from episodia.operators.validation import differences
-from episodia.plans.common import FRAMES, Registry, frames
+from episodia.plans.common import FRAMES, Registry, frames, signed_round
 from episodia.session import table
 from episodia.streaming import lifecycle
 
@@ -24,17 +24,17 @@ def suites(spark, sf):
 
 @add("d15_suite_rollup", f"WITH {TASKS} SELECT suite, tasks, trials, successes, round(seconds, 4) AS seconds, round(slowest, 4) AS slowest FROM s")
 def d15(spark, sf):
-    return suites(spark, sf).withColumns({c: F.round(c, 4) for c in ("seconds", "slowest")})
+    return suites(spark, sf).withColumns({c: signed_round(c, 4) for c in ("seconds", "slowest")})
 
 
 @add("d16_macro_overall", f"WITH {TASKS} SELECT round(avg(100.0 * successes / trials), 6) AS macro_rate, round(sum(seconds) / sum(tasks), 6) AS seconds_per_task, round(max(slowest), 4) AS slowest FROM s")
 def d16(spark, sf):
-    return suites(spark, sf).agg(F.round(F.avg(100.0 * F.col("successes") / F.col("trials")), 6).alias("macro_rate"), F.round(F.sum("seconds") / F.sum("tasks"), 6).alias("seconds_per_task"), F.round(F.max("slowest"), 4).alias("slowest"))
+    return suites(spark, sf).agg(signed_round(F.avg(100.0 * F.col("successes") / F.col("trials")), 6).alias("macro_rate"), signed_round(F.sum("seconds") / F.sum("tasks"), 6).alias("seconds_per_task"), signed_round(F.max("slowest"), 4).alias("slowest"))
 
 
 @add("d17_null_skipping_mean", "SELECT event_type, round(avg(CASE WHEN value > 10 THEN value END), 6) AS mean FROM events GROUP BY 1")
 def d17(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg(F.when(F.col("value") > 10, F.col("value"))), 6).alias("mean"))
+    return table(spark, sf, "events").groupBy("event_type").agg(signed_round(F.avg(F.when(F.col("value") > 10, F.col("value"))), 6).alias("mean"))
 
 
 @add("f15_first_success", f"WITH {FRAMES} SELECT episode_index, min(CASE WHEN event_type = 'purchase' THEN frame_index END) AS first_success, least(coalesce(min(CASE WHEN event_type = 'purchase' THEN frame_index END) + 1, count(*)), 4) AS attempts FROM frames GROUP BY 1")
@@ -49,7 +49,7 @@ def k02(spark, sf):
     phase = F.when(F.col("event_id") % 2 == 0, "clean").otherwise("random")
     r = table(spark, sf, "events").select((F.col("user_id") % 10).cast("string").alias("task"), phase.alias("phase"), (F.col("event_type") == "purchase").cast("double").alias("ok")).groupBy("task").pivot("phase", ["clean", "random"]).avg("ok")
     whole = r.agg(F.avg("clean").alias("clean"), F.avg("random").alias("random")).select(F.lit("__overall__").alias("task"), "clean", "random")
-    return r.unionByName(whole).withColumns({c: F.round(c, 6) for c in ("clean", "random")})
+    return r.unionByName(whole).withColumns({c: signed_round(c, 6) for c in ("clean", "random")})
 
 
 @add("k03_single_results", "SELECT user_id, count(*) AS n, count(*) = 1 AS valid FROM events WHERE event_type = 'purchase' AND value > 20 GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.operators import metadata as md, retrieval as rt, transforms as tf
-from episodia.plans.common import BANK, FRAMES, Registry, bank, frames
+from episodia.plans.common import BANK, FRAMES, Registry, bank, frames, signed_round
 from episodia.operators.transforms import signature_digest
 from episodia.session import table
 from episodia.sources import metadata_source as ms, stats_cache
@@ -152,7 +152,7 @@ def a24(spark, sf):
     """Requests arrive as a stream; each one's ranked matches are a line of the trace, once."""
     b = bank(spark, sf)
     matches = rt.block_top_k(b, b, 3, same_task=True).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("m"))
-    ranked = matches.select("q_id", F.col("m.id").alias("ids"), F.transform("m.score", lambda x: F.round(x, 6)).alias("scores"))
+    ranked = matches.select("q_id", F.col("m.id").alias("ids"), F.transform("m.score", lambda x: signed_round(x, 6)).alias("scores"))
     asked = spark.readStream.schema(table(spark, sf, "embeddings").schema).parquet(f"{sf}/embedding*.parquet").select(F.col("vec_id").alias("q_id"))
     trace = Shards(folder(spark), rows=1000, format="json")
     for _ in range(2):  # started again, it goes on after what it has written
@@ -203,7 +203,7 @@ def result_files(spark, sf):
 
 @add("k01_suite_statistics", f"WITH {FILES} SELECT suite, place, count(*) AS total_tasks, sum(n)::BIGINT AS total_trials, sum(s)::BIGINT AS total_successes, sum(t) AS total_time, max(t) AS max_time, round(avg(psnr), 6) AS average_psnr FROM f GROUP BY 1, 2")
 def k01_suites(spark, sf):
-    return tf.suite_statistics(result_files(spark, sf)).withColumn("place", F.col("place").cast("int")).withColumn("average_psnr", F.round("average_psnr", 6))
+    return tf.suite_statistics(result_files(spark, sf)).withColumn("place", F.col("place").cast("int")).withColumn("average_psnr", signed_round("average_psnr", 6))
 
 
 @add("k01_printed_tasks", f"""WITH {FILES}, o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY suite, task_id ORDER BY gpu DESC) = 1),

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from episodia.functions import text as tx
 from episodia.operators import keys as ky, sampling as sm, validation as va
-from episodia.plans.common import FRAMES, LENGTHS, Registry, frames, lengths
+from episodia.plans.common import FRAMES, LENGTHS, Registry, frames, lengths, signed_round
 from episodia.session import table
 from episodia.sources import tables
 
@@ -42,7 +42,7 @@ m AS (SELECT q.id, q.t, arg_min(p.t, (abs(p.t - q.t), p.t)) AS n FROM q JOIN p U
 def c05(spark, sf):
     f = frames(spark, sf).select("event_id", "frame_index", F.col("episode_index").alias("u"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     q, p = f.where("frame_index % 3 = 1").select(F.col("event_id").alias("id"), "u", "t"), f.where("frame_index % 3 = 0").select("u", "t")
-    return ky.nearest(q, p, "u", "t", 3600.0).select("id", F.round("nearest", 6).alias("nearest"), "matched")
+    return ky.nearest(q, p, "u", "t", 3600.0).select("id", signed_round("nearest", 6).alias("nearest"), "matched")
 
 
 @add("c06_expected_frames", "SELECT event_id, CAST(round_even(value * 10, 0) AS BIGINT) AS frame FROM events")

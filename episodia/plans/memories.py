@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.operators import memory
-from episodia.plans.common import Registry
+from episodia.plans.common import Registry, signed_round
 from episodia.session import table
 from episodia.streaming import memories, silence
 
@@ -98,7 +98,7 @@ def i06(spark, sf):
     """Both memories as every query sees them, with the provenance of the entries found."""
     got = memories.replay(records(spark, sf), capacity=CAPACITY, threshold=THRESHOLD, hits=HITS, ring_size=RING).where("kind = 'query'")
     kept = [F.col(f"hits.{c}").alias(f"hit_{c}") for c in ("entry", "count", "attempt", "step")]
-    return got.select("episode", "place", "status", "attempt", "effects", "ring", "ring_steps", *kept, F.transform("hits.score", lambda x: F.round(x, 6)).alias("hit_score"))
+    return got.select("episode", "place", "status", "attempt", "effects", "ring", "ring_steps", *kept, F.transform("hits.score", lambda x: signed_round(x, 6)).alias("hit_score"))
 
 
 def effects_sql(size: int) -> str:
@@ -133,7 +133,7 @@ def i02(spark, sf):
 u AS (SELECT episode, step, unnest(found) AS x, unnest(range(1, len(found) + 1)) AS rank FROM q) SELECT episode, step, rank, x.step AS entry_step, round(-x.far, 6) AS score FROM u""")
 def f08(spark, sf):
     """What each row finds among merged entries, before it is added."""
-    return memory.recall_memory(effects(spark, sf, 50), capacity=8, threshold=THRESHOLD).withColumn("score", F.round("score", 6))
+    return memory.recall_memory(effects(spark, sf, 50), capacity=8, threshold=THRESHOLD).withColumn("score", signed_round("score", 6))
 
 
 @add("j04_closed_sessions", """WITH l AS (SELECT user_id AS session, ts, event_id AS seq, event_type = 'signup' AS reset, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM events),

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from episodia.functions import halves, text as tx
 from episodia.operators import metadata as md, retrieval as rt
-from episodia.plans.common import BANK, FRAMES, LENGTHS, Registry, bank, frames, lengths
+from episodia.plans.common import BANK, FRAMES, LENGTHS, Registry, bank, frames, lengths, signed_round
 from episodia.session import table
 from episodia.sources.scratch import folder
 
@@ -157,7 +157,7 @@ def h35(spark, sf):
 
 @add("h36_cosine_schedule", "SELECT vec_id, round(CASE WHEN vec_id < 20 THEN vec_id / 20.0 ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * least((vec_id - 20) / 180.0, 1.0))) END, 9) AS rate FROM embeddings")
 def h36(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.round(tx.cosine_schedule(F.col("vec_id"), 20, 200), 9).alias("rate"))
+    return table(spark, sf, "embeddings").select("vec_id", signed_round(tx.cosine_schedule(F.col("vec_id"), 20, 200), 9).alias("rate"))
 
 
 LIFE = f"""WITH {FRAMES}, k AS (SELECT episode_index, frame_index, event_id, CASE WHEN event_id % 11 = 0 THEN 'reset' WHEN event_id % 7 = 0 THEN 'end' WHEN event_id % 3 = 0 THEN 'query' ELSE 'effect' END AS kind FROM frames),

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from episodia.functions import rotations as ro
 from episodia.operators import transforms as tf
-from episodia.plans.common import Registry
+from episodia.plans.common import Registry, signed_round
 from episodia.session import table
 
 add = Registry()
@@ -31,7 +31,7 @@ def unit(q):
 
 @add("h20_wrapped_angles", "SELECT event_id, round(atan2(sin(value), cos(value)), 6) AS angle FROM events")
 def h20(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.round(ro.wrap_angle(F.col("value")), 6).alias("angle"))
+    return table(spark, sf, "events").select("event_id", signed_round(ro.wrap_angle(F.col("value")), 6).alias("angle"))
 
 
 @add("h23_quaternion_to_matrix", f"WITH {QUAT} SELECT vec_id, [round(m, 6) + 0.0 FOR m IN {MATRIX}] AS m FROM n")
@@ -92,7 +92,7 @@ def h27(spark, sf):
 @add("h28_nearest_rotation")
 def h28(spark, sf):
     v, e = parts(spark, sf)
-    return v.select("vec_id", F.transform(ro.project_to_rotation(F.array(*e[:9])), lambda x: F.round(x, 6)).alias("m"))
+    return v.select("vec_id", F.transform(ro.project_to_rotation(F.array(*e[:9])), lambda x: signed_round(x, 6)).alias("m"))
 
 
 @add("h31_relative_pose", f"""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE - embedding[8]::DOUBLE AS a, embedding[2]::DOUBLE - embedding[9]::DOUBLE AS b, embedding[3]::DOUBLE - embedding[10]::DOUBLE AS c, embedding[11]::DOUBLE AS w, -embedding[12]::DOUBLE AS x, -embedding[13]::DOUBLE AS y, -embedding[14]::DOUBLE AS z FROM embeddings),
@@ -167,7 +167,7 @@ def h28_distance(spark, sf):
     a, b, c = rows
     det = a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
     apart = sum(((F.col(f"e{k}") - m[k]) ** 2 for k in range(9)), F.lit(0.0))
-    return v.select("vec_id", straight.alias("orthogonal"), F.round(det, 6).alias("determinant"), F.round(apart, 6).alias("distance"))
+    return v.select("vec_id", straight.alias("orthogonal"), signed_round(det, 6).alias("determinant"), signed_round(apart, 6).alias("distance"))
 
 
 @add("e18_pose_relative_to_last", f"""WITH p AS (SELECT vec_id, vec_id // 5 AS episode, [x::DOUBLE FOR x IN embedding[1:3]] AS t, [x::DOUBLE / sqrt(list_dot_product(embedding[4:7]::DOUBLE[], embedding[4:7]::DOUBLE[])) FOR x IN embedding[4:7]] AS q FROM embeddings),

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from episodia.operators import gram, selection, statistics as st
-from episodia.plans.common import BANK, FRAMES, LENGTHS, Registry, bank, frames, lengths
+from episodia.plans.common import BANK, FRAMES, LENGTHS, Registry, bank, frames, lengths, signed_round
 from episodia.session import table
 from episodia.sources.scratch import folder
 from episodia.streaming import statistics as live
 
 add = Registry()
-r6 = lambda c: F.round(c, 6)
+r6 = lambda c: signed_round(c, 6)
 
 
 def rounded(df, *keys, digits=6):
-    return df.select(*keys, *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+    return df.select(*keys, *[signed_round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
 
 
 @add("d01_episode_stats", "SELECT user_id AS episode_index, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS count FROM events GROUP BY 1")
@@ -87,7 +87,7 @@ def d12(spark, sf):
 def d13(spark, sf):
     from episodia.operators.retrieval import adaptive_pool
 
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(adaptive_pool(F.col("embedding"), 64, 6), lambda x: F.round(x, 6)).alias("pooled"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(adaptive_pool(F.col("embedding"), 64, 6), lambda x: signed_round(x, 6)).alias("pooled"))
 
 
 @add("d19_effective_rank")
@@ -133,7 +133,7 @@ def d28(spark, sf):
 def d29(spark, sf):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = (F.max(micros) - F.min(micros)) / 1e6
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.count("*") / F.greatest(span, F.lit(1)), 9).alias("steps_per_second"), F.round((200 - F.count("*")) * span / F.count("*"), 2).alias("seconds_left"))
+    return table(spark, sf, "events").groupBy("user_id").agg(signed_round(F.count("*") / F.greatest(span, F.lit(1)), 9).alias("steps_per_second"), signed_round((200 - F.count("*")) * span / F.count("*"), 2).alias("seconds_left"))
 
 
 MODES = {"zscore": "(value - mean) / (std + 1e-8)", "minmax": "CASE WHEN max - min < 1e-4 THEN value - min ELSE (value - min) * 2 / (max - min) - 1 END", "quantile": "CASE WHEN q99 - q01 < 1e-4 THEN value - q01 ELSE (value - q01) * 2 / (q99 - q01) - 1 END", "0/50": "(value - 0) * 2 / 50 - 1"}
@@ -147,7 +147,7 @@ def _normalised(mode):
         cols = {c: F.col(c) for c in ("min", "max", "mean", "std", "q01", "q99")}
         y = st.normalise(F.col("value"), mode, cols)
         free = st.normalise(F.col("value"), mode, cols, clip=None)
-        return own.select("event_id", F.round(y, 5).alias("normalised"), (F.abs(st.denormalise(free, mode, cols) - F.col("value")) < 1e-6).alias("round_trip"))
+        return own.select("event_id", signed_round(y, 5).alias("normalised"), (F.abs(st.denormalise(free, mode, cols) - F.col("value")) < 1e-6).alias("round_trip"))
 
     return run
 
@@ -171,7 +171,7 @@ def d06_selected(spark, sf):
 @add("d19_covariances", """WITH d AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings) SELECT label, i::INT AS i, j::INT AS j, round(covar_samp(v[i + 1], v[j + 1]), 9) AS cov FROM d, range(64) a(i), range(64) b(j) GROUP BY 1, 2, 3""")
 def d19_covariances(spark, sf):
     """All pairs of all dimensions, by task."""
-    return gram.covariances(gram.moments(table(spark, sf, "embeddings"), "embedding", "label"), "label").withColumn("cov", F.round("cov", 9))
+    return gram.covariances(gram.moments(table(spark, sf, "embeddings"), "embedding", "label"), "label").withColumn("cov", signed_round("cov", 9))
 
 
 @add("d19_effective_ranks")
@@ -187,7 +187,7 @@ def d20_all(spark, sf):
     cov = gram.covariances(states, "n")
     pop = F.col("cov") * (F.col("n") - 1) / F.col("n")
     apart = F.sum(F.when(F.col("i") != F.col("j"), F.col("cov") ** 2).otherwise(0.0)) / 64
-    return cov.agg(F.round(apart, 9).alias("covariance_loss"), F.round(F.avg(F.when(F.col("i") == F.col("j"), F.greatest(1 - F.sqrt(pop + 1e-4), F.lit(0.0)))), 9).alias("variance_loss"))
+    return cov.agg(signed_round(apart, 9).alias("covariance_loss"), signed_round(F.avg(F.when(F.col("i") == F.col("j"), F.greatest(1 - F.sqrt(pop + 1e-4), F.lit(0.0)))), 9).alias("variance_loss"))
 
 
 @add("d28_streamed_stats", "SELECT user_id, round(min(value), 9) AS min, round(max(value), 9) AS max, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, count(value)::DOUBLE AS count FROM events GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodia.operators import cursors, memory, trajectories as tr
-from episodia.plans.common import FRAMES, LENGTHS, Registry, frames, lengths
+from episodia.plans.common import FRAMES, LENGTHS, Registry, frames, lengths, signed_round
 from episodia.session import table
 from episodia.sources import tables
 
@@ -16,13 +16,13 @@ add = Registry()
 SELECT episode_order, episode_index, frame_index, round(value, 6) AS value FROM frames JOIN o USING (episode_index)""")
 def a01(spark, sf):
     rows = tables.episodes(spark, f"{sf}/events.parquet", "user_id", [7, 3, 11, 5], ["user_id", "ts", "event_id", "value"], keep_order=True)
-    return tr.index_frames(rows, "user_id", "ts", "event_id").select("episode_order", "episode_index", "frame_index", F.round("value", 6).alias("value"))
+    return tr.index_frames(rows, "user_id", "ts", "event_id").select("episode_order", "episode_index", "frame_index", signed_round("value", 6).alias("value"))
 
 
 @add("a02_episodes_sorted", "SELECT user_id AS episode_index, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE user_id IN (3, 5, 7, 11) GROUP BY 1")
 def a02(spark, sf):
     rows = tables.episodes(spark, f"{sf}/events.parquet", "user_id", sorted([7, 3, 11, 5]), ["user_id", "value"])
-    return rows.groupBy(F.col("user_id").alias("episode_index")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return rows.groupBy(F.col("user_id").alias("episode_index")).agg(F.count("*").alias("n"), signed_round(F.sum("value"), 6).alias("total"))
 
 
 @add("a07_strings_in_json", """SELECT word, count(*) AS n FROM (
@@ -40,7 +40,7 @@ def a10(spark, sf):
 
 @add("a12_frames_with_timestamps", f"WITH {FRAMES} SELECT episode_index, frame_index, round(frame_index / 30.0, 6) AS timestamp FROM frames")
 def a12(spark, sf):
-    return frames(spark, sf).select("episode_index", "frame_index", F.round(F.col("frame_index") / 30.0, 6).alias("timestamp"))
+    return frames(spark, sf).select("episode_index", "frame_index", signed_round(F.col("frame_index") / 30.0, 6).alias("timestamp"))
 
 
 @add("a13_episode_paths", f"WITH {LENGTHS} SELECT episode_index, episode_index // 1000 AS chunk, format('data/chunk-{{:03d}}/episode_{{:06d}}.parquet', episode_index // 1000, episode_index) AS path FROM lengths")
@@ -140,7 +140,7 @@ w AS (SELECT f.episode_index, f.frame_index, j, least(f.frame_index + j, n.n - 1
 SELECT w.episode_index, w.frame_index, round(sum(g.value * (j + 1)), 6) AS weighted FROM w JOIN frames g ON g.episode_index = w.episode_index AND g.frame_index = w.at GROUP BY 1, 2""")
 def e04(spark, sf):
     w = tr.delta_window(frames(spark, sf), "value", [0, 1, 2, 3])
-    return w.select("episode_index", "frame_index", F.round(sum((F.get("window", j) * (j + 1) for j in range(4)), F.lit(0.0)), 6).alias("weighted"))
+    return w.select("episode_index", "frame_index", signed_round(sum((F.get("window", j) * (j + 1) for j in range(4)), F.lit(0.0)), 6).alias("weighted"))
 
 
 @add("e05_complete_windows", f"WITH {LENGTHS} SELECT episode_index, unnest(range(0, length - 32, 32)) AS start FROM lengths WHERE length >= 33")
@@ -177,14 +177,14 @@ def e08(spark, sf):
 SELECT episode_index, frame_index, round(d, 3) AS step_seconds FROM s WHERE abs(d - 3600.0) > 1800.0""")
 def e09(spark, sf):
     rows = tr.irregular_steps(frames(spark, sf), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 1 / 3600.0, 1800.0)
-    return rows.select("episode_index", "frame_index", F.round("step_seconds", 3).alias("step_seconds"))
+    return rows.select("episode_index", "frame_index", signed_round("step_seconds", 3).alias("step_seconds"))
 
 
 @add("e10_transitions", f"""WITH {FRAMES}, f AS (SELECT *, lead(value) OVER (PARTITION BY episode_index ORDER BY frame_index) AS nxt FROM frames)
 SELECT episode_index, frame_index // 4 AS transition_index, arg_min(value, frame_index) AS before, CASE WHEN max(frame_index) = max(CASE WHEN nxt IS NOT NULL THEN frame_index END) THEN arg_max(nxt, frame_index) END AS after,
        round(sum(value), 6) AS total, count(*) = 4 AND count(nxt) = 4 AS valid FROM f GROUP BY 1, 2""")
 def e10(spark, sf):
-    return tr.transitions(frames(spark, sf), "value").withColumn("total", F.round("total", 6))
+    return tr.transitions(frames(spark, sf), "value").withColumn("total", signed_round("total", 6))
 
 
 @add("e11_episode_index", f"WITH {LENGTHS} SELECT episode_index, length, CAST(sum(length) OVER (ORDER BY episode_index) - length AS BIGINT) AS from_index, CAST(sum(length) OVER (ORDER BY episode_index) AS BIGINT) AS to_index FROM lengths")
@@ -224,7 +224,7 @@ def e15(spark, sf):
 
 @add("e18_relative_to_first", f"WITH {FRAMES} SELECT episode_index, frame_index, round(value - first_value(value) OVER (PARTITION BY episode_index ORDER BY frame_index), 6) AS relative FROM frames")
 def e18(spark, sf):
-    return frames(spark, sf).select("episode_index", "frame_index", F.round(F.col("value") - F.first("value").over(tr.episode()), 6).alias("relative"))
+    return frames(spark, sf).select("episode_index", "frame_index", signed_round(F.col("value") - F.first("value").over(tr.episode()), 6).alias("relative"))
 
 
 CHUNKS = f"WITH {FRAMES}, c AS (SELECT f.episode_index, f.frame_index + j AS step, j, f.value * (1 + j) AS v FROM frames f, range(4) r(j) WHERE f.frame_index % 2 = 0)"
@@ -237,19 +237,19 @@ def chunks(spark, sf):
 
 @add("e19_temporal_ensemble", CHUNKS + " SELECT episode_index, step, round(avg(v), 6) AS value, count(*) AS n FROM c GROUP BY 1, 2")
 def e19(spark, sf):
-    return tr.temporal_ensemble(chunks(spark, sf)).withColumn("value", F.round("value", 6))
+    return tr.temporal_ensemble(chunks(spark, sf)).withColumn("value", signed_round("value", 6))
 
 
 @add("e20_replanned_actions", CHUNKS + " SELECT episode_index, step, round(v, 6) AS value FROM c WHERE j < 2")
 def e20(spark, sf):
     each = chunks(spark, sf).select("episode_index", "start", F.posexplode("chunk").alias("pos", "value")).where("pos < 2")
-    return each.select("episode_index", (F.col("start") + F.col("pos")).alias("step"), F.round("value", 6).alias("value"))
+    return each.select("episode_index", (F.col("start") + F.col("pos")).alias("step"), signed_round("value", 6).alias("value"))
 
 
 @add("e21_overlaps_agree", CHUNKS + " SELECT episode_index, step, max(v) - min(v) <= 1e-6 AS consistent, round(arg_min(v, step - j), 6) AS value FROM c GROUP BY 1, 2")
 def e21(spark, sf):
     each = chunks(spark, sf).select("episode_index", "start", F.posexplode("chunk").alias("pos", "v"))
-    return each.groupBy("episode_index", (F.col("start") + F.col("pos")).alias("step")).agg((F.max("v") - F.min("v") <= 1e-6).alias("consistent"), F.round(F.min_by("v", "start"), 6).alias("value"))
+    return each.groupBy("episode_index", (F.col("start") + F.col("pos")).alias("step")).agg((F.max("v") - F.min("v") <= 1e-6).alias("consistent"), signed_round(F.min_by("v", "start"), 6).alias("value"))
 
 
 @add("e22_subsampled_frames", f"WITH {FRAMES} SELECT episode_index, frame_index // 4 AS video_index, value FROM frames WHERE frame_index % 4 = 0")

@@ -7,7 +7,7 @@ from math import exp
 from pyspark.sql import Window, functions as F
 
 from episodia.operators import keys, memory, retrieval as rt, trajectories as tr, transforms as tf, validation
-from episodia.plans.common import BANK, FRAMES, Registry, bank, frames
+from episodia.plans.common import BANK, FRAMES, Registry, bank, frames, signed_round
 from episodia.session import table
 from episodia.sources import scratch, tables
 from episodia.streaming import lifecycle
@@ -123,7 +123,7 @@ def d08(spark, sf):
 def d18(spark, sf):
     x = F.when(F.col("event_id") % 3 != 0, F.col("value"))  # null, not a sentinel, where there is nothing
     per = table(spark, sf, "events").groupBy("user_id").agg(F.avg(x).alias("m"), F.count(x).alias("n"))
-    return per.groupBy((F.col("user_id") % 10).alias("task")).agg(F.round(F.avg("m"), 9).alias("mean"), F.sum("n").alias("held"))
+    return per.groupBy((F.col("user_id") % 10).alias("task")).agg(signed_round(F.avg("m"), 9).alias("mean"), F.sum("n").alias("held"))
 
 
 WINDOW = [exp(-((k - 5) ** 2) / 4.5) for k in range(11)]
@@ -138,19 +138,19 @@ SELECT vec_id, round(avg((2 * mx * my + 0.0001) * (2 * (xy - mx * my) + 0.0009)
 def d24(spark, sf):
     x = F.transform(F.col("embedding").cast("array<double>"), F.abs)
     v = table(spark, sf, "embeddings").select("vec_id", x.alias("x")).withColumn("y", F.transform("x", lambda v: v * 0.9 + 0.01))
-    return tf.similarity(v, "vec_id", "x", "y", 8, 8).withColumn("ssim", F.round("ssim", 6))
+    return tf.similarity(v, "vec_id", "x", "y", 8, 8).withColumn("ssim", signed_round("ssim", 6))
 
 
 @add("d26_time_sums", "SELECT user_id, round(sum(CASE WHEN event_id % 2 = 0 THEN value END), 6) AS inference, round(sum(CASE WHEN event_id % 2 <> 0 THEN value END), 6) AS simulation FROM events GROUP BY 1")
 def d26(spark, sf):
     even = F.col("event_id") % 2 == 0
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(F.when(even, F.col("value"))), 6).alias("inference"), F.round(F.sum(F.when(~even, F.col("value"))), 6).alias("simulation"))
+    return table(spark, sf, "events").groupBy("user_id").agg(signed_round(F.sum(F.when(even, F.col("value"))), 6).alias("inference"), signed_round(F.sum(F.when(~even, F.col("value"))), 6).alias("simulation"))
 
 
 @add("e18_relative_to_last", f"WITH {FRAMES} SELECT episode_index, frame_index, round(value - max_by(value, frame_index) OVER (PARTITION BY episode_index), 6) AS relative FROM frames")
 def e18_last(spark, sf):
     last = F.max_by("value", "frame_index").over(Window.partitionBy("episode_index"))
-    return frames(spark, sf).select("episode_index", "frame_index", F.round(F.col("value") - last, 6).alias("relative"))
+    return frames(spark, sf).select("episode_index", "frame_index", signed_round(F.col("value") - last, 6).alias("relative"))
 
 
 @add("i08_phase_keyed_topk", f"WITH {BANK}, p AS (SELECT q.id AS q_id, b.id, round(list_dot_product(q.unit, b.unit), 6) AS score FROM units q JOIN units b ON q.episode <> b.episode AND q.task = b.task AND q.id % 5 = b.id % 5), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM p) SELECT q_id, rank, id, score FROM k WHERE rank <= 4")
@@ -291,7 +291,7 @@ def k01(spark, sf):
 @add("a23_transposed_summary", f"WITH {RESULTS}, s AS (SELECT suite, count(*)::DOUBLE AS tasks, avg(successes / trials) AS rate FROM r GROUP BY 1), l AS (SELECT suite, unnest(['tasks', 'rate']) AS measure, unnest([tasks, rate]) AS v FROM s) SELECT measure, " + ", ".join(f"round(max(v) FILTER (WHERE suite = '{s}'), 9) AS \"{s}\"" for s in SUITES) + " FROM l GROUP BY 1")
 def a23(spark, sf):
     per = summary(spark, sf).groupBy("suite").agg(F.count("*").alias("tasks"), F.avg("rate").alias("rate"))
-    return tf.transposed(per, "suite", SUITES, ["tasks", "rate"]).select("measure", *[F.round(s, 9).alias(s) for s in SUITES])
+    return tf.transposed(per, "suite", SUITES, ["tasks", "rate"]).select("measure", *[signed_round(s, 9).alias(s) for s in SUITES])
 
 
 QUERIES, ORACLES = add.queries, add.oracles

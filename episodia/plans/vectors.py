@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from episodia.operators import memory, retrieval as rt, sampling
-from episodia.plans.common import BANK, LENGTHS, Registry, bank, lengths
+from episodia.plans.common import BANK, LENGTHS, Registry, bank, lengths, signed_round
 from episodia.session import table
 
 add = Registry()
@@ -34,7 +34,7 @@ SELECT q_id, dim, round(sum(w * x), 5) AS value FROM d GROUP BY 1, 2""")
 def f04(spark, sf):
     q, b = everyone(spark, sf)
     top = rt.block_top_k(q, b, 4, same_task=True).join(b.select("id", F.col("vector").alias("value")), "id")
-    return rt.softmax_mean(top, "value", 0.1).select("q_id", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
+    return rt.softmax_mean(top, "value", 0.1).select("q_id", F.col("dim").cast("long").alias("dim"), signed_round("value", 5).alias("value"))
 
 
 @add("f06_neighbour_accuracy", PAIRS.format("true") + " SELECT q_task AS task, round(avg(CASE WHEN task = q_task THEN 1.0 ELSE 0.0 END), 6) AS top1, count(*) AS queries FROM k WHERE rank = 1 GROUP BY 1")
@@ -43,7 +43,7 @@ def f06(spark, sf):
 
 
 def _accuracy(q, b):
-    return rt.block_top_k(q, b, 1).groupBy(F.col("q_task").cast("int").alias("task")).agg(F.round(F.avg((F.col("task") == F.col("q_task")).cast("double")), 6).alias("top1"), F.count("*").alias("queries"))
+    return rt.block_top_k(q, b, 1).groupBy(F.col("q_task").cast("int").alias("task")).agg(signed_round(F.avg((F.col("task") == F.col("q_task")).cast("double")), 6).alias("top1"), F.count("*").alias("queries"))
 
 
 @add("d27_top5_hits", PAIRS.format("true") + " SELECT q_id, max(CASE WHEN task = q_task THEN 1 ELSE 0 END) = 1 AS hit FROM k WHERE rank <= 5 GROUP BY 1")
@@ -57,18 +57,18 @@ def _hits(q, b):
 
 @add("f07_pair_cosine_means", PAIRS.format("true") + " SELECT q_task = task AS same_task, round(avg(score), 5) AS mean, count(*) AS pairs FROM p GROUP BY 1")
 def f07(spark, sf):
-    return rt.pair_means(*everyone(spark, sf)).withColumn("mean", F.round("mean", 5))
+    return rt.pair_means(*everyone(spark, sf)).withColumn("mean", signed_round("mean", 5))
 
 
 @add("d14_prototypes", f"WITH {BANK}, d AS (SELECT task, unnest(range(64)) AS dim, unnest(vector) AS x FROM bank) SELECT task, dim, round(avg(x), 6) AS value, count(*) AS n FROM d GROUP BY 1, 2")
 def d14(spark, sf):
-    return rt.prototypes(bank(spark, sf), "task").select("task", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"), "n")
+    return rt.prototypes(bank(spark, sf), "task").select("task", F.col("dim").cast("long").alias("dim"), signed_round("value", 6).alias("value"), "n")
 
 
 @add("d22_contrastive_metric", PAIRS.format("true") + """, l AS (SELECT q_id, q_task, task, score / 0.1 AS s, max(score / 0.1) OVER (PARTITION BY q_id) AS m FROM p)
 SELECT q_id, round(avg(CASE WHEN task = q_task THEN s END) - max(m) - ln(sum(exp(s - m))), 5) AS log_prob FROM l GROUP BY 1 HAVING count(CASE WHEN task = q_task THEN 1 END) > 0""")
 def d22(spark, sf):
-    return rt.contrastive(*everyone(spark, sf)).select("q_id", F.round("log_prob", 5).alias("log_prob"))
+    return rt.contrastive(*everyone(spark, sf)).select("q_id", signed_round("log_prob", 5).alias("log_prob"))
 
 
 @add("e16_phase_progression", f"""WITH {BANK}, s AS (SELECT episode, id, unit, first_value(unit) OVER w AS a, last_value(unit) OVER w AS b, lead(unit) OVER (PARTITION BY episode ORDER BY id) AS n, count(*) OVER (PARTITION BY episode) AS c FROM units WINDOW w AS (PARTITION BY episode ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -77,7 +77,7 @@ m AS (SELECT episode, c, round(list_dot_product(inc, [x / greatest(sqrt(list_dot
 SELECT episode, max(c) AS n, round(avg(abs(m)), 6) AS mean_abs, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round(avg(CASE WHEN m >= 0.01 THEN 1.0 ELSE 0.0 END), 6) AS clear FROM m GROUP BY 1""")
 def e16(spark, sf):
     p = rt.progression(bank(spark, sf))
-    return p.select("episode", "n", *[F.round(c, 6).alias(c) for c in ("mean_abs", "positive", "clear")])
+    return p.select("episode", "n", *[signed_round(c, 6).alias(c) for c in ("mean_abs", "positive", "clear")])
 
 
 @add("e17_adjacent_cosine", f"""WITH {BANK}, a AS (SELECT q.episode, round(list_dot_product(q.unit, b.unit), 6) AS adjacent, round(list_dot_product(q.unit, c.unit), 6) AS shifted FROM units q JOIN units b ON b.id = q.id + 1 AND b.episode = q.episode LEFT JOIN units c ON c.id = q.id + 2 AND c.episode = q.episode)
@@ -85,7 +85,7 @@ SELECT episode, round(avg(adjacent), 5) AS adjacent, round(avg(shifted), 5) AS s
 def e17(spark, sf):
     w = Window.partitionBy("episode").orderBy("id")
     b = bank(spark, sf).withColumns({"_n": F.lead("unit").over(w), "_m": F.lead("unit", 2).over(w)}).where("_n is not null")
-    score = lambda c: F.round(F.avg(F.round(rt.dot(F.col("unit"), F.col(c)), 6)), 5)
+    score = lambda c: signed_round(F.avg(F.round(rt.dot(F.col("unit"), F.col(c)), 6)), 5)
     return b.groupBy("episode").agg(score("_n").alias("adjacent"), score("_m").alias("shifted"))
 
 
@@ -94,7 +94,7 @@ SELECT task, round(avg(c), 5) AS mean, round(quantile_cont(c, 0.05), 5) AS p05 F
 def k10(spark, sf):
     coarse = F.transform("unit", lambda x: F.round(x, 1))
     c = bank(spark, sf).withColumn("_c", coarse).select("task", F.round(rt.dot(F.col("unit"), F.col("_c")) / F.greatest(rt.norm(F.col("_c")), F.lit(1e-12)), 6).alias("c"))
-    return c.groupBy("task").agg(F.round(F.avg("c"), 5).alias("mean"), F.round(F.percentile("c", F.lit(0.05)), 5).alias("p05"))
+    return c.groupBy("task").agg(signed_round(F.avg("c"), 5).alias("mean"), signed_round(F.percentile("c", F.lit(0.05)), 5).alias("p05"))
 
 
 @add("c09_adjacent_intervals", "SELECT a.vec_id AS left_id, b.vec_id AS right_id FROM embeddings a JOIN embeddings b ON a.vec_id // 5 = b.vec_id // 5 AND a.vec_id + 1 = b.vec_id")
@@ -106,7 +106,7 @@ def c09(spark, sf):
 
 @add("h14_l2_normalise", f"WITH {BANK} SELECT id, [round(x, 6) FOR x IN unit] AS unit FROM units")
 def h14(spark, sf):
-    return bank(spark, sf).select("id", F.transform("unit", lambda x: F.round(x, 6)).alias("unit"))
+    return bank(spark, sf).select("id", F.transform("unit", lambda x: signed_round(x, 6)).alias("unit"))
 
 
 @add("h21_pad_and_mask", "SELECT vec_id, list_concat([CAST(x AS DOUBLE) FOR x IN embedding[1:5]], [0.0, 0.0, 0.0]) AS padded, [true, true, true, true, true, false, false, false] AS mask FROM embeddings")

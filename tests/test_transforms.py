@@ -39,3 +39,14 @@ def test_empty_table(spark):
     v = spark.createDataFrame([], "id long, x array<double>")
     assert tf.normalise_set(v, [tf.Field("x", 2)]).count() == 0
     assert tf.convert_pose(v, "x", "euler", "matrix").count() == 0
+
+
+def test_rounding_to_zero_keeps_the_sign_as_in_sql(spark):
+    import duckdb
+
+    from episodia.plans.common import signed_round
+
+    xs = [-3e-7, 3e-7, -0.0, 0.0, -5e-7, 1.25, -2.5e-6, float("inf"), float("nan"), None]
+    got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", signed_round("x", 6).alias("y")).orderBy("i").collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in xs]
+    assert [repr(y) for y in got] == [repr(y) for y in want]
