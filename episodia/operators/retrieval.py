@@ -18,7 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from episodia.sources.scratch import stored
 
 BLOCK = 4096
-STRIP = 512
+SIDE = 16  # blocks of a task (or the table), where they have neither BLOCK rows nor LARGEST
+LARGEST = 32768
+STRIP = 1 << 21  # scores at a time
+WORK = 1 << 25  # scores in a task, if it has more than one pair of blocks
+FEW_TASKS = 1 << 18  # rows of 40 bytes that may be sent to all
+ROW = 1 << 10  # what reading a row counts, in scores
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,12 +73,17 @@ def progression(points: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, block: int, by_task: bool = False) -> DataFrame:
-    """Rows with a unit vector in one row a block: ``_t`` (its task, or 0), its number ``_b`` among the ``_n`` of the task (or the table)."""
+    """Rows with a unit vector in one row a block: ``_t`` (its task, or 0), its number ``_b`` among the ``_n`` of the task (or the table).
+
+    A block has about ``block`` rows; of many rows there are about ``SIDE``
+    blocks, until they reach ``LARGEST``.
+    """
     rows = stored(rows.select(F.col("id").cast("long").alias("id"), F.col("task").cast("long").alias("task"), F.col("episode").cast("long").alias("episode"), "unit"))
     rows = rows.withColumn("_t", F.col("task") if by_task else F.lit(0).cast("long"))
-    counts = rows.groupBy("_t").agg(F.ceil(F.count("*") / block).alias("_n"))  # one row a task
+    size = F.greatest(F.lit(block), F.least(F.lit(LARGEST), F.ceil(F.count("*") / SIDE)))
+    counts = rows.groupBy("_t").agg(F.ceil(F.count("*") / size).alias("_n"))  # one row a task
     own = F.pmod(F.xxhash64("id", "task", "episode", F.monotonically_increasing_id()), "_n")
-    return stored(rows.join(counts, "_t").groupBy("_t", "_n", own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows")))
+    return stored(rows.join(counts, "_t").groupBy("_t", "_n", own.alias("_b")).agg(F.collect_list(F.struct("id", "task", "episode", "unit")).alias("rows"), F.count("*").alias("_c")))
 
 
 def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,15 +93,19 @@ def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, block: int = BLOCK, digits: int = 6, same_task: bool | None = None) -> DataFrame:
-    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks; pairs of one episode (and, with ``same_task``, those not of one task or not of two) score -inf."""
+    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks, ``ids`` ascending; pairs of one episode (and, with ``same_task``, those not of one task or not of two) score -inf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_rows, rows in zip(b.column("q_rows"), b.column("rows")):
                 (q_id, q_task, q_episode, q), (id_, task, episode, m) = _matrix(q_rows), _matrix(rows)
-                for lo in range(0, len(q_id), STRIP):
-                    at = slice(lo, lo + STRIP)
-                    scores = np.round(q[at] @ m.T, digits)
+                order = np.argsort(id_, kind="stable")
+                id_, task, episode, m = id_[order], task[order], episode[order], m[order]
+                strip = max(1, STRIP // len(id_))
+                for lo in range(0, len(q_id), strip):
+                    at = slice(lo, lo + strip)
+                    scores = q[at] @ m.T
+                    np.round(scores, digits, out=scores)
                     scores[q_episode[at][:, None] == episode] = -np.inf
                     if same_task is not None:
                         scores[(q_task[at][:, None] == task) != same_task] = -np.inf
@@ -100,18 +114,26 @@ def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, bl
     by_task = same_task is True
     held = _blocks(bank, block, by_task)
     asked = held if queries is bank else _blocks(queries, block, by_task)
-    # a stated query set meets all rows (of its task), block by block: each query block is sent to every block there is
-    there = held.groupBy("_t").agg(F.max("_n").alias("_m"))
-    sent = asked.join(there, "_t").select("_t", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_b"))
-    return sent.join(held, ["_t", "_b"]).select("q_rows", "rows").mapInArrow(run, schema)
+    # a stated query set meets all rows (of its task), block by block: each pair of blocks is a key of its own, and
+    # the parts grow in number with the pairs, so that a task reads a few pairs however many blocks there are
+    side = lambda blocks, n, c: blocks.groupBy("_t").agg(F.max("_n").alias(n), F.sum("_c").alias(c))
+    sides = side(asked, "_i", "_q_rows").join(side(held, "_j", "_rows"), "_t")  # one row a task
+    work = F.col("_q_rows") * F.col("_rows") + ROW * (F.col("_q_rows") * F.col("_j") + F.col("_rows") * F.col("_i"))
+    parts, n = sides.agg(F.least(F.sum(F.col("_i") * F.col("_j")), F.ceil(F.sum(work.cast("double")) / WORK)), F.count("*")).first()
+    parts = parts or 1
+    if n <= FEW_TASKS:  # or a task's blocks would meet its row in one place
+        sides = F.broadcast(sides)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sides, "_t").select("_t", F.col("_b").alias("_q"), F.col("rows").alias("q_rows"), upto("_j").alias("_b"))
+    right = held.join(sides, "_t").select("_t", upto("_i").alias("_q"), "_b", "rows")
+    key = ["_t", "_q", "_b"]
+    return left.repartition(parts, *key).join(right.repartition(parts, *key).hint("merge"), key).select("q_rows", "rows").mapInArrow(run, schema)
 
 
 def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK, same_task: bool | None = None) -> DataFrame:
     """The ``k`` best of each query over all tasks, its own (``same_task``) or the others; ties by id."""
 
     def best(q_id, q_task, id_, task, scores):
-        order = np.argsort(id_, kind="stable")
-        scores, id_, task = scores[:, order], id_[order], task[order]
         # everything that ties with the kth score takes part before ties go to the smaller id
         if k < scores.shape[1]:
             kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]

@@ -195,3 +195,17 @@ def test_blocks_meet_within_their_task(spark):
     tasks = lambda q, qt, i, t, s: {"asked": [len(set(qt))], "held": [len(set(t))], "same": [int(qt[0] == t[0])]}
     pairs = rt.block_scores(b, b, tasks, "asked long, held long, same long", block=32, same_task=True).collect()
     assert {tuple(r) for r in pairs} == {(1, 1, 1)} and len(pairs) > 20
+
+
+def test_a_task_reads_few_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rt, "WORK", 1, raising=False)
+    rng = np.random.default_rng(4)
+    shape = "id long, task int, episode long, unit array<double>"
+    b = spark.createDataFrame([(i, i % 2, i // 5, rng.choice([-1.0, 1.0], 6).tolist()) for i in range(320)], shape)
+    one = lambda q, qt, i, t, s: {"n": [s.size]}
+    for same, pairs in ((None, 16 * 16), (True, 2 * 16 * 16)):
+        found = rt.block_scores(b, b, one, "n long", block=8, same_task=same).groupBy(F.spark_partition_id()).agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).collect()
+        assert sum(r["pairs"] for r in found) <= pairs and sum(r["n"] for r in found) == (320 * 320 if same is None else 2 * 160 * 160)
+        assert max(r["pairs"] for r in found) <= 8, same
+        top = [(r["q_id"], r["rank"], r["id"]) for r in rt.block_top_k(b, b, 5, block=8, same_task=same).collect()]
+        assert sorted(top) == sorted((r["q_id"], r["rank"], r["id"]) for r in rt.block_top_k(b, b, 5, block=4096, same_task=same).collect())
