@@ -84,3 +84,40 @@ def test_a_stream_that_is_started_again(spark, tmp_path):
     run()
     schema = spark.range(1).schema
     assert sorted(r["id"] for r in shards.read(spark, schema).collect()) == list(range(60))
+
+
+def test_csv_is_read_line_by_line_in_order(spark, tmp_path, monkeypatch):
+    import csv
+    import io
+
+    import pyarrow as pa
+
+    from episodia.sources import strings
+
+    texts = {
+        "a/x.csv": 'id,"no\nte",x\n1,"say ""hi""\n\nthere, you",\n2,short\n3,a,b,more,"and\r\nmore"\n\n' + "".join(f'{i},"line\n{i}",y\n' for i in range(400)),
+        "b/x.csv": "name,name\r\nq\"uote,2\rlone,3\r\n\r\n,\n",
+        "b/y.csv": "only,header",
+        "b/z.csv": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    want = sorted((name[2:], x) for name, text in texts.items() for row in csv.DictReader(io.StringIO(text, newline="")) for pair in row.items() for y in pair for x in (y if isinstance(y, list) else [y]) if isinstance(x, str))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # splits inside quoted cells
+    try:
+        got = sorted((r.file, r.text) for r in strings.strings_of(spark, f"{tmp_path}/*", "csv").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert got == want
+    # a file's cells come in batches, before its last line is read
+    seen = []
+
+    def lines():
+        for i in range(40):
+            seen.append(i)
+            yield pa.RecordBatch.from_pydict({"path": [1] * 1000, "file": ["f"] * 1000, "value": ["a,b"] * 1000})
+
+    first = next(strings._csv_cells(lines()))
+    assert 0 < first.num_rows <= 8192 and len(seen) < 10
