@@ -6,8 +6,9 @@ run that was killed in between leaves files that nobody reads and that the next
 try replaces, and a batch that comes again adds nothing.  So a stream with a
 checkpoint writes every row once.
 
-A row's place is its shard and its offset there.  Rows are numbered while their
-part is written, so that no row moves between tasks.
+A row's place is its shard and its offset there.  A shard is one file, named
+after its part and its number in the part; rows are numbered while their part is
+written, so that no row moves between tasks.
 """
 
 from __future__ import annotations
@@ -47,12 +48,9 @@ class Shards:
         return True
 
     def stage(self, rows: DataFrame, batch: int) -> None:
-        """The shards of a batch, in place of what an earlier try has left."""
-        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-        at = F.col("_row").bitwiseAND(F.lit(IN_PART))
-        shard = F.format_string("%05d-%06d", F.shiftright("_row", 33), F.floor(at / self.rows))
-        placed = numbered.withColumns({"offset": at % self.rows, "shard": shard}).drop("_row")
-        placed.write.format(self.format).mode("overwrite").partitionBy("shard").save(f"{self.path}/shards/batch={batch}")
+        """The shards of a batch, in place of what an earlier try has left: a file each, numbered in its part by the writer."""
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PART))
+        rows.withColumn("offset", at % self.rows).write.format(self.format).mode("overwrite").option("maxRecordsPerFile", self.rows).save(f"{self.path}/shards/batch={batch}")
 
     def commit(self, rows: DataFrame, batch: int) -> None:
         """One line a shard of what is on disk now, then the move that makes the batch count."""
@@ -77,10 +75,13 @@ class Shards:
 
     def _read(self, spark: SparkSession, schema: StructType, batches: list[int]) -> DataFrame:
         """Rows of these batches; what lies in the folders of others is not looked at."""
-        whole = StructType([*schema.fields, StructField("offset", LongType()), StructField("shard", StringType()), StructField("batch", LongType())])
+        whole = StructType([*schema.fields, StructField("offset", LongType()), StructField("batch", LongType())])
         if not batches:
-            return spark.createDataFrame([], whole)
-        return spark.read.format(self.format).schema(whole).option("basePath", f"{self.path}/shards").load([f"{self.path}/shards/batch={b}" for b in batches])
+            return spark.createDataFrame([], StructType([*whole.fields[:-1], StructField("shard", StringType()), whole.fields[-1]]))
+        found = spark.read.format(self.format).schema(whole).option("basePath", f"{self.path}/shards").load([f"{self.path}/shards/batch={b}" for b in batches])
+        number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+        shard = F.format_string("%05d-%06d", number(r"^part-(\d+)-"), number(r"-c(\d+)\."))
+        return found.select(*[F.col(f"`{c}`") for c in schema.names], "offset", shard.alias("shard"), "batch")
 
     def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
         """The committed rows with ``offset, shard, batch``; ``schema`` is that of the rows."""

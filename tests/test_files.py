@@ -121,3 +121,19 @@ def test_csv_is_read_line_by_line_in_order(spark, tmp_path, monkeypatch):
 
     first = next(strings._csv_cells(lines()))
     assert 0 < first.num_rows <= 8192 and len(seen) < 10
+
+
+def test_a_shard_is_a_file_and_no_folder(spark, tmp_path):
+    from episodia.sources.committed import Shards
+
+    rows = spark.range(103, numPartitions=3).selectExpr("id", "id * 2 AS shard_of")
+    shards = Shards(str(tmp_path / "s"), rows=10)
+    shards.stage(spark.range(500).selectExpr("id", "id AS shard_of"), 4)  # a longer try before
+    assert shards.write(rows, 4) and not shards.write(rows, 4)
+    assert not [p for p in (tmp_path / "s" / "shards" / "batch=4").iterdir() if p.is_dir()]
+    listed = {r.shard: (r.rows, r.last) for r in shards.manifest(spark).collect()}
+    assert sum(n for n, _ in listed.values()) == 103 and all(n <= 10 and last == n - 1 for n, last in listed.values())
+    got = shards.read(spark, rows.schema).collect()
+    assert sorted((r.id, r.shard_of) for r in got) == [(i, 2 * i) for i in range(103)]
+    assert len({(r.shard, r.offset) for r in got}) == 103 and {r.shard for r in got} == set(listed) and {r.batch for r in got} == {4}
+    assert list(shards.read(spark, rows.schema).columns) == ["id", "shard_of", "offset", "shard", "batch"]
