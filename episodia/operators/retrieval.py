@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from episodia.sources.scratch import stored
 
 BLOCK = 4096
+DIGITS = 6  # of scores
 SIDE = 16  # blocks of a task (or the table), where they have neither BLOCK rows nor LARGEST
 LARGEST = 32768
 STRIP = 1 << 21  # scores at a time
+SLABS = 256  # groups of rows whose best scores bound a query's kth best
+QUICK = 1e-3  # vectors so long that single precision says less are scored in double precision
+FEW = 1 << 22  # values of a strip's likely pairs, which are scored one by one
 WORK = 1 << 25  # scores in a task, if it has more than one pair of blocks
 FEW_TASKS = 1 << 18  # rows of 40 bytes that may be sent to all
 ROW = 1 << 10  # what reading a row counts, in scores
@@ -36,7 +40,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column, eps: float = 1e-12) -> Column:
     """x / max(|x|, eps): a zero vector stays zero."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(eps)))
+    # the norm is an element, so that it is taken once a vector and not once an entry
+    return F.transform(F.array(F.greatest(norm(a), F.lit(eps))), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def softmax_mean(top: DataFrame, value: str, temperature: float) -> DataFrame:
@@ -92,26 +97,17 @@ def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return *(r.field(c).to_numpy(zero_copy_only=False) for c in ("id", "task", "episode")), unit.flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
 
 
-def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, block: int = BLOCK, digits: int = 6, same_task: bool | None = None) -> DataFrame:
-    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks, ``ids`` ascending; pairs of one episode (and, with ``same_task``, those not of one task or not of two) score -inf."""
+def _met(queries: DataFrame, bank: DataFrame, per_pair, schema: str, block: int, by_task: bool) -> DataFrame:
+    """``per_pair(query side, bank side)`` of every pair of blocks (of one task, with ``by_task``); a side is ids, tasks, episodes and unit vectors, the bank's ids ascend."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_rows, rows in zip(b.column("q_rows"), b.column("rows")):
-                (q_id, q_task, q_episode, q), (id_, task, episode, m) = _matrix(q_rows), _matrix(rows)
-                order = np.argsort(id_, kind="stable")
-                id_, task, episode, m = id_[order], task[order], episode[order], m[order]
-                strip = max(1, STRIP // len(id_))
-                for lo in range(0, len(q_id), strip):
-                    at = slice(lo, lo + strip)
-                    scores = q[at] @ m.T
-                    np.round(scores, digits, out=scores)
-                    scores[q_episode[at][:, None] == episode] = -np.inf
-                    if same_task is not None:
-                        scores[(q_task[at][:, None] == task) != same_task] = -np.inf
-                    yield pa.RecordBatch.from_pydict(per_strip(q_id[at], q_task[at], id_, task, scores))
-
-    by_task = same_task is True
+                held = _matrix(rows)
+                order = np.argsort(held[0], kind="stable")
+                for found in per_pair(_matrix(q_rows), tuple(x[order] for x in held)):
+                    yield pa.RecordBatch.from_pydict(found)
+
     held = _blocks(bank, block, by_task)
     asked = held if queries is bank else _blocks(queries, block, by_task)
     # a stated query set meets all rows (of its task), block by block: each pair of blocks is a key of its own, and
@@ -130,25 +126,93 @@ def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, bl
     return left.repartition(parts, *key).join(right.repartition(parts, *key).hint("merge"), key).select("q_rows", "rows").mapInArrow(run, schema)
 
 
+def _strips(asked: tuple, held: tuple) -> Iterator[slice]:
+    strip = max(1, STRIP // len(held[0]))
+    return (slice(lo, lo + strip) for lo in range(0, len(asked[0]), strip))
+
+
+def _leave_out(scores: np.ndarray, asked: tuple, held: tuple, at: slice, same_task: bool | None) -> np.ndarray:
+    """``scores`` with -inf for pairs of one episode (and, with ``same_task``, those not of one task or not of two)."""
+    scores[asked[2][at][:, None] == held[2]] = -np.inf
+    if same_task is not None:
+        scores[(asked[1][at][:, None] == held[1]) != same_task] = -np.inf
+    return scores
+
+
+def _scores(asked: tuple, held: tuple, at: slice, digits: int, same_task: bool | None) -> np.ndarray:
+    scores = asked[3][at] @ held[3].T
+    np.round(scores, digits, out=scores)
+    return _leave_out(scores, asked, held, at, same_task)
+
+
+def block_scores(queries: DataFrame, bank: DataFrame, per_strip, schema: str, block: int = BLOCK, digits: int = DIGITS, same_task: bool | None = None) -> DataFrame:
+    """``per_strip(q_ids, q_tasks, ids, tasks, scores)`` of every pair of blocks, ``ids`` ascending, ``scores`` its own to change; pairs of one episode (and, with ``same_task``, those not of one task or not of two) score -inf."""
+
+    def pair(asked: tuple, held: tuple) -> Iterator[dict]:
+        for at in _strips(asked, held):
+            yield per_strip(asked[0][at], asked[1][at], held[0], held[1], _scores(asked, held, at, digits, same_task))
+
+    return _met(queries, bank, pair, schema, block, same_task is True)
+
+
+def _slack(q: np.ndarray, m: np.ndarray, digits: int) -> float:
+    """How far below the kth best of single precision a row can be and still be among the ``k`` best rounded scores.
+
+    Conversion and products in single precision are wrong by (d + 2) 2**-24 |q| |m|
+    at most; two scores take part, and rounding moves each by half a unit.
+    """
+    size = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+    return 1.01 * (2 * (q.shape[1] + 2) * 2.0**-24 * size(q) * size(m) + 10.0**-digits)
+
+
+def _likely(rough: np.ndarray, k: int, slack: float, few: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows and columns of all scores that may be among their row's ``k`` best, or None if these are more than ``few``.
+
+    The kth best of the slabs' maxima is no more than the kth best of all.
+    """
+    wide = rough.shape[1] // SLABS
+    best = rough[:, : SLABS * wide].reshape(len(rough), wide, SLABS).max(axis=1)
+    least = np.nextafter((np.partition(best, SLABS - k, axis=1)[:, SLABS - k].astype(np.float64) - slack).astype(np.float32), np.float32(-np.inf))
+    hit = rough >= np.maximum(least, np.finfo(np.float32).min)[:, None]  # -inf takes no part
+    return np.divmod(np.flatnonzero(hit), rough.shape[1]) if np.count_nonzero(hit) <= few else None
+
+
 def block_top_k(queries: DataFrame, bank: DataFrame, k: int, block: int = BLOCK, same_task: bool | None = None) -> DataFrame:
-    """The ``k`` best of each query over all tasks, its own (``same_task``) or the others; ties by id."""
-
-    def best(q_id, q_task, id_, task, scores):
-        # everything that ties with the kth score takes part before ties go to the smaller id
-        if k < scores.shape[1]:
-            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        else:
-            kth = np.full(len(scores), -np.inf)
-        row, col = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
-        s = scores[row, col]
-        by = np.lexsort((col, -s, row))
-        row, col, s = row[by], col[by], s[by]
-        first = np.searchsorted(row, np.arange(len(scores)))
-        keep = np.arange(len(row)) - first[row] < k
-        row, col, s = row[keep], col[keep], s[keep]
-        return {"q_id": q_id[row], "q_task": q_task[row], "id": id_[col], "task": task[col], "score": s}
-
-    found = block_scores(queries, bank, best, "q_id long, q_task long, id long, task long, score double", block, same_task=same_task)
+    """The ``k`` best of each query over all tasks, its own (``same_task``) or the others; ties by id.
+
+    Products in single precision leave out the rows that cannot be among the
+    best; the rest are scored in double precision, strip by strip where they
+    are many.
+    """
+
+    def best(asked: tuple, held: tuple) -> Iterator[dict]:
+        (q_id, q_task, _, q), (id_, task, _, m) = asked, held
+        slack = _slack(q, m, DIGITS) if len(id_) >= 4 * SLABS and k <= SLABS // 4 else np.inf
+        quick = slack < QUICK  # neither is true of NaN
+        if quick:
+            q_short, m_short = q.astype(np.float32), m.astype(np.float32)
+        for at in _strips(asked, held):
+            found = _likely(_leave_out(q_short[at] @ m_short.T, asked, held, at, same_task), k, slack, FEW // m.shape[1]) if quick else None
+            if found is not None:
+                row, col = found
+                s = np.round(np.einsum("ij,ij->i", q[at][row], m[col]), DIGITS)
+            else:
+                scores = _scores(asked, held, at, DIGITS, same_task)
+                # everything that ties with the kth score takes part before ties go to the smaller id
+                if k < scores.shape[1]:
+                    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                else:
+                    kth = np.full(len(scores), -np.inf)
+                row, col = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+                s = scores[row, col]
+            by = np.lexsort((col, -s, row))
+            row, col, s = row[by], col[by], s[by]
+            first = np.searchsorted(row, np.arange(len(q_id[at])))
+            keep = np.arange(len(row)) - first[row] < k
+            row, col, s = row[keep], col[keep], s[keep]
+            yield {"q_id": q_id[at][row], "q_task": q_task[at][row], "id": id_[col], "task": task[col], "score": s}
+
+    found = _met(queries, bank, best, "q_id long, q_task long, id long, task long, score double", block, same_task is True)
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

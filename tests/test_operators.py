@@ -209,3 +209,42 @@ def test_a_task_reads_few_pairs_of_blocks(spark, monkeypatch):
         assert max(r["pairs"] for r in found) <= 8, same
         top = [(r["q_id"], r["rank"], r["id"]) for r in rt.block_top_k(b, b, 5, block=8, same_task=same).collect()]
         assert sorted(top) == sorted((r["q_id"], r["rank"], r["id"]) for r in rt.block_top_k(b, b, 5, block=4096, same_task=same).collect())
+
+
+def test_rows_left_out_in_single_precision_are_none_of_the_best(spark):
+    rng = np.random.default_rng(12)
+    n, k = 4096, 5
+    unit = rng.normal(size=(n, 8))
+    unit[::3] = unit[0] + rng.normal(size=unit[::3].shape) * 1e-7  # scores that only rounding or double precision tells apart
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unit[7] = 0
+    asked, few = rng.choice(n, 48, replace=False), 4096
+    asked[0] = 7
+    exact = np.round(unit[asked] @ unit.T, 6)
+    rough = unit[asked].astype(np.float32) @ unit.astype(np.float32).T
+    for hidden in (0, n - 3):  # of which scores take no part
+        exact[0, :hidden] = rough[0, :hidden] = -np.inf
+        row, col = rt._likely(rough, k, rt._slack(unit[asked], unit, 6), n * len(asked))
+        found = np.zeros(exact.shape, bool)
+        found[row, col] = True
+        for i in range(len(asked)):
+            best = np.lexsort((np.arange(n), -exact[i]))[:k]
+            assert found[i, best[exact[i, best] > -np.inf]].all() and not found[i, exact[i] == -np.inf].any()
+        assert found[1:].sum() < 0.4 * found[1:].size
+    assert rt._likely(rough, k, 10.0, few) is None
+    # far too long vectors and those without direction are scored in double precision
+    assert rt._slack(unit, unit, 6) < rt.QUICK
+    assert not rt._slack(unit * 1e4, unit, 6) < rt.QUICK and not rt._slack(np.where(unit == 0, np.nan, unit), unit, 6) < rt.QUICK
+    # by brute force: copies, and a task with nearly all rows
+    tasks, ids = np.where(np.arange(n) % 500 == 1, 1, 0), rng.permutation(n)
+    b = spark.createDataFrame([(int(ids[i]), int(tasks[i]), i // 5, unit[i].tolist()) for i in range(n)], "id long, task int, episode long, unit array<double>")
+    for same in (None, False):
+        want = []
+        for i in np.flatnonzero(ids % 64 == 0):
+            s = np.round(unit @ unit[i], 6)
+            s[np.arange(n) // 5 == i // 5] = -np.inf
+            s[(tasks == tasks[i]) & (same is False)] = -np.inf
+            top = np.lexsort((ids, -s))[:k]
+            want += [(int(ids[i]), r, int(ids[j]), float(s[j])) for r, j in enumerate(top, 1) if s[j] > -np.inf]
+        got = [(r["q_id"], r["rank"], r["id"], r["score"]) for r in rt.block_top_k(b.where("id % 64 = 0"), b, k, n, same_task=same).collect()]
+        assert sorted(got) == sorted(want), same
