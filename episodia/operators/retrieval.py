@@ -221,11 +221,16 @@ def contrastive(queries: DataFrame, bank: DataFrame, temperature: float = 0.1, b
     """``q_id, log_prob``: mean log softmax of the rows of the query's own task among all rows of other episodes."""
 
     def sums(q_id, q_task, id_, task, scores):
-        s = scores / temperature
-        m = s.max(axis=1)
-        low = np.where(np.isfinite(m), m, 0.0)
-        same = (q_task[:, None] == task) & (scores > -np.inf)
-        return {"q_id": q_id, "m": low, "e": np.exp(s - low[:, None]).sum(axis=1), "own": np.where(same, s, 0.0).sum(axis=1), "n": same.sum(axis=1), "any": np.isfinite(m)}
+        m = scores.max(axis=1)
+        some = np.isfinite(m)
+        low = np.where(some, m, 0.0)
+        same = q_task[:, None] == task
+        same &= scores > -np.inf
+        own = np.where(same, scores, 0.0).sum(axis=1) / temperature
+        scores -= low[:, None]
+        scores /= temperature
+        e = np.exp(scores, out=scores).sum(axis=1)
+        return {"q_id": q_id, "m": low / temperature, "e": e, "own": own, "n": np.count_nonzero(same, axis=1), "any": some}
 
     part = stored(block_scores(queries, bank, sums, "q_id long, m double, e double, own double, n long, any boolean", block).where("any"))
     top = part.groupBy("q_id").agg(F.max("m").alias("top"))
