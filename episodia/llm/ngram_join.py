@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodia.llm import textkernel as tk
 from episodia.llm.components import bit_set, components, filter_bits, has_bit, packed, sum_arrays
-from episodia.llm.shared import folded, stored, unfolded
+from episodia.llm.shared import drop, folded, stored, unfolded
 
 U64 = np.uint64
 SHINGLE = 5
@@ -190,7 +190,9 @@ def _shared_lists(postings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     smaller = F.ceil(F.col("n") * NUM / DEN).cast("int")
     for _ in range(rounds):
         enough = lists.groupBy("d1").agg(F.count("*").alias("_k"), F.max("n").alias("n")).where(F.col("_k") >= F.greatest(F.lit(1), F.floor(smaller / 16))).select("d1")
-        lists = stored(_runs(lists.join(enough, "d1", "left_semi")))
+        left = stored(_runs(lists.join(enough, "d1", "left_semi")))
+        drop(lists)
+        lists = left
     return lists
 
 
@@ -221,28 +223,47 @@ def may_link(one: np.ndarray, n: int, many: np.ndarray, sizes: np.ndarray) -> np
 
 
 def _fold(own: list[bytes], n_bytes: int) -> np.ndarray:
-    """Sketches brought to one width: a wider one is folded, a narrower one (of a smaller set) repeated."""
-    out = np.zeros((len(own), n_bytes // 8), np.uint64)
-    for k, x in enumerate(own):
-        a = np.frombuffer(x, np.uint64)
-        w = n_bytes // 8
-        out[k] = np.bitwise_or.reduce(a.reshape(-1, w), axis=0) if len(a) >= w else np.tile(a, w // len(a))
-    return out
+    """Sketches of one width brought to ``n_bytes``, which is not more."""
+    words = np.frombuffer(b"".join(own), np.uint64)
+    return np.bitwise_or.reduce(words.reshape(len(own), -1, n_bytes // 8), axis=1)
 
 
 def list_groups(n: np.ndarray, own: list[bytes]) -> np.ndarray:
-    """Group number of each member of a list: groups are joined by pairs that may link (breadth first)."""
+    """Group number of each member of a list: groups are joined by pairs that may link (breadth first).
+
+    A member is held against those of sizes it can link to only, at the narrower
+    width of the two: folded to the width of the list's smallest set, the
+    sketches of large ones would be full and say nothing.
+    """
     label = np.full(len(n), -1)
-    words = _fold(own, min(len(x) for x in own))
-    left = np.arange(len(n))
+    width = np.array([len(x) for x in own])
+    row, known = np.zeros(len(n), np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        row[at] = np.arange(len(at))
+        known[w, w] = _fold([own[i] for i in at.tolist()], w)
+
+    def words(w: int, to: int) -> np.ndarray:
+        if (w, to) not in known:
+            known[w, to] = np.bitwise_or.reduce(known[w, w].reshape(len(known[w, w]), -1, to // 8), axis=1)
+        return known[w, to]
+
+    left = np.argsort(n, kind="stable")
     number = 0
     while len(left):
         queue, left = [int(left[0])], left[1:]
         label[queue[0]] = number
         while queue and len(left):
             q = queue.pop()
-            hit = may_link(words[q], int(n[q]), words[left], n[left])
-            found, left = left[hit], left[~hit]
+            size, mine = int(n[q]), int(width[q])
+            lo, hi = np.searchsorted(n[left], [-(-size * NUM // DEN), size * DEN // NUM + 1]).tolist()
+            near = left[lo:hi]
+            hit = np.zeros(len(near), bool)
+            for w in np.unique(width[near]).tolist():
+                some, to = np.flatnonzero(width[near] == w), min(w, mine)
+                hit[some] = may_link(words(mine, to)[row[q]], size, words(w, to)[row[near[some]]], n[near[some]])
+            found = near[hit]
+            left = np.concatenate([left[:lo], near[~hit], left[hi:]])
             label[found] = number
             queue += found.tolist()
         number += 1
@@ -472,18 +493,24 @@ def _search_across(rows: DataFrame) -> DataFrame:
 
 
 def _relabel(comps: DataFrame, edges: DataFrame) -> DataFrame:
-    """``comps`` with roots merged along ``edges`` between roots."""
+    """``comps`` with roots merged along ``edges`` between roots; stored."""
     merged = components(edges)
-    return comps.join(merged.withColumnRenamed("root", "_to"), comps["root"] == F.col("node"), "left").withColumn("root", F.coalesce("_to", "root")).drop("node", "_to")
+    out = stored(comps.join(merged.withColumnRenamed("root", "_to"), comps["root"] == F.col("node"), "left").withColumn("root", F.coalesce("_to", "root")).drop("node", "_to"))
+    drop(merged)
+    return out
 
 
 def link_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     measured, crowded = _measure(docs, text)
-    lists = stored(_distinct_lists(_shared_lists(_postings(docs, text, crowded))))
+    shared = _shared_lists(_postings(docs, text, crowded))
+    lists = stored(_distinct_lists(shared))
+    drop(shared)
     sketches = _sketches(docs, text, bit_set(lists.select("d1"), filter_bits(lists.count())))
     edges = stored(_edges(lists.join(sketches, "d1")))
+    drop(lists)
     clusters = components(edges).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
+    drop(edges)
     known = bit_set(clusters.select("d1"), filter_bits(clusters.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,9 +535,11 @@ def link_components(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
         sets = stored(sets)
     comps = stored(_search_blocks(sets))
     if wide:
-        comps = _join_blocks(comps, sets, block)
+        own_blocks, comps = comps, _join_blocks(comps, sets, block)
+        drop(own_blocks)
     own = F.when(F.col("n") > 0, F.coalesce("root", "d1"))
     named = stored(measured.join(comps.select("d1", "d2", "root").distinct(), ["d1", "d2"], "left").select("doc_id", "n", own.alias("c1"), F.when(F.col("root").isNull(), F.col("d2")).alias("c2")))
+    drop(measured, clusters, place, comps, *([sets] if wide else []))
     ids = named.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(ids, named["c1"].eqNullSafe(ids["c1"]) & named["c2"].eqNullSafe(ids["c2"]), "left")
     return joined.select("doc_id", named["n"].alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -528,7 +557,8 @@ def _join_blocks(comps: DataFrame, sets: DataFrame, block: int, reps: int = 8) -
     first = stored(_search_blocks(picked).select("d1", F.col("root").alias("meet")))
     meeting = many.select("d1", "root").join(first, "d1").select("meet", "root").distinct()
     edges = meeting.join(meeting.groupBy("meet").agg(F.min("root").alias("b")), "meet").select(F.col("root").alias("a"), "b")
-    many = stored(_relabel(many, edges))
+    many = _relabel(many, edges)
+    drop(first)
     # whatever is outside the cluster's largest component is searched for in all other blocks
     top = many.groupBy("cluster", "root").agg(F.count("*").alias("_k")).groupBy("cluster").agg(F.max(F.struct("_k", "root")).alias("_top")).select("cluster", F.col("_top.root").alias("_top"))
     rooted = sets.join(many.select("cluster", "d1", "d2", "root"), ["cluster", "d1", "d2"]).join(top, "cluster").dropDuplicates(["cluster", "d1", "d2"])
@@ -537,8 +567,10 @@ def _join_blocks(comps: DataFrame, sets: DataFrame, block: int, reps: int = 8) -
     loads = out.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("long").alias("chunks"))
     asked = out.join(loads, "cluster").withColumn("chunk", F.pmod(F.xxhash64("d2"), "chunks")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("_to <> block").withColumn("block", F.col("_to").cast("long")).withColumn("asked", F.lit(True)).select(*cols)
     own = rooted.join(loads, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("asked", F.lit(False)).select(*cols)
-    many = _relabel(many, _search_across(own.unionByName(asked)))
-    return stored(rest.unionByName(many))
+    joined = _relabel(many, _search_across(own.unionByName(asked)))
+    out = stored(rest.unionByName(joined))
+    drop(many, joined)
+    return out
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
